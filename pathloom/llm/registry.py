@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .language import op6_language_id
 from .mixing import op3_source_mixing
 from .packing import op7_best_fit_packing
+from .pseudonyms import op8_pii_pseudonyms
+from .substrings import op2_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op6_language_id, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_source_mixing, op6_language_id, op7_best_fit_packing, op8_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
