@@ -101,3 +101,12 @@ def with_columns_of(left: DataFrame, right: DataFrame, keys: list[str], how: str
         e = F.col(k).eqNullSafe(F.col(f"__{k}"))
         on = e if on is None else on & e
     return left.join(other, on, how).drop(*[f"__{k}" for k in keys])
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again; smaller there than ``cut``."""
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession)}/pathloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,11 +11,12 @@ from .mixing import op3_source_mixing
 from .neardups import op5_minhash_near_dedup
 from .packing import op7_best_fit_packing
 from .pseudonyms import op8_pii_pseudonyms
+from .scoring import op4_lm_scoring
 from .substrings import op2_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_source_mixing, op5_minhash_near_dedup, op6_language_id, op7_best_fit_packing, op8_pii_pseudonyms)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_source_mixing, op4_lm_scoring, op5_minhash_near_dedup, op6_language_id, op7_best_fit_packing, op8_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
