@@ -110,3 +110,76 @@ def store(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/pathloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_UP, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), 1 << 20
+_DOWN = np.uint64(pow(int(_UP), -1, 1 << 64))
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_UP, _DOWN)]
+    return _powers
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+_VALUE, _CHECK = (np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (1, 2))
+
+
+def hashed_words(texts: list[bytes], value: np.ndarray = _VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts, by array operations: 64-bit hashes, starts and ends in the returned bytes (texts joined
+    by a space), and each text's number of words. A word's hash is the same everywhere."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    word = ~_SPACE[data]
+    turns = np.flatnonzero(np.diff(word, prepend=False))
+    starts, ends = turns[::2], turns[1::2]
+    hashes = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _STEP, "right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        up, down = _power_tables(max(_STEP, b - a))
+        run = np.zeros(b - a + 1, np.uint64)
+        np.add.accumulate(value[data[a:b]] * up[: b - a], out=run[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        hashes[i:j] = (run[e] - run[s]) * down[s] + (e - s).astype(np.uint64)
+        i = j
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    per = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
+    return mixed(hashes), starts, ends, data, per
+
+
+def word_codes(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Words of texts as codes (order of the words' bytes), the words, and each text's number of words (told apart
+    by 128 bits)."""
+    hashes, starts, ends, data, per = hashed_words(texts)
+    by = np.argsort(hashes)
+    new = np.insert(hashes[by][1:] != hashes[by][:-1], 0, True) if len(by) else np.zeros(0, bool)
+    codes = np.empty(len(by), np.int64)
+    codes[by] = np.cumsum(new) - 1
+    first = by[new]
+    whole = data.tobytes()
+    words = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    check = hashed_words(texts, _CHECK)[0]
+    if (check != check[first[codes]]).any():  # two words with one hash: by dictionary instead
+        table: dict[bytes, int] = {}
+        codes = np.array([table.setdefault(whole[a:b], len(table)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        words = list(table)
+    order = sorted(range(len(words)), key=words.__getitem__)
+    rank = np.empty(len(words), np.uint32)
+    rank[np.array(order, np.int64)] = np.arange(len(words), dtype=np.uint32)
+    return rank[codes] if len(words) else np.zeros(0, np.uint32), [words[i] for i in order], per
+
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each run, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)

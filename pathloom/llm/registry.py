@@ -6,18 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hamming import op9_embedding_near_dedup
 from .language import op6_language_id
 from .mixing import op3_source_mixing
 from .neardups import op5_minhash_near_dedup
+from .neighbours import op1_nearest_neighbours
 from .packing import op7_best_fit_packing
 from .pseudonyms import op8_pii_pseudonyms
 from .scoring import op4_lm_scoring
 from .substrings import op2_substring_dedup
+from .toxicity import op10_toxicity
+
+_ALL = (
+    op1_nearest_neighbours, op2_substring_dedup, op3_source_mixing, op4_lm_scoring, op5_minhash_near_dedup,
+    op6_language_id, op7_best_fit_packing, op8_pii_pseudonyms, op9_embedding_near_dedup, op10_toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_source_mixing, op4_lm_scoring, op5_minhash_near_dedup, op6_language_id, op7_best_fit_packing, op8_pii_pseudonyms)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None so far: each operator hashes, learns or iterates in a way that SQL can't express; see tests/llm."""
     return {}
