@@ -1,6 +1,6 @@
 """Operator 2, substring dedup: exact repeated 20-word windows by super-k-mer partitioning.
 
-A window is 20 consecutive words. Its minimiser is the smallest hash among its 3-word grams; consecutive
+A window is 20 consecutive words. Its minimiser is the smallest hash among its 2-word grams; consecutive
 windows that share it form a super-k-mer. Each super-k-mer travels as one packed string (word codes, with
 the dictionary of the words they stand for) to the bucket of its minimiser, so that all copies of a window
 meet in one bucket. There windows are sorted, equal neighbours are compared word by word, and every window
@@ -28,9 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, shuffle_width, slices, table
+from .common import as_bytes, mixed, runs, shuffle_width, slices, table, word_codes
 
-WINDOW, GRAM, CHUNK_BYTES, BUCKET_BYTES = 20, 3, 8_000_000, 4_000_000
+WINDOW, GRAM, CHUNK_BYTES, BUCKET_BYTES = 20, 2, 12_000_000, 6_000_000
 _LEAST = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -43,20 +43,9 @@ class _Codes(dict):
         return out
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... for each run, one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
-
-
 def _pack(words: list[bytes], *arrays: np.ndarray) -> bytes:
     parts = [b" ".join(words), *(a.tobytes() for a in arrays)]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts))
 
 
 def _unpack(blob: bytes, n: int) -> list[bytes]:
@@ -78,7 +67,7 @@ def super_kmers(codes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, wind
     low = h[: n - gram + 1].copy()
     for j in range(1, gram):
         low = low * np.uint64(0x100000001B3) + h[j : n - gram + 1 + j]
-    low = _mixed(low)
+    low = mixed(low)
     width, have = window - gram + 1, 1
     while have * 2 <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -88,7 +77,7 @@ def super_kmers(codes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, wind
     ends = np.cumsum(lengths)
     valid = np.zeros(n - window + 1, bool)
     long = lengths >= window
-    valid[_runs(ends[long] - lengths[long], lengths[long] - window + 1)] = True
+    valid[runs(ends[long] - lengths[long], lengths[long] - window + 1)] = True
     first = valid.copy()
     first[1:] &= ~(valid[:-1] & (low[1:] == low[:-1]))
     starts = np.flatnonzero(first)
@@ -101,12 +90,8 @@ def _mapped(batch: pa.RecordBatch, buckets: int, window: int, gram: int) -> Iter
     docs, hashes_of = batch.column("doc_id").fill_null(_LEAST).to_numpy(), batch.column("text_hash").to_numpy()
     order = np.lexsort((hashes_of, docs))
     texts = as_bytes(batch.column("text"))
-    code = _Codes()
-    split = [texts[i].split() for i in order]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    codes = np.fromiter((c for words in split for c in map(code.__getitem__, words)), np.uint32, int(lengths.sum()))
-    del split
-    words = list(code)
+    codes, words, lengths = word_codes([texts[i] for i in order])
+    del texts
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     starts, windows, minimiser = super_kmers(codes, hashes, lengths, window, gram)
     ends = np.cumsum(lengths)
@@ -127,8 +112,19 @@ def _mapped(batch: pa.RecordBatch, buckets: int, window: int, gram: int) -> Iter
     cuts = np.flatnonzero(np.diff(bucket[by])) + 1
     for part in np.split(by, cuts) if len(by) else []:
         at = fresh[part]
-        used, inverse = np.unique(codes[_runs(starts[at], windows[at] + window - 1)], return_inverse=True)
-        yield int(bucket[part[0]]), 0, _pack([words[w] for w in used], inverse.astype(np.uint32), windows[at].astype(np.int32), places[at].astype(np.int64))
+        used, inverse, times = np.unique(codes[runs(starts[at], windows[at] + window - 1)], return_inverse=True, return_counts=True)
+        spelt = used.tolist()
+        # compresses well: the most frequent words have one-byte codes, the others stand in order; bytes by plane
+        often = np.argsort(-times, kind="stable")[:255]
+        rest = np.ones(len(used), bool)
+        rest[often] = False
+        listed = np.concatenate([often, np.flatnonzero(rest)])
+        rank = np.empty(len(used), np.uint32)
+        rank[listed] = np.arange(len(used))
+        own_rows, row_of = np.unique(row[at], return_inverse=True)
+        owners = np.column_stack([docs[order][own_rows], hashes_of[order][own_rows]])
+        planes = rank[inverse].view(np.uint8).reshape(-1, 4).T.copy()
+        yield int(bucket[part[0]]), 0, _pack([words[spelt[i]] for i in listed.tolist()], planes, windows[at].astype(np.int32), owners, row_of.astype(np.int32), places[at, 2].astype(np.int32))
 
 
 def _marked(blobs: list[bytes], window: int) -> np.ndarray:
@@ -136,20 +132,20 @@ def _marked(blobs: list[bytes], window: int) -> np.ndarray:
     code = _Codes()
     all_codes, all_windows, all_places = [], [], []
     for b in blobs:
-        words, inverse, windows, places = _unpack(b, 4)
+        words, planes, windows, owners, row_of, start = _unpack(b, 6)
         own = np.fromiter(map(code.__getitem__, words.split(b" ")), np.uint32)
-        all_codes.append(own[np.frombuffer(inverse, np.uint32)])
+        all_codes.append(own[np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()])
         all_windows.append(np.frombuffer(windows, np.int32))
-        all_places.append(np.frombuffer(places, np.int64).reshape(-1, 3))
+        all_places.append(np.column_stack([np.frombuffer(owners, np.int64).reshape(-1, 2)[np.frombuffer(row_of, np.int32)], np.frombuffer(start, np.int32).astype(np.int64)]))
     codes, windows, places = np.concatenate(all_codes), np.concatenate(all_windows).astype(np.int64), np.concatenate(all_places)
     with np.errstate(over="ignore"):
-        value = _mixed(np.arange(1, len(code) + 1, dtype=np.uint64) * np.uint64(_BASE))[codes]
+        value = mixed(np.arange(1, len(code) + 1, dtype=np.uint64) * np.uint64(_BASE))[codes]
         up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(codes), _BASE, np.uint64)]))
         down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(codes), _INVERSE, np.uint64)]))
         run = np.concatenate([[np.uint64(0)], np.add.accumulate(value * up[:-1])])
         size = windows + window - 1
         begin = np.cumsum(size) - size
-        at = _runs(begin, windows)
+        at = runs(begin, windows)
         print_ = (run[at + window] - run[at]) * down[at]
     order = np.argsort(print_, kind="stable")
     same = print_[order][1:] == print_[order][:-1]
