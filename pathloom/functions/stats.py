@@ -17,4 +17,4 @@ def f1(p: Column, r: Column) -> Column:
 
 def bucket(x: Column, low: Column, high: Column, n: int = 30) -> Column:
     """1 to n; the largest value is in the last one, and a constant column in the first."""
-    return F.coalesce(F.least(F.lit(n), F.width_bucket(x, low, high, F.lit(n))), F.lit(1)).cast("int")
+    return F.least(F.lit(n), F.coalesce(F.width_bucket(x, low, high, F.lit(n)), F.lit(1))).cast("int")

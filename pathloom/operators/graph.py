@@ -55,7 +55,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.union(left.select("b", "a").toDF("a", "b"))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")))
-        jump = cut(least.alias("x").join(least.alias("y"), F.col("x.m") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.coalesce("y.m", "x.m").alias("m")))
+        # each vertex's pointer is followed to its root, in doubling steps
+        jump, moved = least, True
+        while moved:
+            step = cut(jump.alias("x").join(jump.alias("y"), F.col("x.m") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.coalesce("y.m", "x.m").alias("m"), (F.col("y.m") < F.col("x.m")).alias("moved")))
+            moved, jump = not step.where("moved").isEmpty(), step.select("v", "m")
         names = cut(names.join(jump, names.component == jump.v, "left").select("node", F.coalesce("m", "component").alias("component")))
         heads = left.join(jump, left.a == jump.v).select(F.col("m").alias("a"), "b")
         other = jump.select(F.col("v").alias("w"), F.col("m").alias("n"))
