@@ -59,7 +59,7 @@ def sample(good: DataFrame, most: int, seed: int) -> np.ndarray:
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column without nulls as a float64 matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
