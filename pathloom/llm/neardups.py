@@ -1,6 +1,7 @@
 """Operator 5, MinHash near-dedup: an LSH forest.
 
-Every document's set of distinct 2-word shingles gets 64 minhash bytes. The forest has 16 trees; a tree's
+Every document's set of distinct word shingles (five words, unless said otherwise; the query takes two) gets 64
+minhash bytes. The forest has 16 trees; a tree's
 order is that signature rotated to start at its own four bytes, so documents with a long common prefix stand
 together. The rows of all trees are range-partitioned and sorted. Neighbours that share at least four bytes
 form a region; a region of up to ``REGION`` documents is searched whole, a larger (denser) one is divided at
@@ -15,8 +16,8 @@ throughout (map-side combined), so a large group of copies costs one signature.
 
 Recall: a pair at exactly 0.8 shares no tree's prefix with probability (1 - 0.8^4)^16 = 2e-4.
 
-Defined results: null, blank and empty texts have no shingles and link with nothing (n_shingles 0); a single
-word is one shingle; rows with one doc_id are one document; a null doc_id links with nothing and is kept;
+Defined results: null, blank and empty texts have no shingles and link with nothing (n_shingles 0); a text
+shorter than a shingle is one; rows with one doc_id are one document; a null doc_id links with nothing and is kept;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, components, cut, slices, table
 
-TREES, DEPTH, REGION, ESTIMATE, BLOCK, NUMERATOR = 16, 4, 4096, 0.6, 128, 80
+WIDTH, TREES, DEPTH, REGION, ESTIMATE, BLOCK, NUMERATOR = 5, 16, 4, 4096, 0.6, 128, 80
 HASHES = TREES * DEPTH
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MANY = np.random.default_rng(20255).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,13 +53,17 @@ class _Hashes(dict):
         return out
 
 
-def shingles(text: bytes, hashes: dict) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
+def shingles(text: bytes, hashes: dict, width: int) -> np.ndarray:
+    """The distinct shingles of ``width`` words as sorted 64-bit hashes; the whole sequence, if it is shorter."""
     words = text.translate(_FOLD).split()
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) < 2:
-        return _mixed(h * _K3)
-    return np.unique(_mixed(h[:-1] * _K1 + h[1:] * _K2))
+    if not len(h):
+        return h
+    n = max(1, len(h) - width + 1)
+    out = h[:n] * _K1
+    for j in range(1, min(width, len(h))):
+        out = _mixed(out) * _K1 + h[j : j + n] * _K2
+    return np.unique(_mixed(out + np.uint64(min(width, len(h))) * _K3))
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -69,7 +74,7 @@ def signature(s: np.ndarray) -> bytes:
     return (_mixed(out) & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, a 128-bit print of the set (f1, f2) and its signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +83,7 @@ def described(docs: DataFrame) -> DataFrame:
             for batch in slices(whole, "text"):
                 n, f1, f2, sig = [], [], [], []
                 for text in as_bytes(batch.column("text")):
-                    s = shingles(text, hashes)
+                    s = shingles(text, hashes, width)
                     n.append(len(s))
                     f1.append(int(_mixed(s ^ _K1).sum(dtype=np.uint64).astype(np.int64)))
                     f2.append(int(np.bitwise_xor.reduce(_mixed(s * _K2)).astype(np.int64)) if len(s) else 0)
@@ -203,7 +208,7 @@ def linked(sets: list[np.ndarray], within: int | None = None, numerator: int = N
     return _forest(ok)
 
 
-def verified(texts: DataFrame) -> DataFrame:
+def verified(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """Links (a, b) that span the true components of each cluster: ``texts`` has cluster, n (its size), id, text.
 
     A cluster of up to BLOCK documents is one task's group; a larger one is dealt to blocks, and every pair
@@ -221,7 +226,7 @@ def verified(texts: DataFrame) -> DataFrame:
         ids = group.column("id").to_numpy()[order]
         texts = as_bytes(group.column("text").combine_chunks())
         hashes = _Hashes()
-        sets = [shingles(texts[k], hashes) for k in order]
+        sets = [shingles(texts[k], hashes, width) for k in order]
         pairs = linked(sets, None if i == j else int((own == i).sum())) if len(sets) > 1 else []
         p = ids[np.array(pairs)] if pairs else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
@@ -229,16 +234,16 @@ def verified(texts: DataFrame) -> DataFrame:
     return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
-    d = cut(described(docs))
+    d = cut(described(docs, width))
     full = d.where("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     clusters = components(candidate_pairs(classes)).withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     clusters = clusters.join(sizes, "cluster")
     texts = docs.select("doc_id", "text").join(clusters, F.col("doc_id") == F.col("id")).groupBy("id", "cluster", "n").agg(F.first("text").alias("text"))
-    joined = components(verified(texts))
+    joined = components(verified(texts, width))
     roots = classes.join(joined, "id", "left").select("f1", "f2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("root"))
     same = (d.f1 == F.col("r.f1")) & (d.f2 == F.col("r.f2")) & (d.n_shingles == F.col("r.n")) & d.doc_id.isNotNull()
     out = d.join(roots.alias("r"), same, "left")
@@ -247,4 +252,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 2)

@@ -86,8 +86,10 @@ def test_near_duplicates(spark, docs, rows, none):
             for b in sets:
                 if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardups.near_duplicates(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardups.near_duplicates(docs, 2).collect()}
     assert got == {d: (len(s), root[d], root[d] == d) for d, s in sets.items()} and got[2][1] == 1 and got[7][1] == 6
+    five = {d: frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for d, w in ((d, (t or "").encode().translate(FOLD).split()) for d, t, *_ in rows)}
+    assert {r.doc_id: r.n_shingles for r in neardups.near_duplicates(docs).collect()} == {d: len(s) for d, s in five.items()}
     assert neardups.near_duplicates(none).isEmpty()
     odd = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.kept) for r in neardups.near_duplicates(odd).collect()) == [(-1, True), (-1, True), (5, True)]
@@ -104,7 +106,7 @@ def test_dense_group_keeps_its_links(spark):
             c[j] = f"x{k}_{j}"
         texts.append(" ".join(c))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = neardups.near_duplicates(df)
+    got = neardups.near_duplicates(df, 2)
     assert got.where("component_id = 0").count() == 201
 
 
