@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .hamming import op9_embedding_near_dedup
 from .language import op6_language_id
 from .mixing import op3_source_mixing
@@ -28,5 +29,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None so far: each operator hashes, learns or iterates in a way that SQL can't express; see tests/llm."""
-    return {}
+    """The others hash, learn or iterate in ways that SQL can't express; see tests/llm."""
+    return {"op2_substring_dedup": oracles.SUBSTRINGS, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op9_embedding_near_dedup": oracles.NEAR_VECTORS}

@@ -1,5 +1,6 @@
 """Vector operators and the pipeline against brute force."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,17 @@ def test_registry(spark, sf_dir):
     assert len(registry.queries()) == 10 and {k.split("_")[0] for k in registry.queries()} == {f"op{i}" for i in range(1, 11)}
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracle(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    got = registry.queries()[name](spark, sf_dir).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
