@@ -1,40 +1,37 @@
 """Operator 4, LM scoring: a weighted backoff automaton.
 
-Unigrams are counted in full over all training documents (add-one over the vocabulary and one unknown). On
-top stand smoothed bigrams and trigrams over frequent words, counted over all training documents too:
+Unigrams, bigrams and trigrams are counted in full over all training documents, each of them from one occurrence
+on. Unigrams are add-one over the vocabulary and one unknown; on top stand
 
-    p(w | h) = (c(h w) - D) / c(h) + backoff(h) p(w | shorter h),   backoff(h) = what the kept n-grams leave
+    p(w | h) = max(c(h w) - D, 0) / c(h) + backoff(h) p(w | shorter h),   backoff(h) = D distinct(h) / c(h)
 
-The n-grams become an automaton: a state for each history, an arc with log10 p for each n-gram kept, and a
-failure arc with log10 backoff to the shorter history. One traversal from left to right per text takes an
-arc or fails to shorter histories until one fits; the empty history accepts every token. A state depends on
-the last two tokens only, so the traversal runs as array operations over all positions of many texts.
+with distinct(h) the number of different words seen after h. That is an automaton with a state for each history
+seen, an arc for each n-gram seen and a failure arc to the shorter history; a state depends on the last two
+tokens only, so the traversal runs as array operations over all positions of many texts.
 
-Bounds: bigrams join words of relative frequency ``BIGRAM_SHARE`` or more (at most 1 / share = 10,000 words),
-trigrams ``TRIGRAM_SHARE`` (1,000 words), and n-grams are kept from ``GRAM_SHARE`` on (at most a million for
-each order), so the broadcast automaton has a fixed bound at any corpus size. The full vocabulary has none
-and is never gathered: documents are dealt to blocks, each block asks for its own distinct words, a window
-by word sums the counts over all blocks, and each block gets the counts of its own words back.
+The n-grams grow with the input and are never gathered: documents are dealt to blocks, each block asks for its own
+distinct n-grams (one packed string for each bucket of keys), a bucket sums the counts over all blocks and answers
+in the order asked. A second round does the same for distinct(h): each n-gram is owned by one block, which
+counts it for its history; only histories that several blocks hold travel. The number of blocks and buckets
+follows the input's size.
 
-Words are keyed by 64-bit hashes. Defined results: null and empty texts are the end token alone; repeated
+Words and n-grams are keyed by 64-bit hashes. Defined results: null and empty texts are the end token alone; repeated
 rows count and are scored each; a null doc_id counts as the empty text in crc32; an empty table gives an
 empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc32_of_id, shuffle_width, slices, store, table
+from .common import as_bytes, crc32_of_id, mixed, shuffle_width, store, table
 
-BLOCK_BYTES, DISCOUNT, BIGRAM_SHARE, TRIGRAM_SHARE, GRAM_SHARE, FOLDS, HELD = 8_000_000, 0.75, 1e-4, 1e-3, 1e-6, 7, 2
+BLOCK_BYTES, DISCOUNT, FOLDS, HELD = 8_000_000, 0.75, 7, 2
 END = np.int64(xxhash.xxh64_intdigest(b" ") - (1 << 64) if xxhash.xxh64_intdigest(b" ") >> 63 else xxhash.xxh64_intdigest(b" "))
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -59,75 +56,123 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[np.concatenate(parts)] if parts else np.zeros(0, np.int64), np.array(lengths, np.int64)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(shuffle_width(spark), -(-total // BLOCK_BYTES))
     held = F.pmod(crc32_of_id(), F.lit(FOLDS)) == HELD
-    return docs.select("doc_id", "text", held.alias("held"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
+    return docs.select("doc_id", "text", held.alias("held"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")), n
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays))
+
+
+def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    sizes = [np.dtype(t).itemsize for t in types]
+    n, at, out = len(data) // sum(sizes), 0, []
+    for t, size in zip(types, sizes, strict=True):
+        out.append(data[at : at + n * size].reshape(size, n).T.copy().view(t).ravel())
+        at += n * size
+    return out
+
+
+def _joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their histories and last words."""
+    return mixed(mixed(history * np.uint64(0x9E3779B97F4A7C15)) + word * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class _Grams:
+    """Distinct n-grams of a block's texts (``keys``, sorted) and, for each position, the places there of its word
+    (``one``), the word before (``before``, the end token at a text's start) and its bigram (``two``); for the
+    positions ``inner``, which have a word before in their text, also of the trigram (``three``)."""
+
+    def __init__(self, texts: pa.Table):
+        words, self.lengths = tokens(as_bytes(texts.column("text").combine_chunks()))
+        words = words.view(np.uint64)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        starts = np.zeros(len(words), bool)
+        starts[self.begin] = True
+        self.inner = np.flatnonzero(~starts)
+        self.trained = np.repeat(~texts.column("held").to_numpy(), self.lengths)
+        two = _joined(np.where(starts, END.view(np.uint64), np.roll(words, 1)), words)
+        three = _joined(two[self.inner - 1], words[self.inner])
+        self.keys, place = np.unique(np.concatenate([words, two, three]), return_inverse=True)
+        self.one, self.two, self.three = np.split(place, [len(words), 2 * len(words)])
+        self.before = np.where(starts, np.searchsorted(self.keys, END.view(np.uint64)), np.roll(self.one, 1))
+
+    def counts(self) -> np.ndarray:
+        """How often each n-gram occurs in the block's training texts."""
+        at = np.concatenate([self.one[self.trained], self.two[self.trained], self.three[self.trained[self.inner]]])
+        return np.bincount(at, minlength=len(self.keys))
+
+    def histories(self) -> np.ndarray:
+        """Which keys are histories of a position."""
+        out = np.zeros(len(self.keys), bool)
+        out[self.before] = out[self.two[self.inner - 1]] = True
+        return out
 
+    def followed(self, own: np.ndarray) -> np.ndarray:
+        """For each key, the number of n-grams among ``own`` of which it is the history."""
+        out = np.zeros(len(self.keys), np.int64)
+        for grams, history in ((self.two, self.before), (self.three, self.two[self.inner - 1])):
+            of = np.full(len(self.keys), -1, np.int64)
+            of[grams] = history
+            out += np.bincount(of[own & (of >= 0)], minlength=len(out))
+        return out
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """block, key, total (the word's count in all training documents), first (once per word)."""
 
-    def run(group: pa.Table) -> pa.Table:
-        texts, held = as_bytes(group.column("text").combine_chunks()), group.column("held").to_numpy()
-        keys, lengths = tokens(texts)
-        words, inverse = np.unique(keys, return_inverse=True)
-        counts = np.bincount(inverse, np.repeat(~held, lengths), len(words)).astype(np.int64)
-        return pa.table({"block": pa.array(np.full(len(words), group.column("block")[0].as_py(), np.int32)), "key": pa.array(words), "c": pa.array(counts)})
+def _questions(block: int, buckets: int, keys: np.ndarray, counts: np.ndarray, word: np.ndarray) -> pa.Table:
+    """Sorted keys with their counts, dealt to ``buckets`` ranges of keys."""
+    bucket = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)] if len(keys) else [0]
+    out = [_pack(np.diff(keys[a:b], prepend=np.uint64(0)), counts[a:b].astype(np.int32), word[a:b].astype(np.uint8)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.table({"block": pa.array(np.full(len(out), block, np.int32)), "bucket": pa.array(bucket[cuts[:-1]]), "payload": pa.array(out, pa.binary())})
 
-    rows = blocks.groupBy("block").applyInArrow(run, "block int, key long, c long")
-    by = W.partitionBy("key")
-    return store(rows.select("block", "key", F.sum("c").over(by).alias("total"), (F.min("block").over(by) == F.col("block")).alias("first")))
 
+def _answers(questions: DataFrame, kind: int) -> DataFrame:
+    """For each question its keys' counts over all blocks, and whether the block owns a key (1) and shares it (2).
 
-def gram_counts(docs: DataFrame, often: np.ndarray, top: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Kept bigrams and trigrams of training documents: keys a * n + b and (a * m + b) * m + c, with counts."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((often, top))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tops = shared.value
-        n, m = len(words), len(tops)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                keys, lengths = tokens(as_bytes(batch.column("text")))
-                out = []
-                for order, vocabulary, size in ((2, words, n), (3, tops, m)):
-                    at = np.searchsorted(vocabulary, keys)
-                    at[at == size] = 0
-                    known = vocabulary[at] == keys
-                    # a text begins after an end token
-                    before = np.concatenate([[np.searchsorted(vocabulary, END)], at[:-1]])
-                    ok = np.concatenate([[True], known[:-1]]) & known
-                    if order == 2:
-                        grams = before[ok] * size + at[ok]
-                    else:
-                        starts = np.zeros(len(keys), bool)
-                        starts[np.cumsum(lengths)[:-1]] = True
-                        starts[0] = True
-                        ok[1:] &= ok[:-1] & ~starts[1:]
-                        ok[0] = False
-                        two = np.concatenate([[0], before[:-1]])
-                        grams = (two[ok] * size + before[ok]) * size + at[ok]
-                    g, c = np.unique(grams, return_counts=True)
-                    out.append((order, g, c))
-                for order, g, c in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), order, np.int32)), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["n", "gram", "c"])
-
-    got = docs.where(F.pmod(crc32_of_id(), F.lit(FOLDS)) != HELD).select("text").mapInArrow(run, "n int, gram long, c long")
-    kept = got.groupBy("n", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
-    n, g, c = (kept.column(k).to_numpy() for k in ("n", "gram", "c"))
-    out = []
-    for order in (2, 3):
-        by = np.argsort(g[n == order])
-        out += [g[n == order][by], c[n == order][by]]
-    return tuple(out)
+    Each n-gram seen is owned by one block. ``tokens`` and ``words`` add up to the training words and the vocabulary.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        blocks = group.column("block").to_numpy()
+        order = np.argsort(blocks)
+        payloads = group.column("payload").to_pylist()
+        parts = [_unpack(payloads[i], np.uint64, np.int32, np.uint8) for i in order]
+        keys, counts = np.concatenate([np.add.accumulate(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
+        word = np.concatenate([p[2] for p in parts]).astype(bool)
+        cuts = np.cumsum([len(p[0]) for p in parts])
+        del payloads, parts
+        by = np.argsort(keys, kind="stable")
+        head = np.flatnonzero(np.insert(keys[by][1:] != keys[by][:-1], 0, True))
+        times = np.diff(np.append(head, len(by)))
+        sums = np.add.reduceat(counts[by].astype(np.int64), head)
+        total, flag = np.empty(len(by), np.int64), np.zeros(len(by), np.uint8)
+        total[by], flag[by] = np.repeat(sums, times), np.repeat((times > 1) * np.uint8(2), times)
+        seen = by[counts[by] > 0]
+        flag[seen[np.insert(keys[seen][1:] != keys[seen][:-1], 0, True)[: len(seen)]]] |= 1
+        out = [_pack(t, f) for t, f in zip(np.split(total, cuts[:-1]), np.split(flag, cuts[:-1]), strict=True)]
+        n, v = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64)
+        n[0], v[0] = counts[word].sum(dtype=np.int64), (flag[word] & 1).sum(dtype=np.int64)
+        return pa.table({"block": pa.array(blocks[order]), "bucket": group.column("bucket"), "kind": pa.array(np.full(len(out), kind, np.int32)), "payload": pa.array(out, pa.binary()), "tokens": pa.array(n), "words": pa.array(v)})
+
+    return questions.groupBy("bucket").applyInArrow(run, "block int, bucket int, kind int, payload binary, tokens long, words long")
+
+
+def _heard(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and flags in the order of the keys asked for."""
+    kinds, buckets, payloads = answers.column("kind").to_numpy(), answers.column("bucket").to_numpy(), answers.column("payload")
+    at = np.flatnonzero(kinds == kind)
+    parts = [_unpack(payloads[int(i)].as_py(), np.int64, np.uint8) for i in at[np.argsort(buckets[at])]]
+    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
 
 
 class Automaton:
-    """Arrays of a backoff automaton over hashed words; see the module's text."""
+    """The same as arrays in memory, over n-grams that are given whole: a plain form to test against."""
 
     def __init__(self, n: int, v: int, words: np.ndarray, counts: np.ndarray, tops: np.ndarray, grams: tuple[np.ndarray, ...], discount: float = DISCOUNT):
         self.train_tokens, self.floor, self.words, self.tops = n, np.log10(n + v + 1), words, tops
@@ -195,36 +240,45 @@ class Automaton:
         return np.add.reduceat(base, begin), np.add.reduceat(out, begin), np.add.reduceat((counts > 0)[inverse].astype(np.int64), begin)
 
 
-def train(docs: DataFrame, counts: DataFrame) -> Automaton:
-    once = counts.where("first")
-    n, v = once.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
-    frequent = once.where((F.col("total") >= max(1, BIGRAM_SHARE * n)) | ((F.col("key") == int(END)) & (F.col("total") > 0))).select("key", "total").toArrow()
-    words, totals = frequent.column("key").to_numpy(), frequent.column("total").to_numpy()
-    order = np.argsort(words)
-    words, totals = words[order], totals[order]
-    tops = words[(totals >= TRIGRAM_SHARE * n) | (words == END)]
-    if not len(words):
-        empty = np.zeros(0, np.int64)
-        return Automaton(n, v, empty, empty, empty, (empty, empty, empty, empty))
-    return Automaton(n, v, words, totals, tops, gram_counts(docs, words, tops, max(2, int(np.ceil(GRAM_SHARE * n)))))
-
-
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    blocks = _blocks(docs)
-    counts = word_counts(blocks)
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, counts))
-
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        model: Automaton = shared.value
-        keys, lengths = tokens(as_bytes(texts.column("text").combine_chunks()))
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        own, total = known.column("key").to_numpy(), known.column("total").to_numpy()
-        base, score, n_known = model.score(distinct, total[np.argsort(own)], inverse, lengths)
-        return pa.table([texts.column("doc_id"), texts.column("held"), pa.array(lengths), pa.array(n_known), pa.array(np.full(len(lengths), model.train_tokens, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    blocks, n = _blocks(docs)
+
+    def ask(texts: pa.Table) -> pa.Table:
+        g = _Grams(texts)
+        word = np.zeros(len(g.keys), bool)
+        word[g.one] = True
+        return _questions(texts.column("block")[0].as_py(), n, g.keys, g.counts(), word)
+
+    def ask_histories(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        g = _Grams(texts)
+        flag = _heard(answers, 1)[1]
+        at = np.flatnonzero(g.histories() & (flag & 2 > 0))
+        return _questions(texts.column("block")[0].as_py(), n, g.keys[at], g.followed(flag & 1 > 0)[at], np.zeros(len(at), bool))
+
+    question = "block int, bucket int, payload binary"
+    counts = store(_answers(blocks.groupBy("block").applyInArrow(ask, question), 1))
+    train_tokens, vocabulary = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    asked = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(ask_histories, question)
+    answers = counts.union(_answers(asked, 2)).select("block", "bucket", "kind", "payload")
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        g = _Grams(texts)
+        count, flag = _heard(answers, 1)
+        distinct = g.followed(flag & 1 > 0)
+        distinct[g.histories() & (flag & 2 > 0)] = _heard(answers, 2)[0]
+        backoff = DISCOUNT * distinct / np.maximum(count, 1)
+        base = (count[g.one] + 1.0) / (train_tokens + vocabulary + 1)
+        p = base.copy()
+        for at, grams, history in ((np.arange(len(p)), g.two, g.before), (g.inner, g.three, g.two[g.inner - 1])):
+            seen = count[history] > 0
+            at, grams, history = at[seen], grams[seen], history[seen]
+            p[at] = np.maximum(count[grams] - DISCOUNT, 0) / count[history] + backoff[history] * p[at]
+        sums = [np.add.reduceat(x, g.begin) for x in ((count[g.one] > 0).astype(np.int64), np.log10(base), np.log10(p))]
+        return pa.table([texts.column("doc_id"), texts.column("held"), pa.array(g.lengths), pa.array(sums[0]), pa.array(np.full(len(g.lengths), train_tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(counts.select("block", "key", "total").groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

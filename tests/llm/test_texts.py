@@ -122,6 +122,29 @@ def test_scoring(spark, docs, rows, none):
     assert scoring.score_texts(none).isEmpty()
 
 
+def test_scoring_counts_every_gram(spark, docs, rows):
+    """Scores follow from all bigrams and trigrams of the training texts, also those seen once."""
+    tok = {r[0]: (r[1] or "").encode().translate(FOLD).split() + [None] for r in rows}
+    grams, after, n = Counter(), {}, 0
+    for d, t in tok.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            n += len(t)
+            for i, w in enumerate(t):
+                for g in [(w,), ((t[i - 1] if i else None), w), *([((t[i - 2] if i > 1 else None), t[i - 1], w)] if i else [])]:
+                    grams[g] += 1
+                    after.setdefault(g[:-1], set()).add(w)
+    v = sum(len(g) == 1 for g in grams)
+    for r in scoring.score_texts(docs).collect():
+        t, want = tok[r.doc_id], 0.0
+        for i, w in enumerate(t):
+            p = (grams[w,] + 1) / (n + v + 1)
+            for h in [((t[i - 1] if i else None),), *([((t[i - 2] if i > 1 else None), t[i - 1])] if i else [])]:
+                if grams[h]:
+                    p = max(grams[(*h, w)] - 0.75, 0) / grams[h] + 0.75 * len(after[h]) / grams[h] * p
+            want += log10(p)
+        assert abs(r.score - want) < 1e-6 * max(1, len(t))
+
+
 def test_automaton_sums_to_one():
     """After any history, the probabilities of all words and the unknown one make 1."""
     rng = np.random.default_rng(5)
