@@ -30,10 +30,10 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 MATRIX = TRIPLES + ", matrix AS (SELECT head AS src, tail AS dst, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY head) AS score FROM triples GROUP BY head, tail)"
 
 
-def chains(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
-    """chain_id, path: the first k event types of each user."""
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chain_id, path: all event types of each user in order."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    e = table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w))
     return e.groupBy(F.col("user_id").alias("chain_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_type"))), lambda s: s["event_type"]).alias("path"))
 
 
