@@ -89,6 +89,9 @@ def _mapped(batch: pa.RecordBatch, buckets: int, window: int, gram: int) -> Iter
     """(bucket, kind, payload): packed super-k-mers (kind 0) and marks made here (kind 1) of one stretch of input."""
     docs, hashes_of = batch.column("doc_id").fill_null(_LEAST).to_numpy(), batch.column("text_hash").to_numpy()
     order = np.lexsort((hashes_of, docs))
+    # rows that repeat a document would find their own windows again
+    again = (docs[order][1:] == docs[order][:-1]) & (hashes_of[order][1:] == hashes_of[order][:-1])
+    order = order[np.insert(~again, 0, True)]
     texts = as_bytes(batch.column("text"))
     codes, words, lengths = word_codes([texts[i] for i in order])
     del texts

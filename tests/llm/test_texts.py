@@ -75,6 +75,13 @@ def test_substrings(spark, docs, rows, none):
     assert sorted((r.doc_id, r.n_removed) for r in substrings.dedup_substrings(twice).collect()) == [(80, 0), (80, 0), (81, 55)]
 
 
+def test_repeated_rows_of_one_stretch(spark, rows):
+    """A row that is repeated in the same partition, with an id and without, keeps its passage once."""
+    text = {r[0]: r[1] for r in rows}
+    got = spark.createDataFrame([(80, text[80]), (80, text[80]), (81, text[81]), (None, text[1]), (None, text[1]), (60, text[1])], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id or -1, r.n_removed) for r in substrings.dedup_substrings(got).collect()) == [(-1, 0), (-1, 0), (60, 120), (80, 0), (80, 0), (81, 55)]
+
+
 def test_near_duplicates(spark, docs, rows, none):
     sets = {}
     for d, t, *_ in rows:
