@@ -3,9 +3,9 @@
 Every document's set of distinct word shingles (five words, unless said otherwise; the query takes two) gets 64
 minhash bytes. The forest has 16 trees; a tree's
 order is that signature rotated to start at its own four bytes, so documents with a long common prefix stand
-together. The rows of all trees are range-partitioned and sorted. Neighbours that share at least four bytes
-form a region; a region of up to ``REGION`` documents is searched whole, a larger (denser) one is divided at
-greater depth until its parts are small enough, with neighbours in the order always linked. Inside a region
+together. Documents of a tree that share those four bytes form a region, and every region is searched whole: the
+rows are dealt by tree and prefix, one of more than ``REGION`` documents in blocks, each pair of blocks a
+group of its own. Inside a group
 the signatures estimate similarity, and a spanning forest of the pairs estimated at ESTIMATE (far below the
 threshold) or more leaves the task, never all pairs.
 
@@ -110,74 +110,82 @@ def _forest(ok: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _alike(sigs: np.ndarray) -> np.ndarray:
-    """Which pairs agree in at least ESTIMATE of their bytes."""
-    n, least = len(sigs), ESTIMATE * HASHES
-    ok = np.zeros((n, n), bool)
-    step = max(1, 4_000_000 // (n * HASHES))
-    for a in range(0, n, step):
-        ok[a : a + step] = (sigs[a : a + step, None] == sigs[None]).sum(2) >= least
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of a row of ``x`` and one of ``y`` agree in at least ESTIMATE of their bytes."""
+    ok = np.zeros((len(x), len(y)), bool)
+    columns = np.ascontiguousarray(y.T)
+    step = max(1, 1_000_000 // len(y))
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        same = np.zeros((len(part), len(y)), np.uint8)
+        for k in range(HASHES):
+            same += part[:, k, None] == columns[k]
+        ok[a : a + step] = same >= ESTIMATE * HASHES
     return ok
 
 
-def _candidates(ids: np.ndarray, sigs: np.ndarray) -> np.ndarray:
-    """Candidate pairs of one sorted stretch of a tree."""
-    out = []
-    shared = (sigs[1:, :DEPTH] == sigs[:-1, :DEPTH]).all(1)
-    near = np.flatnonzero(shared)
+def _candidates(ids: np.ndarray, sigs: np.ndarray, other: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Candidate pairs of whole groups, which begin where ``head`` is set.
+
+    Rows of a pair of blocks have ``other`` set in the second block; only pairs across are searched there.
+    """
+    near = np.flatnonzero(~head[1:])
     near = near[(sigs[near] == sigs[near + 1]).sum(1) >= ESTIMATE * HASHES]
-    out.append(np.column_stack([ids[near], ids[near + 1]]))  # neighbours by longest common prefix
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
-    todo = [(a, b + 1, DEPTH) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= 2]
-    while todo:
-        a, b, depth = todo.pop()
-        if b - a <= REGION:
-            pairs = _forest(_alike(sigs[a:b]))
-            if pairs:
-                out.append(ids[a:b][np.array(pairs)])
-        elif depth < HASHES:
-            cuts = [a, *(np.flatnonzero(np.diff(sigs[a:b, depth])) + a + 1).tolist(), b]
-            todo += [(x, y, depth + 1) for x, y in zip(cuts, cuts[1:], strict=False) if y - x > 2]
+    out = [np.column_stack([ids[near], ids[near + 1]])]  # neighbours, and so all groups of two
+    cuts = np.append(np.flatnonzero(head), len(ids))
+    for k in np.flatnonzero(np.diff(cuts) > 2).tolist():
+        a, b = int(cuts[k]), int(cuts[k + 1])
+        second = other[a:b]
+        if second.any():
+            ok = np.zeros((b - a, b - a), bool)
+            ok[np.ix_(~second, second)] = found = _alike(sigs[a:b][~second], sigs[a:b][second])
+            ok[np.ix_(second, ~second)] = found.T
+        else:
+            ok = _alike(sigs[a:b], sigs[a:b])
+        pairs = _forest(ok)
+        if pairs:
+            out.append(ids[a:b][np.array(pairs)])
     return np.concatenate(out)
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of classes (id, sig) from all trees of the forest; repeats are left in."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = classes.select("id", "sig", trees).select("tree", F.concat(F.substring("sig", F.col("tree") * DEPTH + 1, F.lit(HASHES)), F.substring("sig", F.lit(1), F.col("tree") * DEPTH)).alias("label"), "id")
+    rows = classes.select("id", "sig", trees).withColumn("prefix", F.substring("sig", F.col("tree") * DEPTH + 1, F.lit(DEPTH)))
+    large = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGION)
+    blocks = F.coalesce(F.ceil(F.col("n") / REGION), F.lit(1)).cast("int")
+    dealt = rows.join(large, ["tree", "prefix"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("tree", "prefix", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "sig", "id", (F.col("own") > F.col("o")).alias("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_t, keep_i, keep_s = [], [], []
+        held: list[pa.RecordBatch] = []
 
         def done(last: bool) -> Iterator[pa.RecordBatch]:
-            """Searches what is complete; a region that may go on stays."""
-            nonlocal keep_t, keep_i, keep_s
-            t, i, s = np.concatenate(keep_t), np.concatenate(keep_i), np.concatenate(keep_s)
-            head = np.insert((t[1:] != t[:-1]) | (s[1:, :DEPTH] != s[:-1, :DEPTH]).any(1), 0, True)
-            stop = len(t) if last else int(np.flatnonzero(head)[-1])
-            keep_t, keep_i, keep_s = [t[stop:]], [i[stop:]], [s[stop:]]
-            bounds = [0, *(np.flatnonzero(np.diff(t[:stop])) + 1).tolist(), stop]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                if b - a > 1:
-                    p = _candidates(i[a:b], s[a:b])
-                    yield pa.RecordBatch.from_arrays([pa.array(p.min(1)), pa.array(p.max(1))], names=["a", "b"])
-
-        held = 0
+            """Searches what is complete; a group that may go on stays."""
+            nonlocal held
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = np.column_stack([t.column(c).to_numpy() for c in ("tree", "i", "j")] + [np.frombuffer(b"".join(t.column("prefix").to_pylist()), np.int32)])
+            head = np.insert((key[1:] != key[:-1]).any(1), 0, True)
+            stop = t.num_rows if last else int(np.flatnonzero(head)[-1])
+            held = t.slice(stop).to_batches()
+            if stop > 1:
+                t = t.slice(0, stop)
+                sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+                p = _candidates(t.column("id").to_numpy(), sigs, t.column("other").to_numpy(), head[:stop])
+                yield pa.RecordBatch.from_arrays([pa.array(p.min(1)), pa.array(p.max(1))], names=["a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keep_t.append(batch.column("tree").to_numpy())
-            keep_i.append(batch.column("id").to_numpy())
-            keep_s.append(np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(-1, HASHES))
-            held += batch.num_rows
-            if held > 50_000:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) > 50_000:
                 yield from done(False)
-                held = len(keep_t[0])
         if held:
             yield from done(True)
 
     parts = classes.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return rows.repartitionByRange(int(parts), "tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(run, "a long, b long")
+    group = ["tree", "prefix", "i", "j"]
+    return dealt.repartition(int(parts), *group).sortWithinPartitions(*group, "id").mapInArrow(run, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], within: int | None = None, numerator: int = NUMERATOR) -> list[tuple[int, int]]:

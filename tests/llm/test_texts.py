@@ -117,6 +117,21 @@ def test_dense_group_keeps_its_links(spark):
     assert got.where("component_id = 0").count() == 201
 
 
+def test_large_region_is_searched_whole(spark):
+    """A pair that shares one tree's prefix only, in a region of more than REGION signatures."""
+    rng = np.random.default_rng(6)
+    n = neardups.REGION + 1500
+    sigs = rng.integers(0, 256, (n, neardups.HASHES), dtype=np.uint8)
+    sigs[:, :4] = 7
+    pairs = [(2 * i, 2 * i + 1) for i in range(40)]
+    for a, b in pairs:
+        sigs[b] = sigs[a]
+        sigs[b, 4::4] += np.uint8(128)  # one byte of every other tree's prefix
+    classes = spark.createDataFrame([(i, sigs[i].tobytes()) for i in range(n)], "id long, sig binary")
+    got = {(r.a, r.b) for r in neardups.candidate_pairs(classes).collect()}
+    assert got == set(pairs)
+
+
 def test_scoring(spark, docs, rows, none):
     tok = {r[0]: (r[1] or "").encode().translate(FOLD).split() + [None] for r in rows}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tok}
