@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,3 +80,42 @@ def deepest(nodes: DataFrame) -> DataFrame:
 
 def upper_confidence(total: Column, visits: Column, parent_visits: Column, c: float = 1.414, e: float = 1e-6) -> Column:
     return total / (visits + e) + c * F.sqrt(F.log(parent_visits + 1) / (visits + e))
+
+
+def nearest(vectors: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
+    """query_id, rank, vec_id, similarity: the k rows of ``vectors`` (vec_id, embedding) most like each row, ties by id.
+
+    Rows are dealt to blocks; each pair of blocks compares all its rows and keeps k for each query.
+    """
+    n = max(1, -(-vectors.count() // block))
+    own, other = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
+    dealt = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), own, other)
+    asking = dealt.select(F.col("own").alias("q"), F.col("other").alias("c"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    asked = dealt.select(F.col("other").alias("q"), F.col("own").alias("c"), F.lit(False).alias("asks"), "vec_id", "embedding")
+
+    def run(group: pa.Table) -> pa.Table:
+        asks, ids = group.column("asks").to_numpy(), group.column("vec_id").to_numpy()
+        x = group.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        norm = np.sqrt((x * x).sum(1))
+        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
+        parts = []
+        for at in range(0, len(q) if len(c) else 0, 256):
+            rows = q[at : at + 256]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = np.nan_to_num((x[rows] @ x[c].T) / (norm[rows, None] * norm[c]), nan=-2.0)
+            s[ids[rows, None] == ids[c]] = -np.inf
+            least = np.partition(s, max(0, len(c) - k), 1)[:, max(0, len(c) - k)]
+            a, b = np.nonzero((s >= least[:, None] - 1e-9) & (s > -np.inf))
+            # once more pair by pair, so that equal vectors are equally similar
+            with np.errstate(invalid="ignore", divide="ignore"):
+                exact = np.nan_to_num((x[rows[a]] * x[c[b]]).sum(1) / (norm[rows[a]] * norm[c[b]]), nan=-2.0)
+            by = np.lexsort((ids[c[b]], -exact, a))
+            a, b, exact = a[by], b[by], exact[by]
+            best = np.arange(len(a)) - np.searchsorted(a, a) < k
+            parts.append((ids[rows[a[best]]], ids[c[b[best]]], exact[best]))
+        cols = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2], mask=cols[2] < -1.5)})
+
+    x = asking.union(asked).groupBy("q", "c").applyInArrow(run, "query_id long, vec_id long, similarity double")
+    w = W.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "vec_id")
+    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")

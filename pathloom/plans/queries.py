@@ -280,10 +280,7 @@ def usecase_match(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH x AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM x)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 5) AS similarity FROM r WHERE rank <= 5""")
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # five query rows
-    x = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("similarity", vector.cosine(F.col("q"), F.col("embedding")))
-    x = graph.numbered(x, ["query_id"], [F.desc("similarity"), "vec_id"]).where("rank <= 5")
+    x = search.nearest(table(spark, sf, "embeddings").select("vec_id", "embedding"))
     return _rounded(x, ["similarity"], 5).select("query_id", "rank", "vec_id", "similarity")
 
 

@@ -1,9 +1,11 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import chains, graph, mapping, report, search, taxonomy
+from pathloom.plans.queries import QUERIES
 from pathloom.sources import readers
 
 
@@ -153,3 +155,27 @@ def test_documents_and_tables(spark):
         want.append((i, total))
     assert got == want
     assert report.histogram(v, "v").agg(F.sum("n")).first()[0] == 50
+
+
+def test_cosine_topk_asks_with_all_rows(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    s = (x @ x.T) / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1))
+    np.fill_diagonal(s, -2)
+    got = {}
+    for r in QUERIES["cosine_topk"](spark, sf_dir).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.similarity
+    assert got.keys() == {r.vec_id for r in rows}
+    for i, r in enumerate(rows):
+        assert [got[r.vec_id][k] for k in range(1, 6)] == pytest.approx(np.sort(s[i])[::-1][:5].tolist(), abs=2e-5)
+
+
+def test_nearest_in_blocks(spark):
+    """Over several blocks, with ties: equal vectors come by id."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(20, 6)), 4, 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in search.nearest(df, 3, block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {i: [j for j in range(i // 4 * 4, i // 4 * 4 + 4) if j != i] for i in range(80)}
