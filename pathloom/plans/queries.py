@@ -193,7 +193,7 @@ for _s, _sql in _REDUCE.items():
 @query(f"WITH {views.MATRIX}, {views.STEPS}, c AS (SELECT chain_id, avg(score) AS s FROM scored GROUP BY chain_id) SELECT CAST(row_number() OVER (ORDER BY round(s, 6) DESC, chain_id) AS INTEGER) AS rank, chain_id, round(s, 6) AS chain_score FROM c WHERE s >= 0.2 ORDER BY 1 LIMIT 20")
 def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
     r = chains.rank_candidates(views.chains(spark, sf), views.matrix(spark, sf), "average", 0.2)
-    r = _rounded(r, ["chain_score"]).orderBy(F.desc("chain_score"), "chain_id").limit(20).select("chain_id", "chain_score")
+    r = _rounded(r, ["chain_score"]).select("chain_id", "chain_score")
     return graph.numbered(r, [], [F.desc("chain_score"), "chain_id"]).select("rank", "chain_id", "chain_score")
 
 

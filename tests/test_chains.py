@@ -45,3 +45,19 @@ def test_mapped_and_written_chains(spark, sf_dir, paths):
     assert got == {c: ["input" if t in ("click", "view") else t for t in p] for c, p in paths.items()}
     documents = {r.chain_id: json.loads(r.document) for r in QUERIES["workflow_json"](spark, sf_dir).collect()}
     assert {c: len(d["nodes"]) for c, d in documents.items()} == {c: len(p) for c, p in paths.items()}
+
+
+def test_all_candidates_are_ranked(spark, sf_dir, tmp_path):
+    """Also those beyond rank 20."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e.unionByName(e.withColumn("user_id", e.user_id + 1_000_000)).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["rank_candidates"](spark, str(tmp_path)).collect()
+    steps, heads = Counter(), Counter()
+    chains = {r.chain_id: r.path for r in views.chains(spark, str(tmp_path)).collect()}
+    for p in chains.values():
+        steps.update(zip(p, p[1:]))
+        heads.update(p[:-1])
+    mean = {c: sum(steps[s] / heads[s[0]] for s in zip(p, p[1:])) / max(1, len(p) - 1) for c, p in chains.items()}
+    want = {c: s for c, s in mean.items() if s >= 0.2}
+    assert len(want) > 20 and {r.chain_id: r.chain_score for r in got} == pytest.approx(want, abs=2e-6)
+    assert [r["rank"] for r in sorted(got, key=lambda r: (-r.chain_score, r.chain_id))] == list(range(1, len(want) + 1))
