@@ -186,8 +186,12 @@ def expand(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
     return nodes.select("node").union(first("tail", "head")).union(first("head", "tail")).distinct().orderBy("node").limit(most)
 
 
-def longest_path(edges: DataFrame, nodes: DataFrame, most_edges: int = 8) -> DataFrame:
-    """path: the longest simple path within ``nodes`` from a source (else any node); ties by name."""
+def longest_path(edges: DataFrame, nodes: DataFrame, most_edges: int | None = None) -> DataFrame:
+    """path: the longest simple path within ``nodes`` from a source (else any node); ties by name.
+
+    Without ``most_edges``, paths may be as long as there are nodes.
+    """
+    most_edges = nodes.count() if most_edges is None else most_edges
     inside = induced(edges, nodes).select("head", "tail").where("head <> tail").distinct()
     inside.createOrReplaceTempView("__inside")
     sources = nodes.join(inside.select(F.col("tail").alias("node")).distinct(), "node", "left_anti")

@@ -46,6 +46,11 @@ def test_reach_levels_paths(spark):
     assert graph.longest_path(e, graph.nodes_of(e)).first().path == ["x", "a", "b", "c", "d"]
 
 
+def test_longest_path_has_no_cap(spark):
+    e = edges(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(11)])
+    assert graph.longest_path(e, graph.nodes_of(e)).first().path == [f"n{i:02}" for i in range(12)]
+
+
 def test_compose(spark):
     e = edges(spark, [("aTrigger", "code1"), ("code1", "noOp"), ("aTrigger", "noOp"), ("z", "noOp")])
     n = graph.nodes_of(e)
