@@ -5,15 +5,15 @@ Loops run on the driver over cut lineage (checkpoint); what they carry stays dis
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.stats import ratio
 
+from . import lineage
+from .lineage import cut
+
 # Substrings that mark triggers, usual ends and critical nodes.
 TRIGGERS = ["trigger", "webhook", "cron"]
 ENDS = ["noOp", "stopAndError", "emailSend", "respondToWebhook"]
@@ -21,13 +21,6 @@ PATH_ENDS = [*ENDS, "googleCalendar"]
 CRITICAL = ["function", "code", "if", "switch", "merge", "openai", "agent", "llm", "chat", "embedding", "extract", "transform", "filter", "aggregate"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pathloom-checkpoints"))
-    return df.checkpoint()
-
-
 def digraph(triples: DataFrame, order: str) -> DataFrame:
     """One row per (head, tail): the last relation by ``order`` wins; weight 1."""
     return triples.groupBy("head", "tail").agg(F.max_by("relation", order).alias("relation")).withColumn("weight", F.lit(1.0))
@@ -49,22 +42,9 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node), by repeated contraction into the smallest neighbour."""
-    names = cut(nodes_of(edges).withColumn("component", F.col("node")))
-    left = cut(edges.select(F.col("head").alias("a"), F.col("tail").alias("b")).where("a <> b").distinct())
-    while not left.isEmpty():
-        both = left.union(left.select("b", "a").toDF("a", "b"))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")))
-        # each vertex's pointer is followed to its root, in doubling steps
-        jump, moved = least, True
-        while moved:
-            step = cut(jump.alias("x").join(jump.alias("y"), F.col("x.m") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.coalesce("y.m", "x.m").alias("m"), (F.col("y.m") < F.col("x.m")).alias("moved")))
-            moved, jump = not step.where("moved").isEmpty(), step.select("v", "m")
-        names = cut(names.join(jump, names.component == jump.v, "left").select("node", F.coalesce("m", "component").alias("component")))
-        heads = left.join(jump, left.a == jump.v).select(F.col("m").alias("a"), "b")
-        other = jump.select(F.col("v").alias("w"), F.col("m").alias("n"))
-        left = cut(heads.join(other, heads.b == other.w).select(F.least("a", "n").alias("a"), F.greatest("a", "n").alias("b")).where("a <> b").distinct())
-    return names
+    """node, component (its smallest node)."""
+    found = lineage.components(edges, "head", "tail")
+    return nodes_of(edges).join(found, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def statistics(edges: DataFrame) -> DataFrame:
