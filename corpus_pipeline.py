@@ -9,6 +9,15 @@ stages but the last return the columns of ``documents``:
     pii       texts are pseudonymised; ``n_chars`` is brought up to date
     mix       documents are repeated or dropped as the source mix takes them
     pack      pieces of token sequences with their places
+
+Defined results, for every stage: an empty table gives an empty result; columns beyond those of ``documents`` pass
+through, whatever their names; whole texts count, however long. Null and empty texts have no language, so they go
+in ``language``; a stage that meets them all the same keeps them in ``dedup`` (a null text links with nothing), leaves
+them as they are in ``pii``, takes none of them in ``mix`` (size 0) and packs the end id alone in ``pack``. A null doc_id
+is a document of its own in every stage; a null lang or source is no obstacle (a null source is a source of its own).
+Ties: equally likely languages go to the first by name, of equal texts the smallest doc_id stays. Rows that repeat
+a whole document are copies in ``dedup``: one stays. Rows that share a doc_id but not the text are one document
+there (see ``neardups``): all of them stay or go. In the other stages each row counts.
 """
 
 from __future__ import annotations
@@ -19,24 +28,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import language, mixing, neardups, packing, pseudonyms
-from pathloom.llm.common import checkpoint_dir, with_columns_of
+from pathloom.llm.common import checkpoint_dir, free_names, remove
 
 LEAST_SHARE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = language.identify(docs, language.train(docs), keep=True)
-    kept = scored.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    lang, score = free_names(docs.columns, "_lang", "_score")
+    scored = language.identify(docs, language.train(docs), keep=(lang, score))
+    kept = scored.where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_SHARE))
+    return kept.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardups.near_duplicates(docs).where("not kept").select("doc_id").distinct().withColumn("_gone", F.lit(True))
-    return with_columns_of(docs, gone, ["doc_id"]).where(F.col("_gone").isNull()).select(*docs.columns)
+    return neardups.without_near_duplicates(docs)
 
 
 def pseudonymise_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pseudonyms.pseudonymise(docs)
+    out = pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
@@ -61,10 +70,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared checkpoint folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared checkpoint folder and read again.
+
+    A stage's folder is removed when the next one is written; the last one's input stays, as the result is lazy.
+    """
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     base = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        path = f"{base}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if old:
+            remove(spark, old)
+        old = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,9 +1,8 @@
-"""What several operators share: table access, lineage cuts, components, text helpers."""
+"""What several operators share: table access, joins, text helpers (and, from the library, lineage cuts and components)."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.operators.lineage import checkpoint_dir, components, counted, cut, free_names, release, remove
+
+__all__ = ["checkpoint_dir", "components", "counted", "cut", "free_names", "release", "remove"]
+
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` gives the same words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where none is set (local tests), a temporary folder."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if not found:
-        found = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pathloom-checkpoints")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared checkpoint folder: it survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -68,49 +55,20 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components by repeated contraction: (id, component), the component being its smallest id.
-
-    ``edges``: two long columns; loops and repeats don't matter, null ends are ignored. Each round, every
-    vertex points to the smallest vertex beside it, pointers are followed to their roots by doubling, and the
-    edges are rewritten between roots, of which there are at most half as many; stars, cliques and sorted chains
-    vanish in one or two rounds. All rounds are aggregations
-    with map-side combining and plain joins; nothing is gathered on the driver. Only ids that occur in
-    ``edges`` are returned; an empty input gives an empty result.
-    """
-    left = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    names = cut(left.select(F.col("a").alias("id")).union(left.select(F.col("b").alias("id"))).distinct().withColumn("component", F.col("id")))
-    while not left.isEmpty():
-        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")))
-        # each vertex's pointer is followed to its root, in doubling steps
-        jump, moved = least, True
-        while moved:
-            step = cut(jump.alias("x").join(jump.alias("y"), F.col("x.m") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.coalesce("y.m", "x.m").alias("m"), (F.col("y.m") < F.col("x.m")).alias("moved")))
-            moved, jump = not step.where("moved").isEmpty(), step.select("v", "m")
-        names = cut(names.join(jump, names.component == jump.v, "left").select("id", F.coalesce("m", "component").alias("component")))
-        left = cut(
-            left.join(jump, left.a == jump.v).select(F.col("m").alias("a"), "b")
-            .join(jump.select(F.col("v").alias("w"), F.col("m").alias("n")), F.col("b") == F.col("w"))
-            .select(F.least("a", "n").alias("a"), F.greatest("a", "n").alias("b")).where("a <> b").distinct()
-        )
-    return names
-
-
 def with_columns_of(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """``left`` joined to ``right`` on ``keys``, null equal to null; the keys of ``left`` stay."""
-    other = right.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in right.columns])
+    """``left`` joined to ``right`` on ``keys``, null equal to null; the keys of ``left`` stay. The other columns of
+    ``right`` must not be among those of ``left`` (see ``free_names``)."""
+    theirs = free_names([*left.columns, *right.columns], *keys)
+    other = right.select(*[F.col(k).alias(t) for k, t in zip(keys, theirs, strict=True)], *[c for c in right.columns if c not in keys])
     on = None
-    for k in keys:
-        e = F.col(k).eqNullSafe(F.col(f"__{k}"))
+    for k, t in zip(keys, theirs, strict=True):
+        e = F.col(k).eqNullSafe(F.col(t))
         on = e if on is None else on & e
-    return left.join(other, on, how).drop(*[f"__{k}" for k in keys])
+    return left.join(other, on, how).drop(*theirs)
 
 
 def store(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read again; smaller there than ``cut``."""
-    import uuid
-
     path = f"{checkpoint_dir(df.sparkSession)}/pathloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

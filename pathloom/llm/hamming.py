@@ -1,16 +1,20 @@
 """Operator 9, embedding near-dedup: iterative quantisation and multi-index Hamming tables.
 
-Rotations are learned on a bounded sample by iterative quantisation (alternating sign codes and orthogonal
-Procrustes), several from different starts; the sign bits of a vector under all rotations are its code.
-The code is cut into tables of ``TABLE_BITS`` bits. Vectors that agree in a table's bits meet in that table's
-bucket; pairs whose whole codes differ in at most ``FAR`` of their bits are reranked on the original vectors:
-linked where the cosine, in double precision, is at least the threshold. A pair leaves only the first table
-in which it meets, so no pair is made twice.
+Rotations are learned on a bounded sample of unit vectors, less their mean, by iterative quantisation (alternating
+sign codes and orthogonal Procrustes), several from different starts; the sign bits of a vector under all
+rotations are its code, so bits are balanced wherever the vectors lie. The code is cut into tables. Vectors that
+agree in a table's bits meet in that table's bucket; pairs whose whole codes differ too much are left out, the
+others are reranked on the original vectors: linked where the cosine, in double precision, is at least the
+threshold. A pair leaves only the first table in which it meets, so no pair is made twice.
+
+A table has about log2(rows) bits, so that buckets stay small as the input grows, and fewer where ``MOST_TABLES``
+tables could not find ``RECALL`` of the pairs. That is measured, not assumed: vectors of the sample are paired
+with vectors at exactly the threshold from them, and the share of such pairs that agree in a table's bits gives the
+number of tables, the spread of their codes' differences what is left out.
 
 Skew: equal vectors are one class (map-side combined, weighted by their number). A bucket of more than
 ``BLOCK`` classes is dealt to blocks, and pairs of blocks are the units of work, so no task holds an
-unbounded group. Recall: two vectors at cosine 0.95 (18.2 degrees) agree in a bit with probability 0.9, in
-one of the 24 tables with 0.99; at 0.97 with 0.9996.
+unbounded group.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or have not the
 most frequent length, link with nothing (n_links 0, a component of their own, kept); rows with one vec_id
@@ -27,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, counted, cut, table
 
-ROTATIONS, TABLE_BITS, SAMPLE, ROUNDS, FAR, BLOCK, COSINE = 6, 16, 20_000, 30, 0.25, 128, 0.95
+SAMPLE, ROUNDS, BLOCK, COSINE = 20_000, 30, 128, 0.95
+RECALL, MOST_TABLES, LEAST_BITS, MOST_BITS, PROBES = 0.99, 32, 8, 24, 4000
 
 
 def usable(embedding: str = "embedding") -> F.Column:
@@ -47,9 +52,8 @@ def vectors(df: DataFrame, id_name: str = "vec_id") -> tuple[DataFrame, int]:
     return good.where(F.size("embedding") == dim), dim
 
 
-def sample(good: DataFrame, most: int, seed: int) -> np.ndarray:
-    """About ``most`` vectors (all, if fewer), chosen by a hash of their ids."""
-    n = good.count()
+def sample(good: DataFrame, n: int, most: int, seed: int) -> np.ndarray:
+    """About ``most`` of ``n`` vectors (all, if fewer), chosen by a hash of their ids."""
     share = min(1.0, most / max(1, n))
     chance = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     got = good.where(chance < share).select("id", F.col("embedding").cast("array<float>").alias("embedding")).orderBy("id").toArrow()
@@ -73,25 +77,71 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray
     return r
 
 
-def hamming_pairs(classes: DataFrame, rotations: np.ndarray, mean: np.ndarray) -> DataFrame:
+class Coder:
+    """Codes of vectors: ``tables`` of ``bits`` bits each, a table's bits padded to whole bytes."""
+
+    def __init__(self, x: np.ndarray, n: int, cosine: float, recall: float = RECALL):
+        """``x``: unit vectors of a sample; ``n``: rows of the whole input."""
+        dim = x.shape[1]
+        self.mean = x.mean(0)
+        learnt: list[np.ndarray] = []
+
+        def turned(bits: int) -> np.ndarray:
+            while len(learnt) * dim < bits:
+                learnt.append(learn_rotation(x - self.mean, len(learnt)))
+            return np.concatenate(learnt, 1)[:, :bits]
+
+        # pairs at the threshold itself
+        rng = np.random.default_rng(9)
+        a = x[rng.integers(0, len(x), PROBES)]
+        side = rng.normal(size=a.shape)
+        side -= (side * a).sum(1, keepdims=True) * a
+        b = cosine * a + np.sqrt(1 - cosine**2) * side / np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-30)
+        def found(bits: int, tables: int) -> np.ndarray:
+            """Of all pairs, which tables find them."""
+            r = turned(bits * tables)
+            same = ((a - self.mean) @ r >= 0) == ((b - self.mean) @ r >= 0)
+            return same.reshape(len(a), tables, bits).all(2)
+
+        for self.bits in range(int(np.clip(round(np.log2(max(2, n))), LEAST_BITS, MOST_BITS)), LEAST_BITS - 1, -1):
+            hit = np.clip(found(self.bits, 4).mean(), 1e-6, 0.999)
+            self.tables = int(np.ceil(np.log(1 - recall) / np.log(1 - hit)))
+            # pairs differ in how well they agree, so the tables that are enough on average may not be
+            while self.tables <= MOST_TABLES and found(self.bits, self.tables).any(1).mean() < recall:
+                self.tables += 1
+            if self.tables <= MOST_TABLES:
+                break
+        self.tables = min(self.tables, MOST_TABLES)
+        self.rotation = turned(self.tables * self.bits)
+        off = (((a - self.mean) @ self.rotation >= 0) != ((b - self.mean) @ self.rotation >= 0)).sum(1)
+        self.far = int(np.ceil(off.mean() + 6 * off.std()))  # differing bits beyond which a pair is left out
+        self.bytes = -(-self.bits // 8)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """Bytes of unit vectors: rows x tables x bytes."""
+        bits = np.zeros((len(x), self.tables, self.bytes * 8), np.uint8)
+        bits[:, :, : self.bits] = ((x - self.mean) @ self.rotation >= 0).reshape(len(x), self.tables, self.bits)
+        return np.packbits(bits, axis=2, bitorder="little")
+
+
+def hamming_pairs(classes: DataFrame, coder: Coder) -> DataFrame:
     """Candidate pairs (a, b), a < b, of classes (id, embedding), each once."""
-    spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast((rotations, mean))
-    tables = rotations.shape[1] // TABLE_BITS
+    shared = classes.sparkSession.sparkContext.broadcast(coder)
+    tables, width, far = coder.tables, coder.bytes, coder.far
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, m = shared.value
+        own: Coder = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("embedding"))
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            bits = np.packbits((x - m) @ r >= 0, axis=1, bitorder="little")
-            n, ids = len(bits), batch.column("id").to_numpy()
-            keys = np.ascontiguousarray(bits).view(np.uint16).astype(np.int32)
+            codes = own.codes(x)
+            n, ids = len(codes), batch.column("id").to_numpy()
+            keys = (codes.astype(np.int32) << (8 * np.arange(width, dtype=np.int32))).sum(2, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(keys[:, :tables].ravel()), pa.array(np.repeat(ids, tables)),
-                pa.array([b.tobytes() for b in bits], pa.binary()).take(pa.array(np.repeat(np.arange(n), tables))),
+                pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(keys.ravel()), pa.array(np.repeat(ids, tables)),
+                pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(np.repeat(np.arange(n), tables))),
             ], names=["t", "key", "id", "code"])
 
     rows = cut(classes.select("id", "embedding").mapInArrow(encode, "t int, key int, id long, code binary"))
@@ -117,18 +167,18 @@ def hamming_pairs(classes: DataFrame, rotations: np.ndarray, mean: np.ndarray) -
             ids, t = tab.column("id").to_numpy(), tab.column("t").to_numpy()
             own, i, j = (tab.column(c).to_numpy() for c in ("own", "i", "j"))
             codes = np.frombuffer(b"".join(tab.column("code").to_pylist()), np.uint8).reshape(len(units), -1)
-            words = codes.view(np.uint16)
+            words = codes.reshape(len(units), tables, width)
             out_a, out_b = [], []
             for a, b in zip(bounds, bounds[1:], strict=False):
                 if b - a < 2:
                     continue
                 diff = np.bitwise_count(codes[a:b, None] ^ codes[None, a:b]).sum(2, dtype=np.int32)
-                ok = (diff <= FAR * codes.shape[1] * 8) & (ids[a:b, None] < ids[None, a:b])
+                ok = (diff <= far) & (ids[a:b, None] < ids[None, a:b])
                 if i[a] != j[a]:
                     ok &= own[a:b, None] != own[None, a:b]
                 x, y = np.nonzero(ok)
                 # this table must be the first in which the two meet
-                same = words[a:b][x, :tables] == words[a:b][y, :tables]
+                same = (words[a:b][x] == words[a:b][y]).all(2)
                 first = same.any(1) & (same.argmax(1) == t[a])
                 out_a.append(ids[a:b][x[first]])
                 out_b.append(ids[a:b][y[first]])
@@ -164,19 +214,15 @@ def similar_pairs(classes: DataFrame, pairs: DataFrame, cosine: float) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_vectors(df: DataFrame, cosine: float = COSINE, rotations: int = ROTATIONS, most: int = SAMPLE) -> DataFrame:
+def near_vectors(df: DataFrame, cosine: float = COSINE, most: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``df``."""
     good, dim = vectors(df)
-    good = cut(good)
-    x = sample(good, most, 9)
+    good, n = counted(good)
+    x = sample(good, n, most, 9)
+    classes = cut(good.groupBy("embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     if len(x):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-    mean = np.zeros(dim)  # directions matter, so codes are centred at the origin
-    r = np.concatenate([learn_rotation(x, seed) for seed in range(rotations * max(1, -(-64 // dim)) if dim else 0)], 1) if dim else np.zeros((0, 0))
-    r = r[:, : r.shape[1] // 64 * 64]
-    classes = cut(good.groupBy("embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    if dim:
-        links = cut(similar_pairs(classes, hamming_pairs(classes, r, mean), cosine))
+        links = cut(similar_pairs(classes, hamming_pairs(classes, Coder(x, n, cosine)), cosine))
     else:
         links = classes.sparkSession.createDataFrame([], "a long, b long")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -6,8 +6,9 @@ the escape to the next shorter context D / (T + D). The statistics are frozen af
 exact code length in every language is the sum over its bytes; the shortest wins, and the score is its
 posterior share, 2^-length over the sum.
 
-Training takes a bounded sample of labelled documents: about ``sample_docs`` documents per language, chosen
-by a hash of their ids among those with crc32(doc_id) mod 5 <> 0. The trees are compiled, for all languages
+Training takes a bounded sample of labelled documents: about ``sample_docs`` documents per language (texts up to
+``sample_bytes``), and about ``total_bytes`` over all languages in equal parts, chosen by a hash of their ids
+among those with crc32(doc_id) mod 5 <> 0. The trees are compiled, for all languages
 at once, to sorted tables from k-grams to vectors of code lengths, and scoring walks whole texts with array
 lookups only.
 
@@ -25,10 +26,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import crc32_of_id, slices, table
 
-ORDER, SAMPLE_DOCS, SAMPLE_BYTES, FOLDS, UNKNOWN = 4, 300, 40_000, 5, "und"
+ORDER, SAMPLE_DOCS, SAMPLE_BYTES, TOTAL_BYTES, FOLDS, UNKNOWN = 4, 300, 40_000, 24_000_000, 5, "und"
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z to a-z
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,25 +144,25 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> Model | None:
     """A model from about ``sample_docs`` training documents per language, texts above ``sample_bytes`` left out of it."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc32_of_id(), F.lit(FOLDS)) != 0) & (F.octet_length("text") <= sample_bytes))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = F.octet_length("text")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc32_of_id(), F.lit(FOLDS)) != 0) & (size <= sample_bytes)).select("doc_id", "lang", "text")
+    counts = {r.lang: (r.n, r.b) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).collect()}  # a row per language
     if not counts:
         return None
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])
+    share = F.create_map(*[x for k, (n, b) in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n, total_bytes / len(counts) / max(1, b))))])
     chance = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
-    got = rows.where(chance < F.element_at(share, F.col("lang"))).select("lang", "text", "doc_id").orderBy("doc_id", "text").collect()
     samples: dict[str, list[bytes]] = {}
-    for r in got:
+    for r in rows.where(chance < F.element_at(share, F.col("lang"))).select("lang", "text", "doc_id").orderBy("doc_id", "text").collect():  # about total_bytes
         samples.setdefault(r.lang, []).append(r.text.encode())
     return Model(samples) if samples else None
 
 
-def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred and score of every row; with ``keep``, all columns of ``docs`` and these two as _lang and _score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, lang_pred and score of every row; with ``keep``, all columns of ``docs`` and these two by the names given,
+    which must be free."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +180,10 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFr
                     for i, b in zip(at, best, strict=True):
                         pred[i] = m.languages[b]
                 own = [batch.column(c) for c in names] if keep else [batch.column("doc_id")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score)], names=[*names, "_lang", "_score"] if keep else ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score)], names=[*names, *keep] if keep else ["doc_id", "lang_pred", "score"])
 
     if keep:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lang string, _score double"
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(keep[0], StringType()), StructField(keep[1], DoubleType())]))
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 

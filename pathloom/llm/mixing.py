@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, with_columns_of
+from .common import WORD, cut, free_names, table, with_columns_of
 
 BLOCK_WORDS, SHARD_DOCS, MOST_SHARDS, SEED, WEIGHTS, SHARE, LIMIT = 8, 128, 4096, 20251, (3, 1, 2), 1.5, 2
 
@@ -104,10 +104,11 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard
 
 def resampled(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them: each document's row repeated taken / size times, rounded; same columns."""
+    mark, times, nth = free_names(docs.columns, "_h", "_copies", "_i")
     m = mix(docs, seed)
-    copies = m.where("size > 0").groupBy("doc_id", "_h").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies")).where("_copies > 0")
-    keyed = with_columns_of(docs.withColumn("_h", F.xxhash64("text", F.lit(seed))), copies, ["doc_id", "_h"], "inner")
-    return keyed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_i")).drop("_i")
+    copies = m.where("size > 0").groupBy("doc_id", F.col("_h").alias(mark)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(times)).where(F.col(times) > 0)
+    keyed = with_columns_of(docs.withColumn(mark, F.xxhash64("text", F.lit(seed))), copies, ["doc_id", mark], "inner")
+    return keyed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(nth)).drop(nth)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,16 +9,21 @@ group of its own. Inside a group
 the signatures estimate similarity, and a spanning forest of the pairs estimated at ESTIMATE (far below the
 threshold) or more leaves the task, never all pairs.
 
-The candidate clusters (components of those forests) are then checked exactly: all pairs within a cluster on
-full shingle sets, in blocks of ``BLOCK`` documents, each block pair a task of its own; again a spanning forest of
-the true links suffices, as only components are asked for. Documents with equal sets are one class
-throughout (map-side combined), so a large group of copies costs one signature.
+The candidate clusters (components of those forests) are then checked exactly on full shingle sets, in blocks of
+``BLOCK`` documents. A cluster of one block is checked pair by pair at once. The blocks of a larger one are first
+checked each within itself and against ``HUBS`` members of the cluster, which joins most of what belongs together
+and sends each text once; only where parts of a cluster are still separate, the documents outside its largest part
+are compared with all others, each pair of blocks a task of its own. Again a spanning forest of the true links
+suffices, as only components are asked for. Documents with equal sets are one class throughout (map-side combined),
+so a large group of copies costs one signature and one text.
 
-Recall: a pair at exactly 0.8 shares no tree's prefix with probability (1 - 0.8^4)^16 = 2e-4.
+Recall: a pair at exactly 0.8 shares no tree's prefix with probability (1 - 0.8^4)^16 = 2e-4; a pair that does is
+lost if 64 signature bytes estimate it below 0.6 (2e-4 at 0.8) and no chain of candidates joins the two otherwise.
 
 Defined results: null, blank and empty texts have no shingles and link with nothing (n_shingles 0); a text
-shorter than a shingle is one; rows with one doc_id are one document; a null doc_id links with nothing and is kept;
-an empty table gives an empty result; other columns are ignored.
+shorter than a shingle is one; a text counts whole, however long; rows that share a doc_id are one document, in one
+component, with the links of all their texts (each row shows its own text's n_shingles); a null doc_id links with
+nothing and is kept (component_id null); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, cut, slices, table
+from .common import as_bytes, components, counted, cut, free_names, release, shuffle_width, slices, table
 
-WIDTH, TREES, DEPTH, REGION, ESTIMATE, BLOCK, NUMERATOR = 5, 16, 4, 4096, 0.6, 128, 80
+WIDTH, TREES, DEPTH, REGION, ESTIMATE, BLOCK, HUBS, NUMERATOR, PART_ROWS = 5, 16, 4, 4096, 0.6, 128, 8, 80, 400_000
 HASHES = TREES * DEPTH
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MANY = np.random.default_rng(20255).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,7 +81,7 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit print of the set (f1, f2) and its signature (null for an empty set)."""
+    """doc_id, h (a hash of the text), n_shingles, a 128-bit print of the set (f1, f2) and its signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -88,9 +94,9 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     f1.append(int(_mixed(s ^ _K1).sum(dtype=np.uint64).astype(np.int64)))
                     f2.append(int(np.bitwise_xor.reduce(_mixed(s * _K2)).astype(np.int64)) if len(s) else 0)
                     sig.append(signature(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "h", "n_shingles", "f1", "f2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def _forest(ok: np.ndarray) -> list[tuple[int, int]]:
@@ -148,8 +154,8 @@ def _candidates(ids: np.ndarray, sigs: np.ndarray, other: np.ndarray, head: np.n
     return np.concatenate(out)
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of classes (id, sig) from all trees of the forest; repeats are left in."""
+def candidate_pairs(classes: DataFrame, n: int) -> DataFrame:
+    """Candidate pairs (a, b) of the ``n`` classes (id, sig) from all trees of the forest; repeats are left in."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = classes.select("id", "sig", trees).withColumn("prefix", F.substring("sig", F.col("tree") * DEPTH + 1, F.lit(DEPTH)))
     large = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGION)
@@ -183,9 +189,9 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         if held:
             yield from done(True)
 
-    parts = classes.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = max(shuffle_width(classes.sparkSession), -(-n * TREES // PART_ROWS))
     group = ["tree", "prefix", "i", "j"]
-    return dealt.repartition(int(parts), *group).sortWithinPartitions(*group, "id").mapInArrow(run, "a long, b long")
+    return dealt.repartition(parts, *group).sortWithinPartitions(*group, "id").mapInArrow(run, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], within: int | None = None, numerator: int = NUMERATOR) -> list[tuple[int, int]]:
@@ -216,22 +222,17 @@ def linked(sets: list[np.ndarray], within: int | None = None, numerator: int = N
     return _forest(ok)
 
 
-def verified(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Links (a, b) that span the true components of each cluster: ``texts`` has cluster, n (its size), id, text.
-
-    A cluster of up to BLOCK documents is one task's group; a larger one is dealt to blocks, and every pair
-    of blocks is a group.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = texts.withColumns({"blocks": blocks, "own": own}).select("cluster", "id", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("cluster", "id", "text", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def _links(dealt: DataFrame, width: int) -> DataFrame:
+    """A spanning forest (a, b) of the true links of every group (cluster, i, j): all pairs if i = j, else those
+    between the rows whose ``own`` block is i and the others. ``dealt``: cluster, i, j, own, id, text."""
 
     def run(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         own = group.column("own").to_numpy()
-        order = np.argsort(own, kind="stable")
-        ids = group.column("id").to_numpy()[order]
+        ids = group.column("id").to_numpy()
+        order = np.lexsort((ids, own))
+        order = order[np.insert(ids[order][1:] != ids[order][:-1], 0, True)] if len(order) else order
+        ids, own = ids[order], own[order]
         texts = as_bytes(group.column("text").combine_chunks())
         hashes = _Hashes()
         sets = [shingles(texts[k], hashes, width) for k in order]
@@ -239,25 +240,110 @@ def verified(texts: DataFrame, width: int = WIDTH) -> DataFrame:
         p = ids[np.array(pairs)] if pairs else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.select("cluster", "i", "j", "own", "id", "text").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, h and other columns, one row for each pair) with the text. A task sends a document that
+    it holds several times only once."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            if len(seen) > 2_000_000:
+                seen.clear()
+            fresh = []
+            for key in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                fresh.append(key not in seen)
+                seen.add(key)
+            yield batch if all(fresh) else batch.filter(pa.array(fresh))
+
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(once, "doc_id long, h long, text string").join(wanted, ["doc_id", "h"])
+
+
+def verified(docs: DataFrame, clusters: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Links (a, b) that span the true components of each cluster: ``clusters`` has cluster, n (its size), id and the
+    place (doc_id, h) of a text."""
+    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), n).cast("int")
+    blocks, rank = _blocks(F.col("n")), F.row_number().over(W.partitionBy("cluster").orderBy(F.xxhash64("id", F.lit(2)), "id"))
+    large = clusters.where(F.col("n") > BLOCK)
+    hubs = large.withColumn("r", rank).where(F.col("r") <= HUBS).select("cluster", "id", F.lit(True).alias("hub"))
+    own = clusters.join(hubs, ["cluster", "id"], "left").withColumns({"own": deal(blocks), "all": F.sequence(F.lit(0), blocks - 1)})
+    # repeats of a document that came from several tasks meet in their group, once for each task
+    first = _texts(docs, own.select("doc_id", "h", "cluster", "id", F.explode(F.when(F.col("hub"), F.col("all")).otherwise(F.array("own"))).alias("own")))
+    within, n = counted(_links(first.withColumns({"i": F.col("own"), "j": F.col("own")}), width))
+    several, unsettled = counted(large)
+    if not unsettled:
+        return within
+    # what the largest part of a cluster leaves out is compared with everything
+    joined = components(within)
+    parts = several.join(joined, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    sizes = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("cluster").agg(F.max(F.struct("size", "part")).alias("most"), F.sum("size").alias("total")).select("cluster", F.col("most.part").alias("main"), F.col("most.size").alias("inside"), (F.col("total") - F.col("most.size")).alias("outside")).where("outside > 0")
+    rest, unsettled = counted(parts.join(most, "cluster").select("cluster", "id", "doc_id", "h", "part", (F.col("part") == F.col("main")).alias("in"), "inside", "outside"))
+    if not unsettled:
+        return within
+    bo, bl = _blocks(F.col("outside")), _blocks(F.col("inside"))
+    rest = rest.withColumn("own", F.when(F.col("in"), bo + deal(bl)).otherwise(deal(bo)))
+    rest = rest.select("cluster", "id", "doc_id", "h", "own", F.explode(F.sequence(F.lit(0), F.when(F.col("in"), bo).otherwise(bo + bl) - 1)).alias("other"))
+    pairs = rest.select("cluster", "id", "doc_id", "h", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return within.union(_links(_texts(docs, pairs), width))
+
+
+def components_of(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, n_shingles, f1, f2) of all documents, and for each class of equal sets (f1, f2, n) the
+    smallest doc_id that it is joined with (root)."""
     d = cut(described(docs, width))
     full = d.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    clusters = components(candidate_pairs(classes)).withColumnRenamed("component", "cluster")
+    # a class's id is its own; its smallest document (doc_id, h) has its text
+    classes, n = counted(full.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "h")).alias("place"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()))
+    clusters = components(candidate_pairs(classes, n)).withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    clusters = clusters.join(sizes, "cluster")
-    texts = docs.select("doc_id", "text").join(clusters, F.col("doc_id") == F.col("id")).groupBy("id", "cluster", "n").agg(F.first("text").alias("text"))
-    joined = components(verified(texts, width))
-    roots = classes.join(joined, "id", "left").select("f1", "f2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("root"))
+    clusters = cut(clusters.join(sizes, "cluster").join(classes.select("id", "place.doc_id", "place.h"), "id"))
+    links = verified(docs, clusters, width)
+    # sets that share a doc_id
+    shared, any_ = counted(full.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n_shingles")).alias("lo"), F.max(F.struct("f1", "f2", "n_shingles")).alias("hi")).where("lo <> hi").select("doc_id"))
+    if any_:
+        of = full.join(shared, "doc_id").select("doc_id", "f1", "f2", F.col("n_shingles").alias("n")).distinct().join(classes.select("f1", "f2", "n", "id"), ["f1", "f2", "n"])
+        least = of.groupBy("doc_id").agg(F.min("id").alias("a"))
+        links = links.union(of.join(least, "doc_id").select("a", F.col("id").alias("b")))
+    joined = components(links)
+    least = joined.join(classes.select("id", "place.doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("root"))
+    roots = classes.join(joined.join(least, "component").select(F.col("id").alias("c"), "root"), F.col("id") == F.col("c"), "left")
+    release(shared)
+    return d, roots.select("f1", "f2", "n", F.coalesce("root", "place.doc_id").alias("root"))
+
+
+def _joined(d: DataFrame, roots: DataFrame) -> DataFrame:
     same = (d.f1 == F.col("r.f1")) & (d.f2 == F.col("r.f2")) & (d.n_shingles == F.col("r.n")) & d.doc_id.isNotNull()
     out = d.join(roots.alias("r"), same, "left")
     component = F.coalesce("r.root", d.doc_id)
     return out.select(d.doc_id, d.n_shingles, component.alias("component_id"), F.coalesce(d.doc_id == component, F.lit(True)).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+    return _joined(*components_of(docs, width))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with one document of each component: its smallest doc_id, and one of its rows for each text."""
+    gone, h = free_names(docs.columns, "_gone", "_h")
+    d, roots = components_of(docs, width)
+    marks = _joined(d, roots).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    is_marked = F.col("doc_id") == F.col(gone)
+    left = docs.join(marks, is_marked, "left_anti")
+    repeats, any_ = counted(d.where("doc_id is not null").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(gone)).distinct())
+    if not any_:
+        return left
+    once = left.join(repeats, is_marked, "left_semi").withColumn(h, F.xxhash64("text")).dropDuplicates(["doc_id", h]).drop(h)
+    return left.join(repeats, is_marked, "left_anti").unionByName(once)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 2)

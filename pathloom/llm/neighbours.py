@@ -7,17 +7,21 @@ alternating coordinate descent over codes and least squares under that cost, and
 same descent, two 4-bit codes to a byte.
 
 Search: the stated queries meet the index leaf by leaf. For each query its (3 k)-th best inner product within
-the sample is a lower bound of its true (3 k)-th best; a leaf whose bound q . c + |q| radius lies below it is skipped
-without loss. In a leaf, a 16-entry table per code position is built for each query, the codes are scanned by
-table sums, and what comes within ``MARGIN`` standard errors of the lower bound is scored exactly on the
-original vectors; what reaches the bound goes to the merge. So no leaf is skipped by guess; only the table scan is approximate.
+the sample is a lower bound of its true (3 k)-th best; a leaf is skipped if none of its vectors can be expected to
+reach that: beyond q . c + |q| radius none can, and beyond q . c + ``SPREAD`` standard deviations of the leaf's
+residuals along q (their mean square in the leaf, shaped as the sample's residuals are) hardly any does. In a leaf,
+a 16-entry table per code position is built for each query, the codes are scanned by table sums, and what comes
+within ``MARGIN`` standard errors of the lower bound is scored exactly on the original vectors; what reaches the bound
+goes to the merge.
 
 Skew: equal vectors are one entry that carries their k + 1 smallest ids (no more can show in a result),
-combined in the map tasks; a leaf of more than ``BLOCK`` entries is dealt to several units.
+combined in the map tasks; a leaf of more than ``BLOCK`` entries is dealt to several units, and queries are dealt
+to blocks of about ``ASKS``, so both sides of a unit of work are bounded.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or have not the most
 frequent length take no part; neither do null ids; a repeated id is one entry per distinct vector; with fewer
-candidates than k all are returned; ties go to the smaller id; an empty table gives an empty result.
+candidates than k all are returned; ties go to the smaller id; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import counted, cut, table
 from .hamming import matrix, vectors
 
-K, SLACK, MARGIN, LEAF_ROWS, MOST_LEAVES, BLOCK, SAMPLE, FIT, THRESHOLD, PART, EVERY = 20, 3, 3.0, 1024, 1024, 4096, 20_000, 5_000, 0.2, 2, 20
+K, SLACK, MARGIN, SPREAD, LEAF_ROWS, MOST_LEAVES, BLOCK, ASKS, SAMPLE, FIT, THRESHOLD, PART, EVERY = 20, 3, 3.0, 4.5, 1024, 1024, 4096, 20_000, 20_000, 5_000, 0.2, 2, 20
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
@@ -129,6 +133,10 @@ class Index:
         self.centres = kmeans(x, leaves, 3)
         self.quantiser = Quantiser(x[np.random.default_rng(5).permutation(len(x))[:FIT]])
         self.ids, self.x = ids, x.astype(np.float32)
+        # how a leaf's residuals spread along a direction, against their mean square
+        left = x - self.centres[self.leaf(x)]
+        shape = left.T @ left
+        self.shape = shape / max(float(np.trace(shape)), 1e-300)
         # the scan's standard error for a query of unit length
         part = x[:FIT]
         self.error = float(np.sqrt(((part - self.quantiser.decode(self.quantiser.codes(part))) ** 2).sum(1).mean() / x.shape[1]))
@@ -179,11 +187,11 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, margin: float = MARGI
     spark = df.sparkSession
     result = "query_id long, vec_id long, score double"
     good, dim = vectors(df)
-    good = cut(good)
-    total = good.count()
+    good, total = counted(good)
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = vectors(queries)[0].where(F.size("embedding") == dim)
+    asked, n = counted(vectors(queries)[0].where(F.size("embedding") == dim).select("id", "embedding").distinct())
+    blocks = max(1, -(-n // ASKS))
     share = min(1.0, SAMPLE / total)
     chance = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
     got = good.where(chance < share).orderBy("id").toArrow()
@@ -202,27 +210,32 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, margin: float = MARGI
             yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(far), pa.array([c.tobytes() for c in code], pa.binary()), batch.column("ids"), batch.column("embedding")], names=["leaf", "far", "code", "ids", "embedding"])
 
     entries = cut(_entries(good, k + 1).select("embedding", "ids").mapInArrow(encode, "leaf int, far double, code binary, ids array<long>, embedding array<double>"))
-    stats = {r.leaf: (r.radius, -(-r.n // BLOCK)) for r in entries.groupBy("leaf").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}  # a row per leaf
-    units = F.create_map(*[F.lit(x) for leaf, (_, n) in stats.items() for x in (leaf, n)])
-    dealt = entries.withColumn("unit", F.pmod(F.xxhash64("code", "ids"), F.element_at(units, F.col("leaf"))).cast("int")).select("leaf", "unit", "code", "ids", "embedding")
+    far = F.col("far")
+    stats = {r.leaf: (r.radius, r.square, -(-r.n // BLOCK)) for r in entries.groupBy("leaf").agg(F.max(far).alias("radius"), F.avg(far * far).alias("square"), F.count(F.lit(1)).alias("n")).collect()}  # a row per leaf
+    units = F.create_map(*[F.lit(x) for leaf, (_, _, n) in stats.items() for x in (leaf, n)])
+    unit = F.pmod(F.xxhash64("code", "ids"), F.element_at(units, F.col("leaf"))).cast("int")
+    dealt = entries.select("leaf", unit.alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "code", "ids", "embedding")
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, q = part.column("id").to_numpy(), matrix(part.column("embedding"))
+                ids, q, dealt_to = part.column("id").to_numpy(), matrix(part.column("embedding")), part.column("block").to_numpy()
                 least = own.lower_bounds(ids, q, SLACK * k)
                 most = q @ own.centres.T
-                size = np.linalg.norm(q, axis=1)
+                size = np.linalg.norm(q, axis=1) * (1 + 1e-9)
+                along = SPREAD * np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", q, own.shape, q), 0))
                 rows = []
-                for leaf, (radius, n) in stats.items():
-                    go = np.flatnonzero(most[:, leaf] + size * radius * (1 + 1e-9) >= least)
-                    if len(go):
-                        blob = [ids[go].tobytes(), q[go].tobytes(), least[go].tobytes()]
-                        rows += [(leaf, u, *blob) for u in range(n)]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["leaf", "unit", "qids", "q", "least"])
+                for leaf, (radius, square, n) in stats.items():
+                    reach = np.minimum(size * radius, along * np.sqrt(square))
+                    for b in range(blocks):
+                        go = np.flatnonzero((most[:, leaf] + reach >= least) & (dealt_to == b))
+                        if len(go):
+                            blob = [ids[go].tobytes(), q[go].tobytes(), least[go].tobytes()]
+                            rows += [(leaf, u, b, *blob) for u in range(n)]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["leaf", "unit", "block", "qids", "q", "least"])
 
     def search(block: pa.Table, asks: pa.Table) -> pa.Table:
         own: Index = shared.value
@@ -258,8 +271,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, margin: float = MARGI
                         out_s.append(-s)
         return pa.table([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    asks = asked.select("id", "embedding").distinct().mapInArrow(visits, "leaf int, unit int, qids binary, q binary, least binary")
-    found = dealt.groupBy("leaf", "unit").cogroup(asks.groupBy("leaf", "unit")).applyInArrow(search, result)
+    asks = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).mapInArrow(visits, "leaf int, unit int, block int, qids binary, q binary, least binary")
+    found = dealt.groupBy("leaf", "unit", "block").cogroup(asks.groupBy("leaf", "unit", "block")).applyInArrow(search, result)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

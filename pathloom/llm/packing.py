@@ -1,16 +1,15 @@
 """Operator 7, best-fit packing: sum-of-squares packing of tokenised documents into sequences.
 
 Each document is tokenised and closed with an end id; documents above the capacity are cut into full
-pieces, of which the first may be shorter. The pieces below the capacity are packed by the sum-of-squares
+pieces, of which the first may be shorter. A full piece is a sequence of its own. The pieces below the capacity
+are dealt evenly to chunks of about ``CHUNK`` pieces, and within a chunk they are packed by the sum-of-squares
 rule: a piece goes where the sum, over residual gaps, of the squared number of open bins with that gap
-becomes smallest. Pieces of one length are exchangeable, so the rule runs on the histogram of lengths (at
-most ``capacity`` rows, whatever the corpus) and yields ranges of slots; the pieces are then numbered
-within their length and joined to their slots as ordinary distributed rows. Above ``most_items`` pieces the
-histogram is first divided by a factor and each bin's pattern is used that many times; the remainders are
-packed in later, finer rounds. So the driver's work and its plan have a fixed bound.
-
-Defined results: null text counts as empty (the end id alone); repeated rows are packed once each;
-a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
+becomes smallest. That is done for two orders, falling length and seeded random, and the better one counts. Chunks
+are packed by different tasks, so nothing meets on the driver, and a table of any size is packed by the same rule;
+what a chunk leaves open are some bins among tens of thousands.
+
+Defined results: null text counts as empty (the end id alone); a text counts whole, however long; repeated rows are
+packed once each; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import counted, slices, table
 
-CAPACITY, END_ID, MOST_ITEMS, SALTS = 2048, 0, 262_144, 64
+CAPACITY, END_ID, CHUNK = 2048, 0, 262_144
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SPECIAL, _UNSAFE, _SPLIT = "<|endoftext|>", re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
 
@@ -109,79 +108,62 @@ def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def sum_of_squares(items: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins for ``items`` (lengths below ``capacity``) by the sum-of-squares rule, in the order given."""
+def sum_of_squares(items: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For ``items`` (lengths below ``capacity``), in the order given: each one's bin and place in it by the rule."""
     gaps = np.zeros(capacity + 1, np.int64)  # open bins by gap; full bins aren't counted
-    bins: list[list[int]] = []
     by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
-    far = np.int64(1) << 60
-    for n in map(int, items):
+    bins, places = np.empty(len(items), np.int64), np.empty(len(items), np.int64)
+    far, used = np.int64(1) << 60, 0
+    for i, n in enumerate(map(int, items)):
         here = gaps[n:capacity]
         change = 2 * (gaps[: capacity - n] - here) + 2
-        if len(change):
-            change[0] = 1 - 2 * here[0]
-            change[here == 0] = far
-            k = int(change.argmin())
-        if len(change) and change[k] < far and change[k] <= 2 * gaps[capacity - n] + 1:
+        change[0] = 1 - 2 * here[0]
+        change[here == 0] = far
+        k = int(change.argmin())
+        if change[k] < far and change[k] <= 2 * gaps[capacity - n] + 1:
             gap = n + k
             gaps[gap] -= 1
             at = by_gap[gap].pop()
         else:
-            gap, at = capacity, len(bins)
-            bins.append([])
-        bins[at].append(n)
+            gap, at, used = capacity, used, used + 1
+        bins[i], places[i] = at, capacity - gap
         if gap > n:
             gaps[gap - n] += 1
             by_gap[gap - n].append(at)
-    return bins
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, most_items: int = MOST_ITEMS, seed: int = 7) -> tuple[np.ndarray, int]:
-    """Ranges of slots as rows (length, first slot, copies, first sequence, offset), and the number of sequences."""
-    left = np.zeros(capacity + 1, np.int64)
-    for n, c in histogram.items():
-        left[n] += c
-    out, used = [], np.zeros(capacity + 1, np.int64)
-    sequences = int(left[capacity])
-    if sequences:
-        out.append((capacity, 0, sequences, 0, 0))
-        left[capacity] = 0
-    factor = max(1, -(-int(left.sum()) // most_items))
-    lengths = np.arange(capacity + 1)
-    while left.any():
-        take = left // factor
-        if not take.any():
-            factor = max(1, factor // 2)
-            continue
-        items = np.repeat(lengths, take)
-        best = min((sum_of_squares(x, capacity) for x in (items[::-1], np.random.default_rng(seed).permutation(items))), key=len)
-        for content in best:
-            offset = 0
-            for n in content:
-                out.append((n, int(used[n]), factor, sequences, offset))
-                used[n] += factor
-                offset += n
-            sequences += factor
-        left -= take * factor
-        factor = max(1, factor // 8)
-    return np.array(out, np.int64).reshape(-1, 5), sequences
-
-
-def packed(pieces: DataFrame, capacity: int = CAPACITY, most_items: int = MOST_ITEMS) -> DataFrame:
+    return bins, places
+
+
+def best_order(lengths: np.ndarray, capacity: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and places of ``lengths`` (sorted, below ``capacity``) by the better of two orders."""
+    best: tuple[np.ndarray, np.ndarray] | None = None
+    for order in (np.arange(len(lengths))[::-1], np.random.default_rng(seed).permutation(len(lengths))):
+        bins, places = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+        bins[order], places[order] = sum_of_squares(lengths[order], capacity)
+        if best is None or bins.max(initial=-1) < best[0].max(initial=-1):
+            best = bins, places
+    return best
+
+
+def packed(pieces: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    spark = pieces.sparkSession
-    pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
-    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    ranges, _ = plan(histogram, capacity, most_items)
-    columns = ["length", "first", "copies", "sequence", "offset"]
-    slots = spark.createDataFrame(pa.table({c: pa.array(ranges[:, i]) for i, c in enumerate(columns)})).select(
-        "length", "offset", F.posexplode(F.sequence(F.col("sequence"), F.col("sequence") + F.col("copies") - 1)).alias("k", "sequence_id"), "first"
-    ).select("length", (F.col("first") + F.col("k")).alias("slot"), "sequence_id", "offset")
-    base = counts.selectExpr("length", "salt", "sum(n) over (partition by length order by salt) - n as base")
-    ranked = pieces.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece) - 1 as k")
-    placed = ranked.join(base, ["length", "salt"]).withColumn("slot", F.col("base") + F.col("k"))
-    return placed.join(slots, ["length", "slot"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    open_ = F.col("length") < capacity
+    # rows are numbered, so that even one document repeated without end is dealt evenly
+    pieces, n = counted(pieces.select(*columns, F.monotonically_increasing_id().alias("n")), open_)
+    chunks = max(1, -(-n // chunk))
+
+    def run(group: pa.Table) -> pa.Table:
+        lengths = group.column("length").to_numpy()
+        order = np.lexsort([group.column(c).fill_null(-1).to_numpy() for c in ("start", "ids_crc32", "doc_id", "length")])
+        bins, places = best_order(lengths[order], capacity)
+        out = group.select(columns).take(pa.array(order))
+        base = group.column("chunk")[0].as_py() << 32
+        return out.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(places))
+
+    dealt = pieces.where(open_).withColumn("chunk", F.pmod(F.xxhash64("n"), F.lit(chunks)))
+    below = dealt.groupBy("chunk").applyInArrow(run, f"{PIECES}, sequence_id long, offset long")
+    whole = pieces.where(~open_).select(*columns, (-1 - F.col("n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return below.union(whole)
 
 
 def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

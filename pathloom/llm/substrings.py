@@ -1,23 +1,26 @@
 """Operator 2, substring dedup: exact repeated 20-word windows by super-k-mer partitioning.
 
-A window is 20 consecutive words. Its minimiser is the smallest hash among its 2-word grams; consecutive
-windows that share it form a super-k-mer. Each super-k-mer travels as one packed string (word codes, with
+A window is 20 consecutive words. Its minimiser is the smallest hash among its 2-word grams, those that are
+frequent in a sample coming after all others; consecutive windows that share it form a super-k-mer. Each super-k-mer travels as one packed string (word codes, with
 the dictionary of the words they stand for) to the bucket of its minimiser, so that all copies of a window
 meet in one bucket. There windows are sorted, equal neighbours are compared word by word, and every window
 but the first (smallest doc_id, then earliest start) is marked. Words under a marked window are removed.
 
 Skew: within a stretch of input (some megabytes) each distinct super-k-mer travels once, with its first
 place; its later places are known to be repeats and are marked on the spot. So a passage that all documents
-share sends one string per stretch, however often it occurs. The number of buckets follows the input's size.
-
-Defined results: null and blank texts have no words; texts shorter than a window stay whole; rows that agree
-in doc_id and text are one document (each gets the same result), rows that agree in doc_id alone are ordered
-by a hash of their texts; a null doc_id comes first; an empty table gives an empty result.
+share sends one string per stretch, however often it occurs. The number of buckets follows the input's size, and
+frequent grams, which would gather windows without end in one bucket, are no minimisers where a window has any
+other gram. Which grams are frequent is told by a sample of about ``SAMPLE_BYTES`` (as ranges are in a sort): it
+moves windows between buckets and never changes a result.
+
+Defined results: null and blank texts have no words; texts shorter than a window stay whole; very long texts are
+taken whole; rows that agree in doc_id and text are one document (each gets the same result), rows that agree in
+doc_id alone are ordered by a hash of their texts; a null doc_id comes first; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, mixed, runs, shuffle_width, slices, table, word_codes
 
 WINDOW, GRAM, CHUNK_BYTES, BUCKET_BYTES = 20, 2, 12_000_000, 6_000_000
+SAMPLE_BYTES, OFTEN, MARKS = 8_000_000, 8, 1 << 22
 _LEAST = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -58,16 +62,36 @@ def _unpack(blob: bytes, n: int) -> list[bytes]:
     return out
 
 
-def super_kmers(codes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams_of(codes: np.ndarray, hashes: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all grams of words that stand end to end."""
+    h, n = hashes[codes], len(codes) - gram + 1
+    low = h[:n].copy()
+    for j in range(1, gram):
+        low = low * np.uint64(0x100000001B3) + h[j : n + j]
+    return mixed(low)
+
+
+def frequent_grams(docs: DataFrame, total: int, gram: int) -> np.ndarray:
+    """Which hashes (modulo MARKS) belong to grams that occur at least OFTEN times in a sample of the texts."""
+    share = min(1.0, SAMPLE_BYTES / max(1, total))
+    chance = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1 << 20)) / float(1 << 20)
+    rows = docs.where((F.octet_length("text") <= SAMPLE_BYTES // 100) & (chance < share)).select("text").toArrow()
+    codes, words, _ = word_codes(as_bytes(rows.column("text").combine_chunks()))
+    out = np.zeros(MARKS, bool)
+    if len(codes) >= gram:
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        grams, times = np.unique(grams_of(codes, hashes, gram), return_counts=True)
+        out[(grams[times >= OFTEN] % np.uint64(MARKS)).astype(np.int64)] = True
+    return np.packbits(out)
+
+
+def super_kmers(codes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, window: int, gram: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of documents' word codes laid end to end: each super-k-mer's first word, number of windows and minimiser."""
     n = len(codes)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = hashes[codes]
-    low = h[: n - gram + 1].copy()
-    for j in range(1, gram):
-        low = low * np.uint64(0x100000001B3) + h[j : n - gram + 1 + j]
-    low = mixed(low)
+    low = grams_of(codes, hashes, gram)
+    low = low >> np.uint64(1) | frequent[(low % np.uint64(MARKS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
     width, have = window - gram + 1, 1
     while have * 2 <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -85,7 +109,7 @@ def super_kmers(codes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, wind
     return starts, stop - starts, low[starts]
 
 
-def _mapped(batch: pa.RecordBatch, buckets: int, window: int, gram: int) -> Iterator[tuple[int, int, bytes]]:
+def _mapped(batch: pa.RecordBatch, buckets: int, window: int, gram: int, frequent: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, kind, payload): packed super-k-mers (kind 0) and marks made here (kind 1) of one stretch of input."""
     docs, hashes_of = batch.column("doc_id").fill_null(_LEAST).to_numpy(), batch.column("text_hash").to_numpy()
     order = np.lexsort((hashes_of, docs))
@@ -96,7 +120,7 @@ def _mapped(batch: pa.RecordBatch, buckets: int, window: int, gram: int) -> Iter
     codes, words, lengths = word_codes([texts[i] for i in order])
     del texts
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    starts, windows, minimiser = super_kmers(codes, hashes, lengths, window, gram)
+    starts, windows, minimiser = super_kmers(codes, hashes, lengths, window, gram, frequent)
     ends = np.cumsum(lengths)
     row = np.searchsorted(ends, starts, "right")
     places = np.stack([docs[order][row], hashes_of[order][row], starts - (ends - lengths)[row]], 1)
@@ -197,10 +221,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * shuffle_width(spark), -(-total // BUCKET_BYTES))
+    marks = spark.sparkContext.broadcast(frequent_grams(docs, total, gram).tobytes())
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.unpackbits(np.frombuffer(marks.value, np.uint8)).view(bool)
+
         def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = list(_mapped(pa.Table.from_batches(held).combine_chunks().to_batches()[0], buckets, window, gram))
+            rows = list(_mapped(pa.Table.from_batches(held).combine_chunks().to_batches()[0], buckets, window, gram, frequent))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "payload"])
 
         held, size = [], 0
@@ -257,20 +284,3 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple[int, int, int, str]]:
-    """The same by a dictionary of all windows, for tests."""
-    words = {d: (t or "").encode().split() for d, t in rows}
-    first: dict[tuple[bytes, ...], tuple[int, int]] = {}
-    for d in sorted(words):
-        for i in range(len(words[d]) - window + 1):
-            first.setdefault(tuple(words[d][i : i + window]), (d, i))
-    out = []
-    for d, w in words.items():
-        gone: set[int] = set()
-        for i in range(len(w) - window + 1):
-            if first[tuple(w[i : i + window])] != (d, i):
-                gone.update(range(i, i + window))
-        out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()))
-    return out
