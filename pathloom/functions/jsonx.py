@@ -26,21 +26,3 @@ def valid_response(v: Column) -> Column:
     """Has a mode, and a plan if the mode is to create."""
     mode = F.try_variant_get(v, "$.mode", "string")
     return F.coalesce(mode.isNotNull() & ((mode != "create_workflow") | F.try_variant_get(v, "$.workflowPlan", "variant").isNotNull()), F.lit(False))
-
-
-def flattened(df: DataFrame, keys: list[str], column: str, depth: int = 32) -> DataFrame:
-    """keys, key (dotted path), value (text) of all scalars in a VARIANT column; nulls and arrays are dropped.
-
-    Recursive SQL walks the objects down to ``depth`` levels.
-    """
-    spark = df.sparkSession
-    df.select(*keys, column).createOrReplaceTempView("__flatten")
-    names = ", ".join(keys)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(lvl, {names}, key, value) AS (
-          SELECT 1, {", ".join("s." + k for k in keys)}, e.key, e.value FROM __flatten s, LATERAL variant_explode(s.{column}) e WHERE schema_of_variant(s.{column}) LIKE 'OBJECT%'
-          UNION ALL
-          SELECT lvl + 1, {", ".join("w." + k for k in keys)}, w.key || '.' || e.key, e.value FROM walk w, LATERAL variant_explode(w.value) e
-          WHERE schema_of_variant(w.value) LIKE 'OBJECT%' AND lvl < {depth})
-        SELECT {names}, key, CAST(value AS STRING) AS value FROM walk
-        WHERE value IS NOT NULL AND NOT is_variant_null(value) AND schema_of_variant(value) NOT LIKE 'OBJECT%' AND schema_of_variant(value) NOT LIKE 'ARRAY%'""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 WORDS = r"[\p{L}\p{N}_]+"
 
-# Stop words of the keyword extractor, and of the simple fallback (its first 23).
+# Stop words of the keyword extractor, and of the simple fallback (its first 25).
 STOP_WORDS = [
     "的", "是", "在", "有", "和", "與", "或", "要", "我", "你", "他", "她", "它",
     "the", "is", "are", "a", "an", "and", "or", "to", "of", "in", "on", "at",
@@ -30,14 +30,15 @@ def tokens(text: Column) -> Column:
 
 
 def acronyms(text: Column) -> Column:
-    return F.array_distinct(F.filter(tokens(text), lambda t: t.rlike("^[A-Z]{2,}$")))
+    """Words of two or more capital ASCII letters, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[A-Z]{2,}+(?![\p{L}\p{N}_])"), F.lit(0)))
 
 
 def keywords(text: Column, min_length: int = 2, stop_words: list[str] | None = None) -> Column:
     """Acronyms, words that are neither stop words nor too short, and runs of 2 to 4 Han characters; sorted."""
     stop = F.array(*[F.lit(w) for w in (STOP_WORDS if stop_words is None else stop_words)])
-    words = F.filter(tokens(F.lower(text)), lambda t: (F.length(t) >= min_length) & ~F.array_contains(stop, t))
-    han = F.filter(F.regexp_extract_all(text, F.lit(r"[\x{4e00}-\x{9fff}]{2,4}"), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    words = F.filter(F.array_except(tokens(F.lower(text)), stop), lambda t: F.length(t) >= min_length)
+    han = F.array_except(F.regexp_extract_all(text, F.lit(r"[\x{4e00}-\x{9fff}]{2,4}"), F.lit(0)), stop)
     return F.array_sort(F.array_distinct(F.concat(F.transform(acronyms(text), F.lower), words, han)))
 
 
@@ -50,8 +51,8 @@ def technical_terms(text: Column) -> Column:
 def fallback_tokens(text: Column) -> Column:
     """Lower-cased words between white space, stripped of punctuation, longer than two, no stop words; sorted."""
     stop = F.array(*[F.lit(w) for w in FALLBACK_STOP_WORDS])
-    words = F.transform(F.split(F.lower(text), r"\s+"), lambda t: F.btrim(t, F.lit(".,!?;:()[]{}\"'-")))
-    return F.array_sort(F.array_distinct(F.filter(words, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))))
+    words = F.transform(F.array_distinct(F.split(F.lower(text), r"\s+")), lambda t: F.btrim(t, F.lit(".,!?;:()[]{}\"'-")))
+    return F.array_sort(F.filter(F.array_except(words, stop), lambda t: F.length(t) > 2))
 
 
 def filtered_keywords(words: Column, categories: Column) -> Column:

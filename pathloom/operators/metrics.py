@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.stats import f1, ratio
@@ -13,14 +12,22 @@ from pathloom.functions.stats import f1, ratio
 PROMPT_PRICE, COMPLETION_PRICE = 2.5, 10.0
 
 
-def node_metrics(truth: DataFrame, made: DataFrame, matches: DataFrame, key: str = "template_id") -> DataFrame:
-    """key, tp, fp, fn, node_precision, node_recall, node_f1 for every key of either side."""
-    from .matching import unmatched
+def node_metrics(truth: DataFrame, made: DataFrame, key: str = "template_id") -> DataFrame:
+    """key, tp, fp, fn, node_precision, node_recall, node_f1 for every key of either side.
 
-    count = lambda df, n: df.groupBy(key).agg(F.count(F.lit(1)).alias(n))
-    parts = [count(matches, "tp"), count(unmatched(made, matches, "m", key), "fp"), count(unmatched(truth, matches, "g", key), "fn")]
-    keys = truth.select(key).union(made.select(key)).distinct()
-    out = reduce(lambda a, b: a.join(b, key, "left"), parts, keys).na.fill(0, ["tp", "fp", "fn"])
+    The i-th true node of a type pairs with the i-th made one. A node counts as unmatched if no node of its side
+    with its id is in a pair (so blank or repeated ids count together). All windows share one shuffle by key.
+    """
+    side = lambda df, made: df.select(key, F.coalesce("type", F.lit("unknown")).alias("type"), "pos", "id", F.lit(made).alias("made"))
+    both = side(truth, False).union(side(made, True)).repartition(key)
+    rn = F.row_number().over(W.partitionBy(key, "type", "made").orderBy("pos"))
+    of_type = W.partitionBy(key, "type")
+    counted = both.withColumn("rn", rn).withColumn("pairs", F.least(F.count_if("made").over(of_type), F.count_if(~F.col("made")).over(of_type)))
+    counted = counted.withColumn("paired", F.col("rn") <= F.col("pairs"))
+    seen = F.col("id").isNotNull() & F.max("paired").over(W.partitionBy(key, "made", "id"))
+    out = counted.withColumn("seen", seen).groupBy(key).agg(
+        F.count_if(F.col("paired") & F.col("made")).alias("tp"), F.count_if(F.col("made") & ~F.col("seen")).alias("fp"), F.count_if(~F.col("made") & ~F.col("seen")).alias("fn")
+    )
     out = out.withColumns({"node_precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "node_recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
     return out.withColumn("node_f1", f1(F.col("node_precision"), F.col("node_recall")))
 

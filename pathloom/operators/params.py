@@ -5,29 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pathloom.functions.stats import ratio
+from pathloom.functions.vector import cosine
+
+from .lineage import free_names
 
 KEY_SIMILARITY, VALUE_SIMILARITY = 0.7, 0.8
 
 
-def exact_similarity(a: Column, b: Column) -> Column:
-    return (a == b).cast("double")
+def similar(df: DataFrame, a: str, b: str, name: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with ``name``, the similarity of the texts in ``a`` and ``b``: 1 if equal, else the cosine of their
+    embeddings, of which each distinct text and pair gets one. ``embed``: text to text and embedding."""
+    pairs = df.where(F.col(a) != F.col(b)).select(F.col(a).alias("x"), F.col(b).alias("y")).distinct()
+    texts = embed(pairs.select(F.col("x").alias("text")).union(pairs.select("y")).distinct())
+    side = lambda c: texts.select(F.col("text").alias(c), F.col("embedding").alias("e" + c))
+    scored = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", cosine(F.col("ex"), F.col("ey")).alias("_s"))
+    out = df.join(scored, (F.col(a) == F.col("x")) & (F.col(b) == F.col("y")), "left")
+    return out.withColumn(name, F.when(F.col(a) == F.col(b), 1.0).otherwise(F.coalesce("_s", F.lit(0.0)))).drop("x", "y", "_s")
 
 
-def compare(pairs: DataFrame, truth: DataFrame, made: DataFrame, keys: list[str], key_similarity: Callable[[Column, Column], Column] = exact_similarity, value_similarity: Callable[[Column, Column], Column] = exact_similarity, key_least: float = KEY_SIMILARITY, value_least: float = VALUE_SIMILARITY) -> DataFrame:
+def compare(pairs: DataFrame, truth: DataFrame, made: DataFrame, keys: list[str], embed: Callable[[DataFrame], DataFrame] | None = None, key_least: float = KEY_SIMILARITY, value_least: float = VALUE_SIMILARITY) -> DataFrame:
     """keys, n_truth, n_made, matched, missing, extra (sorted), match_ratio for each matched pair of nodes.
 
     ``pairs`` has the keys of all pairs; ``truth`` and ``made`` have keys, key, value. A true parameter takes
     the made one of similar key with the most similar value (first by key in a tie), if similar enough; a made
-    one may serve several. Without true parameters the ratio is 1 if none were made, else 0.
+    one may serve several. Texts are compared by ``embed``'s vectors, without it by equality. Without true parameters
+    the ratio is 1 if none were made, else 0.
     """
     both = truth.withColumnsRenamed({"key": "tk", "value": "tv"}).join(made.withColumnsRenamed({"key": "mk", "value": "mv"}), keys)
-    both = both.withColumn("s", value_similarity(F.col("tv"), F.col("mv"))).where((key_similarity(F.col("tk"), F.col("mk")) >= key_least) & (F.col("s") > 0))
+    if embed is None:
+        both = both.where((F.col("tk") == F.col("mk")) & (F.col("tv") == F.col("mv"))).withColumn("s", F.lit(1.0))
+    else:
+        both = similar(similar(both, "tk", "mk", "ks", embed).where(F.col("ks") >= key_least), "tv", "mv", "s", embed).where("s > 0")
     best = both.groupBy(*keys, "tk").agg(F.min_by("mk", F.struct(-F.col("s"), F.col("mk"))).alias("mk"), F.max("s").alias("s")).where(F.col("s") >= value_least)
     matched = best.groupBy(*keys).agg(F.array_sort(F.collect_set("tk")).alias("matched"), F.collect_set("mk").alias("used"))
     names = lambda df, n: df.groupBy(*keys).agg(F.array_sort(F.collect_set("key")).alias(n))
@@ -43,11 +57,25 @@ def parameter_accuracy(compared: DataFrame, key: str) -> DataFrame:
     return compared.groupBy(key).agg(F.avg("match_ratio").alias("parameter_accuracy"))
 
 
+def containing(needles: DataFrame, needle: str, hays: DataFrame, hay: str) -> DataFrame:
+    """Rows of ``needles`` joined to those of ``hays`` whose text contains theirs; names of the two must differ.
+
+    An equi-join on the needle's first three characters (fewer, if it has no more) and the grams of the hays.
+    """
+    gram, grams = free_names([*needles.columns, *hays.columns], "_gram", "_grams")
+    cuts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(hay) - n + 1)), lambda i: F.substring(hay, i, F.lit(n)))
+    of_hay = F.array_distinct(F.concat(F.array(F.lit("")), *[cuts(n) for n in (1, 2, 3)]))
+    a = needles.withColumn(gram, F.substring(needle, 1, 3))
+    b = hays.select("*", F.explode(of_hay).alias(grams))
+    return a.join(b, F.col(gram) == F.col(grams)).where(F.col(hay).contains(F.col(needle))).drop(gram, grams)
+
+
 def required_matches(required: DataFrame, given: DataFrame) -> DataFrame:
     """node, param, value: for each required (node, param), the first given (pos, key, value) whose key
     contains it or is contained in it, case aside; nulls don't match."""
-    a, b = F.lower("param"), F.lower("key")
-    hit = required.join(F.broadcast(given.where("value is not null")) if given.isLocal() else given.where("value is not null"), b.contains(a) | a.contains(b))
+    need = required.select("node", "param", F.lower("param").alias("a"))
+    have = given.where("value is not null").select("pos", "value", F.lower("key").alias("b"))
+    hit = containing(need, "a", have, "b").select("node", "param", "pos", "value").union(containing(have, "b", need, "a").select("node", "param", "pos", "value"))
     return hit.groupBy("node", "param").agg(F.min_by("value", "pos").alias("value"))
 
 
@@ -69,7 +97,7 @@ def fuzzy_matches(wanted: DataFrame, given: DataFrame, least: float = 0.6) -> Da
 
 
 def fill(chain: DataFrame, required: DataFrame, given: DataFrame, strict: bool = False) -> DataFrame:
-    """node, param, value for the nodes of a chain (node): exact, else fuzzy, else a placeholder if required.
+    """node, param, value for the nodes of a chain (node): exact, else by containment, else fuzzy, else a placeholder.
 
     Strict mode fills required (node, param) only, otherwise every given (pos, key, value) is copied.
     """
@@ -79,8 +107,9 @@ def fill(chain: DataFrame, required: DataFrame, given: DataFrame, strict: bool =
     wanted = required.join(nodes, "node", "left_semi")
     exact = given.select(F.col("key").alias("param"), F.col("value").alias("exact"), F.lit(True).alias("here"))
     fuzzy = fuzzy_matches(wanted, given).join(given.select("key", F.col("value").alias("fuzzy")), "key").select("param", "fuzzy", F.lit(True).alias("near"))
-    out = wanted.join(exact, "param", "left").join(fuzzy, "param", "left")
-    return out.select("node", "param", F.when(F.col("here"), F.col("exact")).when(F.col("near"), F.col("fuzzy")).otherwise(F.concat(F.lit("<NEEDS_VALUE: "), F.col("param"), F.lit(">"))).alias("value"))
+    held = required_matches(wanted, given).select("node", "param", F.col("value").alias("held"))
+    out = wanted.join(exact, "param", "left").join(held, ["node", "param"], "left").join(fuzzy, "param", "left")
+    return out.select("node", "param", F.when(F.col("here"), F.col("exact")).when(F.col("held").isNotNull(), F.col("held")).when(F.col("near"), F.col("fuzzy")).otherwise(F.concat(F.lit("<NEEDS_VALUE: "), F.col("param"), F.lit(">"))).alias("value"))
 
 
 def validate(nodes: DataFrame, required: DataFrame, given: DataFrame) -> DataFrame:
@@ -93,5 +122,5 @@ def validate(nodes: DataFrame, required: DataFrame, given: DataFrame) -> DataFra
 def ontology_scan(keywords: DataFrame, ontology: DataFrame, most: int = 5) -> DataFrame:
     """keyword, node, rank: the first node types by name that contain each keyword (in name or attributes)."""
     o = ontology.select("node", F.lower(F.concat_ws(" ", "node", "attrs")).alias("text"))
-    hit = keywords.join(o, F.col("text").contains(F.lower("keyword")))
+    hit = containing(keywords.select("keyword", F.lower("keyword").alias("low")), "low", o, "text")
     return hit.withColumn("rank", F.row_number().over(W.partitionBy("keyword").orderBy("node"))).where(F.col("rank") <= most).select("keyword", "node", "rank")

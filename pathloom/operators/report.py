@@ -5,12 +5,13 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.stats import bucket
 from pathloom.functions.text import display_name
 
+from .ordering import positions
+
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """bin (1 to bins), n, of a column between its least and largest value; empty bins are left out."""
@@ -18,18 +19,32 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).select(bucket(F.col(column), F.col("lo"), F.col("hi"), bins).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cumulative(df: DataFrame, column: str, key: str, chunks: int = 64) -> DataFrame:
-    """key, column, position and running sum by rising value, then key; without sending all rows to one task.
+def cumulative(df: DataFrame, column: str, key: str) -> DataFrame:
+    """key, column, position and running sum by rising value, then key."""
+    return positions(df.select(key, column), [F.col(column), F.col(key)], total=column).select(key, column, "position", "running")
+
+
+def overview(df: DataFrame, columns: list[str]) -> DataFrame:
+    """metric, mean, median of every column, in one aggregation."""
+    one = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.avg), ("m", F.median))])
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"a{i}").alias("mean"), F.col(f"m{i}").alias("median")) for i, c in enumerate(columns)])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
 
-    Rows are dealt to value ranges; each range is summed within itself and shifted by the ranges before it.
+
+def density(df: DataFrame, column: str, points: int = 100, bins: int = 1024) -> DataFrame:
+    """point, x, density: a Gaussian kernel estimate with Scott's bandwidth, at evenly spaced points.
+
+    Values are first counted in ``bins`` narrow buckets, so what meets the points is bounded, whatever the table.
     """
-    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    r = df.select(key, column).crossJoin(F.broadcast(ends)).withColumn("_part", F.coalesce(F.width_bucket(column, "lo", "hi", F.lit(chunks)), F.lit(0)))
-    sums = r.groupBy("_part").agg(F.sum(column).alias("s"), F.count(F.lit(1)).alias("c"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("_part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
-    w = W.partitionBy("_part").orderBy(column, key)
-    return r.join(F.broadcast(sums), "_part").select(key, column, (F.col("c0") + F.row_number().over(w)).alias("position"), (F.col("s0") + F.sum(column).over(w.rowsBetween(W.unboundedPreceding, 0))).alias("running"))
+    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n"), F.stddev_samp(column).alias("sd"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    at = F.least(F.floor((F.col(column) - F.col("lo")) / width), F.lit(bins - 1))
+    rows = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).where("hi > lo and n > 1").groupBy("lo", "hi", "n", "sd", at.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    grid = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))  # bins x points
+    h = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
+    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1)
+    z = (x - (F.col("lo") + (F.col("bin") + 0.5) * width)) / h
+    return grid.groupBy("point").agg(F.first(x).alias("x"), F.sum(F.col("c") * F.exp(-0.5 * z * z) / (F.col("n") * h * 2.5066282746310002)).alias("density"))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

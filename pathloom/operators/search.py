@@ -119,3 +119,37 @@ def nearest(vectors: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
     x = asking.union(asked).groupBy("q", "c").applyInArrow(run, "query_id long, vec_id long, similarity double")
     w = W.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "vec_id")
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
+
+
+def pairs_above(vectors: DataFrame, least: float, within: str, block: int = 2048) -> DataFrame:
+    """a, b, similarity: pairs a < b of ``vectors`` (vec_id, embedding) of one ``within`` value, from a cosine of ``least`` on.
+
+    A value's rows are dealt to blocks and each pair of blocks is a group, so a frequent value meets in no single task;
+    only pairs that pass leave it.
+    """
+    sizes = vectors.groupBy(within).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = vectors.select(F.col(within).alias("w"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding")).join(sizes.withColumnRenamed(within, "w"), "w")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("w", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "embedding")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, own = group.column("vec_id").to_numpy(), group.column("own").to_numpy()
+        x = group.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        norm = np.sqrt((x * x).sum(1))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        q, c = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        parts = []
+        for at in range(0, len(q), 512):
+            rows = q[at : at + 512]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = (x[rows] @ x[c].T) / (norm[rows, None] * norm[c])
+            u, v = np.nonzero(s >= least - 1e-9)
+            u, v = rows[u], c[v]
+            # once more pair by pair, and each pair once
+            exact = (x[u] * x[v]).sum(1) / (norm[u] * norm[v])
+            ok = (exact >= least) & ((ids[u] < ids[v]) if i == j else (ids[u] != ids[v]))
+            parts.append((np.minimum(ids[u], ids[v])[ok], np.maximum(ids[u], ids[v])[ok], exact[ok]))
+        cols = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2])})
+
+    return dealt.groupBy("w", "i", "j").applyInArrow(run, "a long, b long, similarity double")

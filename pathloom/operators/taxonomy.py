@@ -2,40 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import without_number
 
-SKIPPED = "'Description', 'description', 'Nodes', 'mapped_nodes', 'name', 'example_use_cases'"
+from .lineage import counted
+from .variants import entries, is_object
 
+SKIPPED = ["Description", "description", "Nodes", "mapped_nodes", "name", "example_use_cases"]
 
-def flatten(docs: DataFrame, column: str = "tree", depth: int = 64) -> DataFrame:
+
+def _is_leaf(v: Column) -> Column:
+    has = lambda path, kind="variant": F.try_variant_get(v, path, kind)
+    named = has("$.name", "string").isNotNull() & has("$.mapped_nodes").isNotNull()
+    return ~is_object(v) | has("$.Nodes").isNotNull() | named | (F.coalesce(F.size(has("$.mapped_nodes", "array<string>")), F.lit(0)) > 0)
+
+
+def flatten(docs: DataFrame, column: str = "tree") -> DataFrame:
     """path (array), depth, name, description, mapped_nodes, example_use_cases, is_leaf: a row per tree node.
 
-    ``docs`` holds a VARIANT with the root key Taxonomy (or one that begins with Taxonomy_). A node is a leaf
+    ``docs`` holds VARIANTs with the root key Taxonomy (or one that begins with Taxonomy_). A node is a leaf
     if it has the key Nodes, or name and mapped_nodes, or a mapped_nodes that isn't empty, or is no object.
-    A document without root is an error.
+    A document without root is an error. A tree may be spread over many documents, a branch each.
     """
     require_root(docs, column)
-    roots = docs.select(F.col(column).alias("tree"))
-    roots.createOrReplaceTempView("__taxonomy")
-    spark = docs.sparkSession
-    leaf = "(coalesce(schema_of_variant({v}), '') NOT LIKE 'OBJECT%' OR try_variant_get({v}, '$.Nodes', 'variant') IS NOT NULL OR (try_variant_get({v}, '$.name', 'string') IS NOT NULL AND try_variant_get({v}, '$.mapped_nodes', 'variant') IS NOT NULL) OR coalesce(size(try_variant_get({v}, '$.mapped_nodes', 'array<string>')), 0) > 0)"
-    out = spark.sql(f"""
-        WITH RECURSIVE walk(path, value, lvl) AS (
-          SELECT array(e.key), e.value, 1 FROM __taxonomy t, LATERAL variant_explode(t.tree) r, LATERAL variant_explode(r.value) e
-          WHERE r.key = 'Taxonomy' OR startswith(r.key, 'Taxonomy_')
-          UNION ALL
-          SELECT array_append(w.path, e.key), e.value, w.lvl + 1 FROM walk w, LATERAL variant_explode(w.value) e
-          WHERE w.lvl < {depth} AND NOT {leaf.format(v="w.value")} AND e.key NOT IN ({SKIPPED}))
-        SELECT path, lvl AS depth, {leaf.format(v="value")} AS is_leaf,
-          coalesce(CASE WHEN {leaf.format(v="value")} THEN try_variant_get(value, '$.name', 'string') END, element_at(path, -1)) AS name,
-          coalesce(try_variant_get(value, '$.Description', 'string'), try_variant_get(value, '$.description', 'string'), '') AS description,
-          coalesce(CASE WHEN {leaf.format(v="value")} THEN coalesce(try_variant_get(value, '$.Nodes', 'array<string>'), try_variant_get(value, '$.mapped_nodes', 'array<string>')) END, array()) AS mapped_nodes,
-          coalesce(try_variant_get(value, '$.example_use_cases', 'array<string>'), array()) AS example_use_cases
-        FROM walk""")
-    return out
+    roots = entries(docs.select(F.col(column).alias("tree")), "tree", [], "root", "value").where((F.col("root") == "Taxonomy") | F.col("root").startswith("Taxonomy_"))
+    level, out, n, depth = roots.select(F.array().cast("array<string>").alias("path"), "value"), None, 1, 0
+    while n:
+        depth += 1
+        step = entries(level.where(is_object(F.col("value"))), "value", [F.col("path")], "key", "inner").where(F.lit(depth == 1) | ~F.col("key").isin(SKIPPED))
+        step = step.select(F.array_append("path", F.col("key")).alias("path"), F.col("inner").alias("value")).withColumn("is_leaf", _is_leaf(F.col("value")))
+        step, n = counted(step, ~F.col("is_leaf"))
+        part = step.withColumn("depth", F.lit(depth))
+        out = part if out is None else out.union(part)
+        level = step.where(~F.col("is_leaf")).select("path", "value")
+    get = lambda path, kind: F.try_variant_get(F.col("value"), path, kind)
+    none = F.array().cast("array<string>")
+    return out.select(
+        "path", "depth", "is_leaf", F.coalesce(F.when(F.col("is_leaf"), get("$.name", "string")), F.element_at("path", -1)).alias("name"),
+        F.coalesce(get("$.Description", "string"), get("$.description", "string"), F.lit("")).alias("description"),
+        F.coalesce(F.when(F.col("is_leaf"), F.coalesce(get("$.Nodes", "array<string>"), get("$.mapped_nodes", "array<string>"))), none).alias("mapped_nodes"),
+        F.coalesce(get("$.example_use_cases", "array<string>"), none).alias("example_use_cases"),
+    )
 
 
 def require_root(docs: DataFrame, column: str = "tree") -> None:

@@ -5,21 +5,28 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from pathloom.functions.text import ascii_only, description_status, fallback_tokens, short_error, technical_terms
 
 DIMENSIONS = 256
 
 
-def hashed_embedding(text: Column, n: int = 3, dims: int = DIMENSIONS) -> Column:
+@F.pandas_udf(ArrayType(DoubleType()))
+def _histogram(places: pd.Series) -> pd.Series:
+    """How often each of DIMENSIONS numbers stands in an array."""
+    return pd.Series([np.bincount(p, minlength=DIMENSIONS).astype(float) for p in places])
+
+
+def hashed_embedding(text: Column, n: int = 3) -> Column:
     """An offline embedding: counts of hashed character n-grams of the lower-cased text, as array<double>."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, F.lit(n))), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
-    return counts
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, F.lit(n))), F.lit(DIMENSIONS)).cast("int"))
+    return _histogram(grams)
 
 
 def embed_distinct(df: DataFrame, column: str, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:

@@ -17,7 +17,7 @@ def nodes(spark, rows):
 def test_worked_examples(spark):
     """8 made, 28 true, 7 matched; 3 and 19 edges, 1 shared; a chain of three against one of four."""
     g, m = nodes(spark, {"t": [("a",)] * 7 + [("g",)] * 21}), nodes(spark, {"t": [("a",)] * 7 + [("m",)]})
-    r = metrics.node_metrics(g, m, matching.match_nodes(g, m)).first()
+    r = metrics.node_metrics(g, m).first()
     assert (r.tp, r.fp, r.fn) == (7, 1, 21) and (round(r.node_precision, 3), round(r.node_recall, 3), round(r.node_f1, 3)) == (0.875, 0.25, 0.389)
     e = lambda rows: spark.createDataFrame([("t", a, b) for a, b in rows], "template_id string, from_type string, to_type string")
     r = metrics.edge_metrics(e([("x", str(i)) for i in range(19)]), e([("x", "0"), ("y", "1"), ("y", "2")])).first()
@@ -30,7 +30,7 @@ def test_worked_examples(spark):
 
 def test_blank_ids_count_together(spark):
     g, m = nodes(spark, {"t": [("a", ""), ("b", "")]}), nodes(spark, {"t": [("a", "x")]})
-    r = metrics.node_metrics(g, m, matching.match_nodes(g, m)).first()
+    r = metrics.node_metrics(g, m).first()
     assert (r.tp, r.fp, r.fn) == (1, 0, 0)
 
 
@@ -38,7 +38,7 @@ def test_blank_ids_count_together(spark):
 @given(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.sampled_from("abc"), min_size=1, max_size=6))
 def test_bag_arithmetic(spark, a, b):
     g, m = nodes(spark, {"t": [(x,) for x in a]}), nodes(spark, {"t": [(x,) for x in b]})
-    r = metrics.node_metrics(g, m, matching.match_nodes(g, m)).first()
+    r = metrics.node_metrics(g, m).first()
     tp = sum(min(a.count(x), b.count(x)) for x in "abc")
     assert (r.tp, r.fp, r.fn) == (tp, len(b) - tp, len(a) - tp) and 0 <= r.node_f1 <= 1 and r.tp + r.fn == len(a)
 
@@ -111,7 +111,7 @@ def test_steps_win(spark, tmp_path):
 
 
 def test_evaluate_and_write(spark, files, tmp_path):
-    res = pipelines.evaluate(readers.read_templates(spark, f"{files}/templates"), readers.read_generated(spark, f"{files}/records"))
+    res = pipelines.evaluate(readers.read_templates(spark, f"{files}/templates"), readers.read_generated(spark, f"{files}/records"), embed=None)
     rows = {r.template_id: r for r in res.collect()}
     one = rows["1"]
     assert (one.tp, one.fp, one.fn) == (2, 0, 0)  # ids: both "n2" count as matched
@@ -168,3 +168,76 @@ def test_stream_sees_files_once(spark, files, tmp_path):
         process_new(spark, f"{files}/records", str(tmp_path / "cp"), lambda df, i: seen.append(df.count()))
     assert sum(seen) == 2
     assert F is not None
+
+
+def test_parameters_by_meaning(spark):
+    """Similar keys and values match, the most similar value wins, and extra ones are told."""
+    vectors = {"url": [1.0, 0.0], "link": [0.9, 0.1], "size": [0.0, 1.0], "http://a": [1.0, 0.2], "http://b": [1.0, 0.3], "7": [0.0, 1.0], "zz": [-1.0, 0.0]}
+    table = spark.createDataFrame(list(vectors.items()), "text string, embedding array<double>")
+    pairs = spark.createDataFrame([(1,), (2,)], "p int")
+    df = lambda rows: spark.createDataFrame(rows, "p int, key string, value string")
+    truth, made = df([(1, "url", "http://a"), (1, "size", "7"), (2, "url", "zz")]), df([(1, "link", "http://b"), (1, "url", "zz"), (2, "link", "http://a")])
+    out = {r.p: r for r in params.compare(pairs, truth, made, ["p"], lambda texts: texts.join(table, "text")).collect()}
+    assert (out[1].matched, out[1].missing, out[1].extra, out[1].match_ratio) == (["url"], ["size"], ["url"], 0.5)
+    assert (out[2].matched, out[2].extra, out[2].match_ratio) == ([], ["link"], 0.0)
+    exact = {r.p: r.match_ratio for r in params.compare(pairs, truth, truth, ["p"], lambda texts: texts.join(table, "text")).collect()}
+    assert exact == {1: 1.0, 2: 1.0}
+
+
+def test_evaluate_by_meaning(spark, files):
+    t, r = readers.read_templates(spark, f"{files}/templates"), readers.read_generated(spark, f"{files}/records")
+    by = {e is None: pipelines.evaluate(t, r, embed=e).where("template_id = '1'").first().parameter_accuracy for e in (None, providers.hashed_embedding)}
+    assert by[False] >= by[True]
+
+
+def test_containing(spark):
+    words = ["a", "ab", "abc", "xabcx", "bcd", "", "abcd", "zz"]
+    df = spark.createDataFrame([(w,) for w in words], "n string")
+    got = sorted((r.n, r.h) for r in params.containing(df, "n", df.withColumnRenamed("n", "h"), "h").collect())
+    assert got == sorted((n, h) for n in words for h in words if n in h)
+
+
+LEAVES = [
+    (["Mail", "Send"], "send an email to people", ["p.emailTrigger", "p.code", "p.noOp"], ["send a mail"]),
+    (["Data", "Rows"], "rows of a database", ["p.webhook", "p.filter", "p.noOp"], ["read rows"]),
+]
+
+
+@pytest.fixture(scope="module")
+def leaves(spark):
+    df = spark.createDataFrame(LEAVES, "path array<string>, description string, mapped_nodes array<string>, example_use_cases array<string>")
+    p = F.array_join("path", " -> ")
+    return df.withColumns({"path_str": p, "combined_text": F.concat(p, F.lit(": "), F.col("description"))})
+
+
+def asked(spark, text, categories=(), **more):
+    out = providers.offline_intent(spark.createDataFrame([(1, text)], "request_id int, text string"))
+    return out.withColumn("function_categories", F.array(*[F.lit(c) for c in categories]).cast("array<string>"))
+
+
+def found(df):
+    return {r.node for r in df.collect()}
+
+
+def test_nodes_of_a_request(spark, leaves):
+    """The flow: leaves, covered categories, keywords, ontology, minimal workflow."""
+    onto = spark.createDataFrame([("q.slackPost", ""), ("q.manualTrigger", ""), ("q.set", "")], "node string, attrs string")
+    mail, rows = set(LEAVES[0][2]), set(LEAVES[1][2])
+    assert found(pipelines.find_nodes(asked(spark, "Mail -> Send: send an email to people"), leaves, k=1)) == mail
+    both = pipelines.find_nodes(asked(spark, "Mail -> Send: send an email to people", ["Database"]), leaves.where("path_str like 'Mail%'").union(leaves.where("path_str like 'Data%'")))
+    assert found(both) >= mail
+    assert found(pipelines.find_nodes(asked(spark, "qqqq wwww database kkkk vvvv jjjj"), leaves, onto)) == rows
+    assert found(pipelines.find_nodes(asked(spark, "jjjj slack vvvv"), leaves.drop("example_use_cases"), onto)) == {"q.slackPost"}
+    assert found(pipelines.find_nodes(asked(spark, "jjjj vvvv"), leaves.drop("example_use_cases"), onto)) == {"q.manualTrigger", "q.set"}
+    assert pipelines.find_nodes(asked(spark, "jjjj vvvv"), leaves.drop("example_use_cases")).isEmpty()
+
+
+def test_recommend_fills_from_the_request(spark, leaves):
+    edges = spark.createDataFrame([("p.emailTrigger", "p.code"), ("p.code", "p.noOp")], "head string, tail string")
+    matrix = spark.createDataFrame([("p.emailTrigger", "p.code", 0.5)], "src string, dst string, score double")
+    need = spark.createDataFrame([("p.code", "language"), ("p.code", "channel"), ("p.noOp", "other")], "node string, param string")
+    intent = lambda df: providers.offline_intent(df).withColumn("parameters", F.create_map(F.lit("language"), F.lit("py"), F.lit("my_channel_name"), F.lit("c1")))
+    out = pipelines.recommend(1, "Mail -> Send: send an email to people", leaves, edges, matrix, need, k=1, intent=intent).first()
+    doc = json.loads(out.document)
+    by = {n["type"]: n["parameters"] for n in doc["nodes"]}
+    assert out.path == ["p.emailTrigger", "p.code", "p.noOp"] and by["p.code"] == {"channel": "c1", "language": "py"} and by["p.noOp"] == {"other": "<NEEDS_VALUE: other>"}

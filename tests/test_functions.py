@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from pathloom.functions import jsonx, stats, text, vector
+from pathloom.operators import variants
 
 
 def one(spark, column, **values):
@@ -62,7 +63,7 @@ def test_json_repair(spark):
 def test_flatten(spark):
     doc = '{"a":1,"b":{"c":true,"d":{"e":"x","n":null}},"l":[1,2],"f":1.5}'
     df = spark.createDataFrame([(7, doc)], "id int, t string").withColumn("v", F.parse_json("t"))
-    assert {(r.key, r.value) for r in jsonx.flattened(df, ["id"], "v").collect()} == {("a", "1"), ("b.c", "true"), ("b.d.e", "x"), ("f", "1.5")}
+    assert {(r.key, r.value) for r in variants.flattened(df, ["id"], "v").collect()} == {("a", "1"), ("b.c", "true"), ("b.d.e", "x"), ("f", "1.5")}
 
 
 def test_guards(spark):
@@ -70,3 +71,15 @@ def test_guards(spark):
     assert one(spark, stats.f1(F.lit(0.0), F.lit(0.0))) == 0.0
     assert [one(spark, stats.bucket(F.lit(float(x)), F.lit(0.0), F.lit(30.0))) for x in (0, 29.5, 30)] == [1, 30, 30]
     assert one(spark, stats.bucket(F.lit(2.0), F.lit(2.0), F.lit(2.0))) == 1
+
+
+def test_flatten_deep_and_wide(spark):
+    """Forty levels, and clashing key names in the documents."""
+    doc = '{"_path": 1, "_value": "v", "pos": true, "key": {"value": 2}, "deep": ' + '{"d":' * 40 + "7" + "}" * 40 + "}"
+    df = spark.createDataFrame([(1, doc), (2, "[1]"), (3, None), (4, "{}")], "id int, t string").withColumn("v", F.parse_json("t"))
+    got = {(r.id, r.key, r.value) for r in variants.flattened(df, ["id"], "v").collect()}
+    assert got == {(1, "_path", "1"), (1, "_value", "v"), (1, "pos", "true"), (1, "key.value", "2"), (1, "deep" + ".d" * 40, "7")}
+
+
+def test_acronyms(spark):
+    assert one(spark, text.acronyms(F.col("t")), t="API aPI APIs ÉAPI API_ A URL,JSON-API 9AB") == ["API", "URL", "JSON"]

@@ -2,9 +2,11 @@ import json
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pathloom.operators import chains, graph, mapping, report, search, taxonomy
+from pathloom.operators import chains, graph, lineage, mapping, ordering, report, search, taxonomy
 from pathloom.plans.queries import QUERIES
 from pathloom.sources import readers
 
@@ -51,6 +53,53 @@ def test_longest_path_has_no_cap(spark):
     assert graph.longest_path(e, graph.nodes_of(e)).first().path == [f"n{i:02}" for i in range(12)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.tuples(st.sampled_from("abcdefg"), st.sampled_from("abcdefg")), max_size=30), st.sets(st.sampled_from("bcdef"), max_size=4), st.integers(1, 4), st.integers(1, 6))
+def test_best_paths_are_the_best_of_all(edges_, required, k, most):
+    every, stack = [], [["a"]]
+    while stack:
+        path = stack.pop()
+        if path[-1] == "g":
+            every.append(path)
+        elif len(path) <= most:
+            stack += [[*path, y] for x, y in edges_ if x == path[-1] and y not in path]
+    want = sorted((-round(len(required & set(p)) * 2.0 - len(p) * 0.1, 6), len(p), p) for p in every)[:k]
+    assert graph.best_paths(edges_, "a", "g", required, k, most) == [(-s, p) for s, _, p in want]
+
+
+def test_dense_module(spark):
+    """A complete module of 40 nodes: more paths than can be listed, the best are found all the same."""
+    n = ["aTrigger", *(f"n{i:02}" for i in range(38)), "noOp"]
+    e = edges(spark, [(a, b) for a in n for b in n if a != b and a != "noOp"])
+    out = graph.compose(e, graph.nodes_of(e)).orderBy(F.desc("score"), "length", "path").collect()
+    assert [r.path for r in out][:2] == [["aTrigger", "noOp"], ["aTrigger", "n00", "noOp"]] and len(out) == 5
+    e = edges(spark, [(a, b) for a in n[:22] for b in n[:22] if a != b])
+    assert graph.simple_paths(e, "aTrigger", "n05", 4).count() == 1 + 20 + 20 * 19 + 20 * 19 * 18
+
+
+def path_of(spark, rows, core=None):
+    e = edges(spark, rows)
+    nodes = graph.nodes_of(e)
+    return graph.find_path(e, nodes, nodes if core is None else spark.createDataFrame([(c,) for c in core], "node string")).first().path
+
+
+def test_find_path(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)]
+    assert path_of(spark, chain) == [f"n{i:02}" for i in range(13)]
+    # above 15 nodes: sources, core nodes, sinks
+    assert path_of(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(19)], ["n03", "n10"]) == ["n00", "n02", "n03", "n04", "n09", "n10", "n11", "n19"]
+    # preferred ends, by the last part of the name
+    assert path_of(spark, [("a", "x.webhook"), ("x.webhook", "b"), ("b", "y.noOp"), ("y.noOp", "z"), ("b", "z")]) == ["x.webhook", "b", "y.noOp"]
+    # where all degrees are equal, two sources and two sinks are tried; cycles are broken, sources come first
+    assert path_of(spark, [("a", "b"), ("b", "c"), ("c", "a")]) == ["b", "c", "a"]
+    assert set(path_of(spark, [("a", "b"), ("b", "a"), ("webhook", "q"), ("p", "noOp")], ["a", "b"])) == {"webhook", "a", "b", "noOp"}
+    # of equally long paths the one with more core nodes
+    assert path_of(spark, [("s", "a"), ("a", "t"), ("s", "b"), ("b", "t")], ["b"]) == ["s", "b", "t"]
+    one = spark.createDataFrame([("only",)], "node string")
+    assert graph.find_path(edges(spark, [("x", "y")]), one, one).first().path == ["only"]
+    assert graph.find_path(edges(spark, [("x", "y")]), one.limit(0), one).isEmpty()
+
+
 def test_compose(spark):
     e = edges(spark, [("aTrigger", "code1"), ("code1", "noOp"), ("aTrigger", "noOp"), ("z", "noOp")])
     n = graph.nodes_of(e)
@@ -184,3 +233,45 @@ def test_nearest_in_blocks(spark):
     for r in search.nearest(df, 3, block=16).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {i: [j for j in range(i // 4 * 4, i // 4 * 4 + 4) if j != i] for i in range(80)}
+
+
+def test_pairs_above_in_blocks(spark):
+    """One frequent group over several blocks, against brute force; equal and zero vectors among them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 5))
+    x[10:14], x[20] = x[9], 0
+    group = [0 if i % 5 else 1 for i in range(90)]
+    df = spark.createDataFrame([(i, g, v.tolist()) for i, (g, v) in enumerate(zip(group, x))], "vec_id long, label int, embedding array<double>")
+    got = {(r.a, r.b): r.similarity for r in search.pairs_above(df, 0.5, "label", block=16).collect()}
+    with np.errstate(invalid="ignore"):
+        s = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    want = {(i, j): s[i, j] for i in range(90) for j in range(i + 1, 90) if group[i] == group[j] and s[i, j] >= 0.5}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_positions(spark):
+    """Positions and running sums of a skewed column, ties told apart by a second one."""
+    df = spark.createDataFrame([(i, 5 if i % 3 else i) for i in range(500)], "id int, v int")
+    got = ordering.positions(df, [F.col("v"), F.col("id")], "p", "v", "s").orderBy("p").collect()
+    rows, total = sorted(((5 if i % 3 else i), i) for i in range(500)), 0
+    for at, (r, (v, i)) in enumerate(zip(got, rows), 1):
+        total += v
+        assert (r.id, r.v, r.p, r.s) == (i, v, at, total)
+    assert ordering.positions(df.limit(0), [F.col("v")]).isEmpty()
+
+
+def test_free_names():
+    assert lineage.free_names(["A", "b_", "b"], "a", "b", "a", "c") == ["a_", "b__", "a__", "c"]
+
+
+def test_report_tables(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=400)
+    df = spark.createDataFrame([(float(v), float(-v)) for v in x], "x double, y double")
+    o = {r.metric: (r["mean"], r["median"]) for r in report.overview(df, ["x", "y"]).collect()}
+    assert o["x"] == pytest.approx((x.mean(), np.median(x))) and o["y"] == pytest.approx((-x.mean(), -np.median(x)))
+    h = x.std(ddof=1) * len(x) ** -0.2
+    for r in report.density(df, "x").collect():
+        want = np.exp(-0.5 * ((r.x - x) / h) ** 2).sum() / (len(x) * h * (2 * np.pi) ** 0.5)
+        assert abs(r.density - want) < 2e-3
+    assert report.density(df.where("x > 100"), "x").isEmpty()
