@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import jsonx, text, vector
-from pathloom.operators import chains, graph, mapping, matching, metrics, normalize, params, report, search, taxonomy
+from pathloom.operators import chains, graph, mapping, matching, metrics, normalize, ordering, params, report, search, taxonomy, variants
 from pathloom.sources.readers import pending
 
 from . import pipelines, views
@@ -53,8 +53,7 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _node_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    g, m = _sides(spark, sf)
-    return metrics.node_metrics(g, m, matching.match_nodes(g, m))
+    return metrics.node_metrics(*_sides(spark, sf))
 
 
 def _edge_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,11 +189,11 @@ for _s, _sql in _REDUCE.items():
     query(f"WITH {views.MATRIX}, {views.STEPS} SELECT n.chain_id, round(coalesce(max(x.s), 0.0), 6) AS chain_score FROM (SELECT DISTINCT chain_id FROM numbered) n LEFT JOIN (SELECT chain_id, {_sql} AS s FROM scored GROUP BY chain_id) x USING (chain_id) GROUP BY n.chain_id", f"chain_score_{_s}")(_chain_score(_s))
 
 
-@query(f"WITH {views.MATRIX}, {views.STEPS}, c AS (SELECT chain_id, avg(score) AS s FROM scored GROUP BY chain_id) SELECT CAST(row_number() OVER (ORDER BY round(s, 6) DESC, chain_id) AS INTEGER) AS rank, chain_id, round(s, 6) AS chain_score FROM c WHERE s >= 0.2 ORDER BY 1 LIMIT 20")
+@query(f"WITH {views.MATRIX}, {views.STEPS}, c AS (SELECT chain_id, avg(score) AS s FROM scored GROUP BY chain_id) SELECT CAST(row_number() OVER (ORDER BY round(s, 6) DESC, chain_id) AS INTEGER) AS rank, chain_id, round(s, 6) AS chain_score FROM c WHERE s >= 0.2")
 def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
     r = chains.rank_candidates(views.chains(spark, sf), views.matrix(spark, sf), "average", 0.2)
     r = _rounded(r, ["chain_score"]).select("chain_id", "chain_score")
-    return graph.numbered(r, [], [F.desc("chain_score"), "chain_id"]).select("rank", "chain_id", "chain_score")
+    return ordering.positions(r, [F.desc("chain_score"), F.col("chain_id")], "rank").select(F.col("rank").cast("int").alias("rank"), "chain_id", "chain_score")
 
 
 @query()
@@ -206,7 +205,7 @@ def als_transition_model(spark: SparkSession, sf: str) -> DataFrame:
 # --- taxonomy ----------------------------------------------------------------------------------------------
 
 def _tree(spark: SparkSession, sf: str) -> DataFrame:
-    return taxonomy.flatten(views.taxonomy_document(spark, sf))
+    return taxonomy.flatten(views.taxonomy_documents(spark, sf))
 
 
 @query(f"WITH {views.LEAVES} SELECT p_type || ' -> ' || p_brand AS path, 2 AS depth, true AS is_leaf, CAST(len(nodes) AS INTEGER) AS n_mapped FROM leaves UNION ALL SELECT DISTINCT p_type, 1, false, 0 FROM leaves")
@@ -277,7 +276,7 @@ def usecase_match(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(x, ["match_score"], 5)
 
 
-@query(f"""WITH x AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM x)
+@query(f"""WITH x AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM x)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 5) AS similarity FROM r WHERE rank <= 5""")
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     x = search.nearest(table(spark, sf, "embeddings").select("vec_id", "embedding"))
@@ -286,9 +285,8 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} >= 0.35")
 def cosine_pairs_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
-    x = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "label").where("a < b")
-    return _rounded(x.withColumn("similarity", vector.cosine(F.col("x"), F.col("y"))).where("similarity >= 0.35"), ["similarity"], 5).select("a", "b", "similarity")
+    x = search.pairs_above(table(spark, sf, "embeddings").select("label", "vec_id", "embedding"), 0.35, "label")
+    return _rounded(x, ["similarity"], 5).select("a", "b", "similarity")
 
 
 # --- text --------------------------------------------------------------------------------------------------
@@ -363,7 +361,7 @@ def mapping_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return mapping.upsert(c.where("type < 'M'"), c.where("type >= 'M'"))
 
 
-@query("WITH r AS (SELECT user_id AS chain_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT chain_id, string_agg(CASE event_type WHEN 'click' THEN 'input' WHEN 'view' THEN 'input' ELSE event_type END, '>' ORDER BY rn) AS path FROM r WHERE rn <= 6 GROUP BY chain_id")
+@query("WITH r AS (SELECT user_id AS chain_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT chain_id, string_agg(CASE event_type WHEN 'click' THEN 'input' WHEN 'view' THEN 'input' ELSE event_type END, '>' ORDER BY rn) AS path FROM r GROUP BY chain_id")
 def chain_to_types(spark: SparkSession, sf: str) -> DataFrame:
     lookup = spark.createDataFrame([("click", "input"), ("view", "input")], "old string, new string")
     return mapping.chain_mapped(views.chains(spark, sf), lookup).select("chain_id", F.array_join("path", ">").alias("path"))
@@ -381,7 +379,7 @@ def typed_triples(spark: SparkSession, sf: str) -> DataFrame:
 def json_flatten_params(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     nested = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.struct(F.col("event_type").alias("b"), F.array(F.lit(1)).alias("dropped")).alias("a")))
-    return jsonx.flattened(e.select("event_id", F.parse_json(nested).alias("v")), ["event_id"], "v")
+    return variants.flattened(e.select("event_id", F.parse_json(nested).alias("v")), ["event_id"], "v")
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events")
@@ -401,6 +399,28 @@ def param_compare(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(c.groupBy("template_id").agg(F.count(F.lit(1)).alias("pairs"), F.avg("match_ratio").alias("parameter_accuracy")), ["parameter_accuracy"])
 
 
+def _letters(texts: DataFrame) -> DataFrame:
+    """text, embedding: how often each letter from a to z stands in a text. An embedding that SQL can express."""
+    count = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")
+    return texts.withColumn("embedding", F.array(*[count(chr(i)) for i in range(97, 123)]))
+
+
+_EMBED = "list_transform(range(97, 123), lambda i: CAST(length({t}) - length(replace({t}, chr(CAST(i AS INTEGER)), '')) AS DOUBLE))"
+
+
+@query(f"""WITH g AS (SELECT p_brand AS brand, split_part(p_name, ' ', 1) AS tk, min(lower(p_type)) AS tv FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL), m AS (SELECT p_brand AS brand, split_part(p_name, ' ', 1) AS mk, min(lower(p_type)) AS mv FROM part WHERE p_partkey % 2 = 1 GROUP BY ALL),
+x AS (SELECT brand, tk, mk, CASE WHEN tk = mk THEN 1.0 ELSE list_cosine_similarity({_EMBED.format(t="tk")}, {_EMBED.format(t="mk")}) END AS ks, CASE WHEN tv = mv THEN 1.0 ELSE list_cosine_similarity({_EMBED.format(t="tv")}, {_EMBED.format(t="mv")}) END AS s FROM g JOIN m USING (brand)),
+b AS (SELECT brand, tk FROM x WHERE ks >= 0.7 AND s > 0 GROUP BY ALL HAVING max(s) >= 0.8), n AS (SELECT brand, count(*) AS n FROM b GROUP BY brand), t AS (SELECT brand, count(*) AS t FROM g GROUP BY brand), u AS (SELECT brand, count(*) AS u FROM m GROUP BY brand), k AS (SELECT DISTINCT p_brand AS brand FROM part)
+SELECT brand, CAST(coalesce(t, 0) AS INTEGER) AS n_truth, CAST(coalesce(u, 0) AS INTEGER) AS n_made, CAST(coalesce(n, 0) AS INTEGER) AS n_matched, round(CASE WHEN coalesce(t, 0) = 0 THEN CASE WHEN coalesce(u, 0) = 0 THEN 1.0 ELSE 0.0 END ELSE coalesce(n, 0) / CAST(t AS DOUBLE) END, 6) AS match_ratio
+FROM k LEFT JOIN t USING (brand) LEFT JOIN u USING (brand) LEFT JOIN n USING (brand)""")
+def param_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters of the even parts of a brand against those of the odd ones, by embedded keys and values."""
+    p = table(spark, sf, "part").withColumnRenamed("p_brand", "brand")
+    side = lambda odd: p.where(F.col("p_partkey") % 2 == odd).groupBy("brand", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("key")).agg(F.min(F.lower("p_type")).alias("value"))
+    c = params.compare(p.select("brand").distinct(), side(0), side(1), ["brand"], _letters)
+    return _rounded(c.select("brand", "n_truth", "n_made", F.size("matched").alias("n_matched"), "match_ratio"), ["match_ratio"])
+
+
 @query("WITH w AS (SELECT DISTINCT 'node' AS node, split_part(p_name, ' ', 1) AS param FROM part), g AS (SELECT row_number() OVER (ORDER BY p_name) AS pos, p_name AS key FROM (SELECT DISTINCT p_name FROM part)) SELECT node, param, min_by(key, pos) AS value FROM w JOIN g ON contains(key, param) OR contains(param, key) GROUP BY ALL")
 def required_params(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "part").select("p_name").distinct()
@@ -436,6 +456,39 @@ def cumulative_cost(spark: SparkSession, sf: str) -> DataFrame:
     return report.cumulative(u, "tokens", "conv_id").withColumn("position", F.col("position").cast("long"))
 
 
+_SIX = {"node_precision": "node.p", "node_recall": "node.r", "node_f1": "node.f", "edge_precision": "coalesce(edge.p, 0)", "edge_recall": "coalesce(edge.r, 0)", "edge_f1": "coalesce(edge.f, 0)"}
+_ALL_SQL = f"{NODE_SQL}, {EDGE_SQL}, six AS (SELECT node.template_id, {', '.join(f'{v} AS {k}' for k, v in _SIX.items())} FROM node LEFT JOIN edge USING (template_id))"
+
+
+def _all_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return _node_metrics(spark, sf).join(_edge_metrics(spark, sf), "template_id", "left").select("template_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _SIX])
+
+
+@query(f"WITH {_ALL_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS metric, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median FROM six" for c in _SIX))
+def metric_overview(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(report.overview(_all_metrics(spark, sf), list(_SIX)), ["mean", "median"])
+
+
+@query(f"WITH {_ALL_SQL} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM six" for i, a in enumerate(_SIX) for b in list(_SIX)[i + 1 :]))
+def metric_correlation_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(report.correlations(_all_metrics(spark, sf), list(_SIX)), ["corr"])
+
+
+@query(f"""WITH {NODE_SQL}, ends AS (SELECT min(f) AS lo, max(f) AS hi, count(f) AS n, stddev_samp(f) AS sd FROM node),
+bins AS (SELECT least(floor((f - lo) / ((hi - lo) / 1024)), 1023) AS bin, count(*) AS c FROM node, ends GROUP BY 1),
+grid AS (SELECT point, lo + (hi - lo) * point / 99 AS x, lo + (bin + 0.5) * ((hi - lo) / 1024) AS y, c, n, sd * pow(n, -0.2) AS h FROM bins, ends, unnest(range(0, 100)) AS t(point))
+SELECT CAST(point AS INTEGER) AS point, round(min(x), 6) AS x, round(sum(c * exp(-0.5 * (x - y) * (x - y) / (h * h)) / (n * h * 2.5066282746310002)), 6) AS density FROM grid GROUP BY point""")
+def metric_density(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(report.density(_node_metrics(spark, sf), "node_f1"), ["x", "density"]).select("point", "x", "density")
+
+
+@query(f"WITH {NODE_SQL}, {views.USAGE} SELECT conv_id, prompt_tokens, completion_tokens, round(prompt_tokens / 1e6 * 2.5 + completion_tokens / 1e6 * 10.0, 9) AS total_cost, round(f, 6) AS node_f1 FROM u JOIN node ON conv_id = template_id")
+def cost_versus_f1(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of the token scatter and of cost against F1."""
+    joined = metrics.costs(views.usage(spark, sf)).join(_node_metrics(spark, sf), F.col("conv_id") == F.col("template_id"))
+    return _rounded(_rounded(joined, ["total_cost"], 9), ["node_f1"]).select("conv_id", "prompt_tokens", "completion_tokens", "total_cost", "node_f1")
+
+
 @query(f"WITH {NODE_SQL} SELECT 'node_precision' AS a, 'node_recall' AS b, round(corr(p, r), 6) AS corr FROM node UNION ALL SELECT 'node_precision', 'node_f1', round(corr(p, f), 6) FROM node UNION ALL SELECT 'node_recall', 'node_f1', round(corr(r, f), 6) FROM node")
 def metric_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(report.correlations(_node_metrics(spark, sf), ["node_precision", "node_recall", "node_f1"]), ["corr"])

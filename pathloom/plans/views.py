@@ -37,7 +37,7 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("chain_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_type"))), lambda s: s["event_type"]).alias("path"))
 
 
-STEPS = "numbered AS (SELECT user_id AS chain_id, event_type AS src, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), steps AS (SELECT chain_id, rn, src, lead(src) OVER (PARTITION BY chain_id ORDER BY rn) AS dst FROM numbered WHERE rn <= 6), scored AS (SELECT s.chain_id, s.rn, coalesce(least(1.0, greatest(0.0, m.score)), 0.0) AS score FROM steps s LEFT JOIN matrix m USING (src, dst) WHERE s.dst IS NOT NULL)"
+STEPS = "numbered AS (SELECT user_id AS chain_id, event_type AS src, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), steps AS (SELECT chain_id, rn, src, lead(src) OVER (PARTITION BY chain_id ORDER BY rn) AS dst FROM numbered), scored AS (SELECT s.chain_id, s.rn, coalesce(least(1.0, greatest(0.0, m.score)), 0.0) AS score FROM steps s LEFT JOIN matrix m USING (src, dst) WHERE s.dst IS NOT NULL)"
 
 
 def side(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
@@ -56,12 +56,11 @@ def side_edges(nodes: DataFrame) -> DataFrame:
     return step_edges(nodes, ["template_id"], "pos", "name")
 
 
-def taxonomy_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tree: one VARIANT with part types over brands (leaves) that map part names."""
+def taxonomy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tree: a VARIANT for each part type, with its brands (leaves) that map part names."""
     p = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("Nodes"))
     t = p.groupBy("p_type").agg(F.map_from_entries(F.collect_list(F.struct("p_brand", F.struct("Nodes")))).alias("b"))
-    doc = t.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("p_type", "b"))).alias("Taxonomy"))).alias("j"))
-    return doc.select(F.parse_json("j").alias("tree"))
+    return t.select(F.parse_json(F.to_json(F.struct(F.create_map("p_type", "b").alias("Taxonomy")))).alias("tree"))
 
 
 LEAVES = "leaves AS (SELECT p_type, p_brand, list_sort(list(DISTINCT p_name)) AS nodes FROM part GROUP BY ALL)"
