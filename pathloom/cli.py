@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.jsonx import repaired
 from pathloom.functions.text import ascii_only
+from pathloom.operators import report
 from pathloom.operators.normalize import RECORD
 from pathloom.plans import pipelines
 from pathloom.session import session
@@ -53,9 +54,7 @@ def evaluate(spark, templates: str, records: str, out: str) -> None:
     result = pipelines.evaluate(readers.read_templates(spark, templates), spark.read.schema(RECORD).option("multiLine", False).json(records)).cache()
     summary, costs = pipelines.summarise(result)
     writers.write_results(result, summary, costs, out)
-    for r in (summary.first(), costs.first()):
-        for k, v in r.asDict().items():
-            print(f"{k:32} {v}")
+    print(report.summary_text(summary, costs).first().text)
 
 
 def run(argv: list[str] | None = None, call: Callable[[str], tuple[str, int, int]] | None = None) -> None:

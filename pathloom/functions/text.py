@@ -101,3 +101,19 @@ def without_number(name: Column) -> Column:
 def prompt(template: str, description: Column, slot: str = "{{ description }}") -> Column:
     """``template`` with every slot filled."""
     return F.replace(F.lit(template), F.lit(slot), description)
+
+
+def duration(seconds: Column) -> Column:
+    """59s, 1m 5s, 2h 3m: fractions are cut off, and above an hour the seconds too."""
+    whole = F.floor(seconds).cast("long")
+    part = lambda x: x.cast("long").cast("string")
+    hours = F.concat(part(F.floor(whole / 3600)), F.lit("h "), part(F.floor(whole % 3600 / 60)), F.lit("m"))
+    minutes = F.concat(part(F.floor(whole / 60)), F.lit("m "), part(whole % 60), F.lit("s"))
+    return F.when(seconds < 60, F.concat(part(whole), F.lit("s"))).when(seconds < 3600, minutes).otherwise(hours)
+
+
+def progress(current: Column, total: Column, elapsed: Column) -> Column:
+    """[2/8] 25.0% | ETA: 6s: the time that is left at the pace so far."""
+    share = F.format_string("%.1f", F.coalesce(F.try_divide(current * 100.0, total.cast("double")), F.lit(0.0)))
+    left = F.when(current > 0, duration(elapsed / current * (total - current))).otherwise("calculating...")
+    return F.concat(F.lit("["), current.cast("string"), F.lit("/"), total.cast("string"), F.lit("] "), share, F.lit("% | ETA: "), left)

@@ -70,7 +70,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by repeated contraction: (id, component), the component being its smallest id.
 
     ``edges``: two columns of one type; loops and repeats don't matter, null ends are ignored. Each round, every
-    vertex points to the smallest vertex beside it, pointers are followed to their roots by doubling, and the
+    vertex points to the smallest vertex beside it, pointers are followed to their roots, and the
     edges are rewritten between roots, of which there are at most half as many; stars, cliques and sorted chains
     vanish in one or two rounds. All rounds are aggregations with map-side combining and plain joins, one job
     each; nothing is gathered on the driver. Only ids that occur in an edge between two ids are returned; an
@@ -82,13 +82,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while n:
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         jump = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")))
-        # each vertex's pointer is followed to its root, in doubling steps
+        # each vertex's pointer is followed to its root, three steps a job
         moved = 1
         while moved:
-            ahead = jump.select(F.col("v").alias("w"), F.col("m").alias("n"))
-            step, moved = counted(jump.select("v", "m").join(ahead, F.col("m") == F.col("w"), "left").select("v", F.coalesce("n", "m").alias("m"), (F.col("n") < F.col("m")).alias("moved")), F.col("moved"))
-            release(jump)
-            jump = step
+            to = jump.select(F.col("v").alias("w"), F.col("m").alias("n"))
+            twice = jump.select("v", "m").join(to, F.col("m") == F.col("w"), "left").select("v", F.coalesce("n", "m").alias("m"))
+            step = twice.join(to, F.col("m") == F.col("w"), "left").select("v", F.coalesce("n", "m").alias("m"), (F.col("n") < F.col("m")).alias("moved"))
+            done, (jump, moved) = jump, counted(step, F.col("moved"))
+            release(done)
         jumps.append(jump)
         to = jump.select("v", "m")
         heads = left.join(to, left.a == F.col("v")).select(F.col("m").alias("a"), "b")

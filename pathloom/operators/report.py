@@ -83,3 +83,16 @@ def workflow_json(chains: DataFrame, name: str = "workflow_name", path: str = "p
     empty = F.create_map().cast("map<string,string>")
     doc = F.to_json(F.struct(F.col(name).alias("name"), nodes.alias("nodes"), edges.alias("connections"), F.lit(False).alias("active"), empty.alias("settings"), empty.alias("pinData")))
     return chains.withColumn("document", F.when(F.size(p) > 0, doc))
+
+
+def summary_text(summary: DataFrame, costs: DataFrame) -> DataFrame:
+    """One row, ``text``: what ``metrics.summary`` and ``metrics.cost_report`` (one row each) found, to be read by people."""
+    line = "=" * 60
+    three = lambda name, m, parts: F.concat(F.lit(f"\n{name}:\n"), *[F.format_string(f"  {p.capitalize()}: %.3f\n", F.col(f"{m}_{p}")) for p in parts])
+    scores = F.concat(three("Node Type Accuracy (F1)", "node_f1", ("mean", "median", "std")), three("Connection Accuracy (F1)", "edge_f1", ("mean", "median")), three("Parameter Accuracy", "parameter_accuracy", ("mean", "median")))
+    none = F.when(F.col("c.n") > 0, F.lit("")).otherwise(F.lit(" (no successful generations)"))
+    return summary.alias("s").crossJoin(costs.alias("c")).select(F.concat(
+        F.format_string(f"{line}\nEvaluation Summary\n{line}\n\nTotal Templates: %d\nSuccessful: %d\nFailed: %d\n", F.col("s.n"), F.col("s.n") - F.col("s.n_failed"), F.col("s.n_failed")),
+        F.when(F.col("s.error").isNotNull(), F.concat(F.lit("\nWarning: "), F.col("s.error"), F.lit("\n"))).otherwise(scores),
+        F.format_string("\nCost Report:\n  Total Tokens: %,d\n  Total Cost: $%.2f USD\n  Avg Cost per Template: $%.4f USD", F.col("c.total_tokens"), F.col("c.total_cost"), F.col("c.average_cost")), none, F.lit(f"\n{line}"),
+    ).alias("text"))

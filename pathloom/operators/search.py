@@ -73,6 +73,35 @@ def per_category(scored: DataFrame, path: str = "path_str", k: int = 3, most: in
     return some.withColumn("category_rank", F.row_number().over(W.partitionBy("category").orderBy(F.desc("reward"), path))).where(F.col("category_rank") <= k)
 
 
+def expand_categories(hits: DataFrame, leaves: DataFrame, categories: list[str], top: int = 5, per: int = 3, most: int = 50) -> DataFrame:
+    """path_str, mapped_nodes, reward: ``hits`` with more leaves of their first-level categories, the ``top`` best.
+
+    A category of a hit that an asked category names (or is named by), case aside, is filled up to ``per`` leaves: of
+    its ``most`` leaves with most mapped nodes, those of highest reward, of 0.5 semantic, 0.2 half for the category and
+    0.3 of the use-case score, which counts above 0.15 semantic score only. No more than twice ``top`` are considered,
+    hits first. ``leaves`` has path_str, mapped_nodes, semantic_score, case_score.
+    """
+    first = lambda df: df.withColumn("category", without_number(F.element_at(F.split("path_str", " -> "), 1)))
+    hits = first(hits).select("path_str", "mapped_nodes", "reward", "category")
+    low = F.lower("category")
+    asked = F.exists(F.array(*[F.lit(c.lower()) for c in categories]).cast("array<string>"), lambda c: low.contains(c) | c.contains(low))
+    wanted = hits.where(asked).groupBy("category").agg((F.lit(per) - F.count(F.lit(1))).alias("needed")).where("needed > 0")
+    others = first(leaves).join(hits.select("path_str"), "path_str", "left_anti").join(wanted, "category")
+    many = W.partitionBy("category").orderBy(F.desc(F.size("mapped_nodes")), "path_str")
+    keyword = F.when(F.col("semantic_score") > 0.15, F.col("case_score")).otherwise(0.0)
+    scored = others.withColumn("r", F.row_number().over(many)).where(F.col("r") <= most).withColumn("reward", reward(F.col("semantic_score"), F.lit(0.5), keyword))
+    best = W.partitionBy("category").orderBy(F.desc("reward"), "path_str")
+    added = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= F.col("needed"))
+    both = hits.select("path_str", "mapped_nodes", "reward", F.lit(0).alias("r"), F.lit("").alias("category")).unionByName(added.select("path_str", "mapped_nodes", "reward", "r", "category"))
+    return both.orderBy("category", "r", "path_str").limit(2 * top).orderBy(F.desc("reward"), "path_str").limit(top).select("path_str", "mapped_nodes", "reward")
+
+
+def high_reward(leaves: DataFrame, least: float = 0.25) -> DataFrame:
+    """Leaves above ``least`` reward or with keyword matches; all, where there are none."""
+    some = leaves.where((F.col("reward") > least) | F.coalesce(F.size("keyword_matches") > 0, F.lit(False)))
+    return leaves if some.isEmpty() else some
+
+
 def deepest(nodes: DataFrame) -> DataFrame:
     """The nodes at the greatest depth: what a search without leaves falls back to."""
     return nodes.join(nodes.agg(F.max("depth").alias("depth")), "depth", "left_semi")

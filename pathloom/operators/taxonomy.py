@@ -81,3 +81,8 @@ def top_categories(nodes: DataFrame) -> DataFrame:
 def unique_nodes(hits: DataFrame) -> DataFrame:
     """node: the distinct mapped nodes of search hits."""
     return hits.select(F.explode("mapped_nodes").alias("node")).distinct()
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """path, step, ancestor: the way from the root to each node, itself last."""
+    return nodes.select("path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("step")).withColumn("ancestor", F.slice("path", F.lit(1), F.col("step")))

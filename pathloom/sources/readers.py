@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.operators.normalize import RECORD, TEMPLATE, with_template_id
+from pathloom.operators.variants import entries
 
 INDEX_FILE = "template_index.json"
 
@@ -32,6 +33,10 @@ def read_templates(spark: SparkSession, path: str, limit: int | None = None) ->
     return df if limit is None else df.orderBy("file").limit(limit)
 
 
+def template_count(templates: DataFrame) -> int:
+    return templates.count()
+
+
 def template_by_id(templates: DataFrame, template_id: str) -> DataFrame:
     """The first file named template_<id>_*.json; empty if there is none."""
     return templates.where(F.col("file").rlike(f"^template_{re.escape(str(template_id))}_")).orderBy("file").limit(1)
@@ -40,7 +45,12 @@ def template_by_id(templates: DataFrame, template_id: str) -> DataFrame:
 def read_generated(spark: SparkSession, path: str) -> DataFrame:
     """Generated records of a folder; the file name gives the id."""
     df = spark.read.option("multiLine", True).option("pathGlobFilter", "generated_*.json").schema(RECORD).json(path)
-    return df.withColumn("template_id", F.regexp_extract(F.col("_metadata.file_name"), r"^generated_(.*)\.json$", 1))
+    return df.withColumn("template_id", id_of_file())
+
+
+def id_of_file() -> Column:
+    """The template id in the name of a record file."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^generated_(.*)\.json$", 1)
 
 
 def pending(todo: DataFrame, done: DataFrame, key: str = "template_id") -> DataFrame:
@@ -56,9 +66,8 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ontology(spark: SparkSession, path: str) -> DataFrame:
     """node, required_params of a file {node: {"required_params": [...]}}."""
-    e = read_variant(spark, path, "v")
-    e.createOrReplaceTempView("__ontology")
-    return spark.sql("SELECT e.key AS node, coalesce(try_variant_get(e.value, '$.required_params', 'array<string>'), array()) AS required_params FROM __ontology, LATERAL variant_explode(v) e")
+    e = entries(read_variant(spark, path, "v"), "v", [], "node", "value")
+    return e.select("node", F.coalesce(F.try_variant_get("value", "$.required_params", "array<string>"), F.array().cast("array<string>")).alias("required_params"))
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:

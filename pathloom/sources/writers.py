@@ -18,6 +18,11 @@ def write_records(records: DataFrame, path: str, key: str = "template_id") -> No
     records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
 
 
+def output_paths(path: str) -> dict[str, str]:
+    """Where under ``path`` what is written goes; Spark makes the folders."""
+    return {"llm_workflows": f"{path}/llm_generated_workflows", "evaluation_results": path, "visualizations": f"{path}/visualizations"}
+
+
 def write_results(results: DataFrame, summary: DataFrame, costs: DataFrame, path: str) -> None:
     """Details, summary and cost report as JSON, and a flat CSV of evaluated rows."""
     write_json(results, f"{path}/details")

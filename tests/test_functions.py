@@ -83,3 +83,10 @@ def test_flatten_deep_and_wide(spark):
 
 def test_acronyms(spark):
     assert one(spark, text.acronyms(F.col("t")), t="API aPI APIs ÉAPI API_ A URL,JSON-API 9AB") == ["API", "URL", "JSON"]
+
+
+def test_durations(spark):
+    got = [one(spark, text.duration(F.lit(x))) for x in (0.0, 59.9, 60.0, 3599.0, 3600.0, 7385.0)]
+    assert got == ["0s", "59s", "1m 0s", "59m 59s", "1h 0m", "2h 3m"]
+    row = lambda c, t, e: one(spark, text.progress(F.lit(c), F.lit(t), F.lit(e)))
+    assert [row(2, 8, 2.0), row(0, 8, 2.0), row(0, 0, 0.0)] == ["[2/8] 25.0% | ETA: 6s", "[0/8] 0.0% | ETA: calculating...", "[0/0] 0.0% | ETA: calculating..."]

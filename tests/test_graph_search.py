@@ -275,3 +275,20 @@ def test_report_tables(spark):
         want = np.exp(-0.5 * ((r.x - x) / h) ** 2).sum() / (len(x) * h * (2 * np.pi) ** 0.5)
         assert abs(r.density - want) < 2e-3
     assert report.density(df.where("x > 100"), "x").isEmpty()
+
+
+def test_expand_categories(spark):
+    rows = [("1 Mail -> a", ["x"], 0.9, 0.0), ("1 Mail -> b", ["x", "y"], 0.4, 0.5), ("1 Mail -> c", ["x"], 0.1, 1.0), ("1 Mail -> d", ["x"], 0.3, 0.0), ("2 Data -> e", ["z"], 0.9, 0.9)]
+    leaves = spark.createDataFrame(rows, "path_str string, mapped_nodes array<string>, semantic_score double, case_score double")
+    hits = leaves.where("path_str in ('1 Mail -> a', '2 Data -> e')").withColumn("reward", F.lit(0.6))
+    got = {r.path_str: round(r.reward, 6) for r in search.expand_categories(hits, leaves, ["mail"]).collect()}
+    assert got == {"1 Mail -> a": 0.6, "2 Data -> e": 0.6, "1 Mail -> b": 0.45, "1 Mail -> d": 0.25}
+    assert search.expand_categories(hits, leaves, ["mail"], top=1).count() == 1
+    assert search.expand_categories(hits, leaves, []).count() == 2
+
+
+def test_high_reward_and_ancestors(spark):
+    df = spark.createDataFrame([("a", 0.3, None), ("b", 0.1, ["k"]), ("c", 0.1, [])], "path_str string, reward double, keyword_matches array<string>")
+    assert {r.path_str for r in search.high_reward(df).collect()} == {"a", "b"} and search.high_reward(df.where("path_str = 'c'")).count() == 1
+    got = taxonomy.ancestors(spark.createDataFrame([(["r", "s"],)], "path array<string>")).orderBy("step").collect()
+    assert [r.ancestor for r in got] == [["r"], ["r", "s"]]
