@@ -506,9 +506,17 @@ def steps_to_edges(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("conv_id", "from_name", "to_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_CAP = "upper(left({t}, 1)) || substr({t}, 2)"
+
+
+@query(f"""WITH n AS (SELECT user_id AS chain_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+e AS (SELECT chain_id, t AS s, lead(t) OVER (PARTITION BY chain_id ORDER BY i) AS d, i FROM n),
+nodes AS (SELECT chain_id, string_agg('{{"id":"' || sha256('chain ' || chain_id || '|' || i || '|' || t) || '","name":"' || {_CAP.format(t="t")} || '","type":"' || t || '","typeVersion":1,"position":[' || (i * 300 + 250) || ',300],"parameters":{{}}}}', ',' ORDER BY i) AS j FROM n GROUP BY chain_id),
+src AS (SELECT chain_id, s, min(i) AS i, string_agg('{{"node":"' || {_CAP.format(t="d")} || '","type":"main","index":0}}', ',' ORDER BY i) AS j FROM e WHERE d IS NOT NULL GROUP BY chain_id, s),
+conn AS (SELECT chain_id, string_agg('"' || {_CAP.format(t="s")} || '":{{"main":[[' || j || ']]}}', ',' ORDER BY i) AS j FROM src GROUP BY chain_id)
+SELECT chain_id, '{{"name":"chain ' || chain_id || '","nodes":[' || nodes.j || '],"connections":{{' || coalesce(conn.j, '') || '}},"active":false,"settings":{{}},"pinData":{{}}}}' AS document FROM nodes LEFT JOIN conn USING (chain_id)""")
 def workflow_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: JSON documents with hashed ids."""
+    """JSON documents with hashed ids."""
     c = views.chains(spark, sf).withColumn("workflow_name", F.concat(F.lit("chain "), F.col("chain_id")))
     return report.workflow_json(c).select("chain_id", "document")
 
