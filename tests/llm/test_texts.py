@@ -578,3 +578,45 @@ def test_gradients():
         down = loss()
         v.ravel()[at] = old
         assert abs((up - down) / (2 * eps) - flat[at]) < 2e-3 + 0.05 * abs(flat[at]), k
+
+
+def test_forward_pass_by_hand():
+    """Scores of whole texts by plain loops over words, windows and steps: every window counts, the largest decides."""
+    rng = random.Random(14)
+    texts = [" ".join(words(rng, n, 30)).upper().encode() for n in (1, 31, 32, 33, 48, 49, 100)]
+    seen = sorted({w for t in texts for w in t.lower().split()})[::2]  # some words are not in the vocabulary
+    net = toxicity.Network(np.sort(toxicity.Texts([b" ".join(seen)]).hashes), seed=3)
+    net.scale, net.shift = 1.3, -0.2
+    p, size = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    hashes = {w: toxicity.Texts([w]).hashes[0] for w in {w for t in texts for w in t.lower().split()}}
+
+    def vector(word):
+        at = int(np.searchsorted(net.vocabulary, hashes[word]))
+        known = at < len(net.vocabulary) and net.vocabulary[at] == hashes[word]
+        marked = [0, *word, 0]
+        tri = [((a * 961 + b * 31 + c) * 2654435761 >> 7) % toxicity.TRIGRAMS for a, b, c in zip(marked, marked[1:], marked[2:])]
+        return np.concatenate([p["word"][at + 1 if known else 0], np.mean([p["tri"][i] for i in tri], 0)])
+
+    def run(xs, d):
+        h, out = np.zeros(size), []
+        for x in xs:
+            g, u = x @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+            z, r = (1 / (1 + np.exp(-(g[i * size : (i + 1) * size] + u[i * size : (i + 1) * size]))) for i in (0, 1))
+            new = np.tanh(g[2 * size :] + r * u[2 * size :])
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    def logit(window):
+        xs = [vector(w) for w in window]
+        states = [np.concatenate(s) for s in zip(run(xs, "f"), run(xs[::-1], "b")[::-1])]
+        e = np.exp([s @ p["v"] for s in states])
+        return sum(w * s for w, s in zip(e / e.sum(), states)) @ p["o"] + p["bias"][0]
+
+    got = net.probabilities([*texts, b""])
+    for t, q in zip(texts, got):
+        w = t.lower().split()
+        starts = sorted({*range(0, max(1, len(w) - 31), 16), max(0, len(w) - 32)})
+        best = max(logit(w[a : a + 32]) for a in starts)
+        assert abs(q - 1 / (1 + np.exp(-(1.3 * best - 0.2)))) < 1e-4
+    assert abs(got[-1] - 1 / (1 + np.exp(0.2))) < 1e-6
