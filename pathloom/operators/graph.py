@@ -240,18 +240,19 @@ def longest_path(edges: DataFrame, nodes: DataFrame, most_edges: int | None = No
     """
     most_edges = nodes.count() if most_edges is None else most_edges
     inside = induced(edges, nodes).select("head", "tail").where("head <> tail").distinct()
-    inside.createOrReplaceTempView("__inside")
     sources = nodes.join(inside.select(F.col("tail").alias("node")).distinct(), "node", "left_anti")
-    (nodes if sources.isEmpty() else sources).createOrReplaceTempView("__sources")
+    sources = nodes if sources.isEmpty() else sources
     walk = edges.sparkSession.sql(
         """
         WITH RECURSIVE walk(path, node, n) AS (
-          SELECT array(node), node, 0 FROM __sources
+          SELECT array(node), node, 0 FROM {sources}
           UNION ALL
-          SELECT array_append(w.path, e.tail), e.tail, w.n + 1 FROM walk w JOIN __inside e ON e.head = w.node
+          SELECT array_append(w.path, e.tail), e.tail, w.n + 1 FROM walk w JOIN {inside} e ON e.head = w.node
           WHERE w.n < :most AND NOT array_contains(w.path, e.tail))
         SELECT path, n FROM walk""",
         {"most": most_edges},
+        sources=sources.select("node"),
+        inside=inside,
     )
     return walk.orderBy(F.desc("n"), F.array_join("path", "\x01")).limit(1).select("path")
 
