@@ -34,12 +34,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_bytes, components, counted, cut, free_names, release, shuffle_width, slices, table
 
 WIDTH, TREES, DEPTH, REGION, ESTIMATE, BLOCK, HUBS, NUMERATOR, PART_ROWS = 5, 16, 4, 4096, 0.6, 128, 8, 80, 400_000
+_NONE = np.iinfo(np.int64).max
 HASHES = TREES * DEPTH
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MANY = np.random.default_rng(20255).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -222,25 +222,48 @@ def linked(sets: list[np.ndarray], within: int | None = None, numerator: int = N
     return _forest(ok)
 
 
-def _links(dealt: DataFrame, width: int) -> DataFrame:
+_LINKS = "a long, b long, cluster long, label long, doc_id long, h long"
+
+
+def _links(dealt: DataFrame, width: int, labels: bool) -> DataFrame:
     """A spanning forest (a, b) of the true links of every group (cluster, i, j): all pairs if i = j, else those
-    between the rows whose ``own`` block is i and the others. ``dealt``: cluster, i, j, own, id, text."""
+    between the rows whose ``own`` block is i and the others. ``dealt``: cluster, i, j, own, id, text, hub, doc_id, h.
+
+    With ``labels``, also a row for each document that is no guest (a = id): the smallest hub that it is joined with in
+    its group, as ``label``.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         own = group.column("own").to_numpy()
         ids = group.column("id").to_numpy()
         order = np.lexsort((ids, own))
-        order = order[np.insert(ids[order][1:] != ids[order][:-1], 0, True)] if len(order) else order
+        order = order[np.insert(ids[order][1:] != ids[order][:-1], 0, True)]
         ids, own = ids[order], own[order]
         texts = as_bytes(group.column("text").combine_chunks())
         hashes = _Hashes()
         sets = [shingles(texts[k], hashes, width) for k in order]
         pairs = linked(sets, None if i == j else int((own == i).sum())) if len(sets) > 1 else []
         p = ids[np.array(pairs)] if pairs else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+        none = pa.nulls(len(p), pa.int64())
+        out = pa.table([pa.array(p[:, 0]), pa.array(p[:, 1]), none, none, none, none], names=["a", "b", "cluster", "label", "doc_id", "h"])
+        if labels:
+            g = group.take(pa.array(order))
+            hub = np.where(g.column("hub").to_numpy(zero_copy_only=False), ids, _NONE)
+            label = hub.copy()
+            for _ in range(len(pairs)):  # at most a block's documents
+                before = label.copy()
+                for x, y in pairs:
+                    label[x] = label[y] = min(label[x], label[y])
+                if (label == before).all():
+                    break
+            home = np.flatnonzero(~g.column("guest").to_numpy(zero_copy_only=False))
+            rows = g.take(pa.array(home))
+            found = pa.array(label[home], mask=label[home] == _NONE)
+            out = pa.concat_tables([out, pa.table([rows.column("id"), pa.nulls(len(home), pa.int64()), rows.column("cluster"), found, rows.column("doc_id"), rows.column("h")], names=out.column_names)])
+        return out
 
-    return dealt.select("cluster", "i", "j", "own", "id", "text").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.select("cluster", "i", "j", "own", "id", "text", "hub", "guest", "doc_id", "h").groupBy("cluster", "i", "j").applyInArrow(run, _LINKS)
 
 
 def _blocks(n: Column) -> Column:
@@ -270,29 +293,33 @@ def verified(docs: DataFrame, clusters: DataFrame, width: int = WIDTH) -> DataFr
     """Links (a, b) that span the true components of each cluster: ``clusters`` has cluster, n (its size), id and the
     place (doc_id, h) of a text."""
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), n).cast("int")
-    blocks, rank = _blocks(F.col("n")), F.row_number().over(W.partitionBy("cluster").orderBy(F.xxhash64("id", F.lit(2)), "id"))
-    large = clusters.where(F.col("n") > BLOCK)
-    hubs = large.withColumn("r", rank).where(F.col("r") <= HUBS).select("cluster", "id", F.lit(True).alias("hub"))
-    own = clusters.join(hubs, ["cluster", "id"], "left").withColumns({"own": deal(blocks), "all": F.sequence(F.lit(0), blocks - 1)})
+    blocks = _blocks(F.col("n"))
+    # about HUBS members of a large cluster are guests in all its blocks
+    hub = (F.col("n") > BLOCK) & (F.pmod(F.xxhash64("id", F.lit(2)), F.col("n")) < HUBS)
+    own = clusters.withColumns({"home": deal(blocks), "hub": hub})
+    own = own.withColumn("own", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))))
+    own = own.withColumn("guest", (F.col("n") <= BLOCK) | (F.col("own") != F.col("home")))
     # repeats of a document that came from several tasks meet in their group, once for each task
-    first = _texts(docs, own.select("doc_id", "h", "cluster", "id", F.explode(F.when(F.col("hub"), F.col("all")).otherwise(F.array("own"))).alias("own")))
-    within, n = counted(_links(first.withColumns({"i": F.col("own"), "j": F.col("own")}), width))
-    several, unsettled = counted(large)
+    first = _texts(docs, own.select("doc_id", "h", "cluster", "id", "own", "hub", "guest"))
+    within, unsettled = counted(_links(first.withColumns({"i": F.col("own"), "j": F.col("own")}), width, True), F.col("b").isNull())
+    links = within.where("b is not null").select("a", "b")
     if not unsettled:
-        return within
+        return links
     # what the largest part of a cluster leaves out is compared with everything
-    joined = components(within)
-    parts = several.join(joined, "id", "left").withColumn("part", F.coalesce("component", "id"))
-    sizes = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("size"))
-    most = sizes.groupBy("cluster").agg(F.max(F.struct("size", "part")).alias("most"), F.sum("size").alias("total")).select("cluster", F.col("most.part").alias("main"), F.col("most.size").alias("inside"), (F.col("total") - F.col("most.size")).alias("outside")).where("outside > 0")
-    rest, unsettled = counted(parts.join(most, "cluster").select("cluster", "id", "doc_id", "h", "part", (F.col("part") == F.col("main")).alias("in"), "inside", "outside"))
+    rows = within.where("b is null")
+    sizes = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size"))
+    named = F.when(F.col("label").isNotNull(), F.struct("size", "label"))
+    most = sizes.groupBy("cluster").agg(F.max(named).alias("most"), F.sum("size").alias("total"))
+    inside = F.coalesce("most.size", F.lit(0))
+    most = most.select("cluster", F.col("most.label").alias("main"), inside.alias("inside"), (F.col("total") - inside).alias("outside")).where("outside > 0")
+    rest, unsettled = counted(rows.join(most, "cluster").select("cluster", F.col("a").alias("id"), "doc_id", "h", F.coalesce(F.col("label") == F.col("main"), F.lit(False)).alias("in"), "inside", "outside"))
     if not unsettled:
-        return within
+        return links
     bo, bl = _blocks(F.col("outside")), _blocks(F.col("inside"))
-    rest = rest.withColumn("own", F.when(F.col("in"), bo + deal(bl)).otherwise(deal(bo)))
+    rest = rest.withColumn("own", F.when(F.col("in"), bo + deal(F.greatest(bl, F.lit(1)))).otherwise(deal(bo)))
     rest = rest.select("cluster", "id", "doc_id", "h", "own", F.explode(F.sequence(F.lit(0), F.when(F.col("in"), bo).otherwise(bo + bl) - 1)).alias("other"))
-    pairs = rest.select("cluster", "id", "doc_id", "h", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return within.union(_links(_texts(docs, pairs), width))
+    pairs = rest.select("cluster", "id", "doc_id", "h", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(False).alias("hub"), F.lit(True).alias("guest"))
+    return links.union(_links(_texts(docs, pairs), width, False).select("a", "b"))
 
 
 def components_of(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
