@@ -14,7 +14,9 @@ packed once each; a null doc_id is kept; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +42,7 @@ def default_tokenizer() -> str:
 class _Memo(dict):
     """Ids of a chunk of text as little-endian 32-bit bytes, by chunk."""
 
-    most = 900_000
+    most, longest, group = 900_000, 64, 20_000
 
     def __init__(self, tokenizer, lead: str):
         self.tokenizer, self.lead = tokenizer, lead
@@ -49,10 +51,20 @@ class _Memo(dict):
         if len(self) >= self.most:
             self.clear()
         ids = np.array(self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
+        if len(chunk) <= self.longest:
             self[chunk] = ids
         return ids
 
+    def learn(self, chunks: set[str]) -> None:
+        """Chunks that are still missing, many in a call."""
+        new = [c for c in chunks if len(c) <= self.longest and c not in self]
+        if len(self) + len(new) >= self.most:
+            self.clear()
+        for i in range(0, len(new), self.group):
+            part = new[i : i + self.group]
+            found = self.tokenizer.encode_batch_fast([self.lead + c for c in part], add_special_tokens=False)
+            self.update(zip(part, (struct.pack(f"<{len(f)}I", *f.ids) for f in found), strict=True))
+
 
 class Encoder:
     """Ids of whole texts, from the ids of chunks.
@@ -62,20 +74,26 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.first, self.later = _Memo(self.tokenizer, ""), _Memo(self.tokenizer, " ")
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _SPECIAL in text:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        parts = [None if _SPECIAL in t else _SPLIT.split(t) if _UNSAFE.search(t) else t.split(" ") for t in texts]
+        self.later.learn({c for p in parts if p for c in p[1:]})
+        return [self._whole(t, p) for t, p in zip(texts, parts, strict=True)]
+
+    def _whole(self, text: str, parts: list[str] | None) -> bytes:
+        if parts is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = _SPLIT.split(text) if _UNSAFE.search(text) else text.split(" ")
         # a leading space belongs to the first visible chunk
-        head = self.first[chunks[0]] if chunks[0] else b""
-        return head + b"".join(map(self.later.__getitem__, chunks[1:]))
+        head = self.first[parts[0]] if parts[0] else b""
+        return head + b"".join(map(self.later.__getitem__, parts[1:]))
 
 
 @lru_cache(maxsize=2)
@@ -97,10 +115,11 @@ def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4_000_000):
                 rows = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = encode(text or "") + end
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.many(texts), strict=True):
+                    ids += end
                     rows += [(doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_points(len(ids) // 4, capacity))]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

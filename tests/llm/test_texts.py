@@ -416,6 +416,16 @@ def test_packing_in_chunks(spark):
     assert len(bins) <= 1.05 * sum(r[3] for r in rows) / 100  # a few open bins in each of five small chunks
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab\u00e9\u4e2d\U0001f600 \n\t's.!0\u00a0\u2003\x1c", max_size=30), max_size=6))
+def test_many_chunked_ids(texts):
+    """Texts encoded together, new chunks learned at once, white space of all kinds among them."""
+    e = packing.Encoder(packing.default_tokenizer()) if not hasattr(test_many_chunked_ids, "e") else test_many_chunked_ids.e
+    test_many_chunked_ids.e = e
+    for t, ids in zip(texts, e.many(texts), strict=True):
+        assert list(np.frombuffer(ids, "<u4")) == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab  \n\t'sé.!0 ", max_size=40))
 def test_chunked_ids(text):
