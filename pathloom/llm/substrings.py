@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mixed, runs, shuffle_width, slices, table, word_codes
+from .common import as_bytes, give_back, mixed, runs, shuffle_width, slices, table, word_codes
 
 WINDOW, GRAM, CHUNK_BYTES, BUCKET_BYTES = 20, 2, 12_000_000, 6_000_000
 SAMPLE_BYTES, OFTEN, MARKS = 8_000_000, 8, 1 << 22
@@ -91,7 +91,10 @@ def super_kmers(codes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, wind
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     low = grams_of(codes, hashes, gram)
-    low = low >> np.uint64(1) | frequent[(low % np.uint64(MARKS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+    often = frequent[low.astype(np.uint32) & np.uint32(MARKS - 1)]
+    low >>= np.uint64(1)
+    low[often] |= np.uint64(1 << 63)
+    del often
     width, have = window - gram + 1, 1
     while have * 2 <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -154,6 +157,25 @@ def _mapped(batch: pa.RecordBatch, buckets: int, window: int, gram: int, frequen
         yield int(bucket[part[0]]), 0, _pack([words[spelt[i]] for i in listed.tolist()], planes, windows[at].astype(np.int32), owners, row_of.astype(np.int32), places[at, 2].astype(np.int32))
 
 
+def _prints(codes: np.ndarray, n_codes: int, size: np.ndarray, windows: np.ndarray, window: int, step: int = 1 << 18) -> np.ndarray:
+    """A fingerprint of every window of super-k-mers that stand end to end (``size`` words, ``windows`` windows each),
+    some of them at a time."""
+    value = mixed(np.arange(1, n_codes + 1, dtype=np.uint64) * np.uint64(_BASE))
+    longest = step + int(size.max(initial=0))
+    up, down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(longest, b, np.uint64)])) for b in (_BASE, _INVERSE))
+    ends, out, first = np.cumsum(size), [np.zeros(0, np.uint64)], 0
+    while first < len(size):
+        base = int(ends[first] - size[first])
+        last = max(first + 1, int(np.searchsorted(ends, base + step, "right")))
+        part = value[codes[base : int(ends[last - 1])]]
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.add.accumulate(part * up[: len(part)], out=run[1:])
+        at = runs((ends - size)[first:last] - base, windows[first:last])
+        out.append((run[at + window] - run[at]) * down[at])
+        first = last
+    return np.concatenate(out)
+
+
 def _marked(blobs: list[bytes], window: int) -> np.ndarray:
     """Rows (doc_id, text_hash, start, n): runs of windows that also start earlier."""
     code = _Codes()
@@ -165,15 +187,10 @@ def _marked(blobs: list[bytes], window: int) -> np.ndarray:
         all_windows.append(np.frombuffer(windows, np.int32))
         all_places.append(np.column_stack([np.frombuffer(owners, np.int64).reshape(-1, 2)[np.frombuffer(row_of, np.int32)], np.frombuffer(start, np.int32).astype(np.int64)]))
     codes, windows, places = np.concatenate(all_codes), np.concatenate(all_windows).astype(np.int64), np.concatenate(all_places)
-    with np.errstate(over="ignore"):
-        value = mixed(np.arange(1, len(code) + 1, dtype=np.uint64) * np.uint64(_BASE))[codes]
-        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(codes), _BASE, np.uint64)]))
-        down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(codes), _INVERSE, np.uint64)]))
-        run = np.concatenate([[np.uint64(0)], np.add.accumulate(value * up[:-1])])
-        size = windows + window - 1
-        begin = np.cumsum(size) - size
-        at = runs(begin, windows)
-        print_ = (run[at + window] - run[at]) * down[at]
+    size = windows + window - 1
+    begin = np.cumsum(size) - size
+    at = runs(begin, windows)
+    print_ = _prints(codes, len(code), size, windows, window)
     order = np.argsort(print_, kind="stable")
     same = print_[order][1:] == print_[order][:-1]
     inside = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
@@ -220,7 +237,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """Runs of windows that also start earlier: doc_id (null as the least long), text_hash, start, n. Runs may overlap."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * shuffle_width(spark), -(-total // BUCKET_BYTES))
+    buckets = max(2 * shuffle_width(spark), -(-total // BUCKET_BYTES))
     marks = spark.sparkContext.broadcast(frequent_grams(docs, total, gram).tobytes())
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +258,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 size += n
         if held and sum(b.num_rows for b in held):
             yield packed(held)
+        held.clear()
+        give_back()
 
     def reduced(group: pa.Table) -> pa.Table:
         kinds, payloads = group.column("kind").to_pylist(), group.column("payload").to_pylist()
@@ -248,6 +267,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         blobs = [p for k, p in zip(kinds, payloads, strict=True) if k == 0]
         if blobs:
             marks.append(_marked(blobs, window))
+        give_back()
         return pa.Table.from_batches([_rows(np.concatenate(marks))])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
