@@ -28,3 +28,20 @@ WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embedd
 both_ways AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.95), {_REACH},
 k AS (SELECT a AS vec_id, least(a, min(b)) AS k FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM both_ways GROUP BY a)
 SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(k, v.vec_id) AS component_id, coalesce(k, v.vec_id) = v.vec_id AS kept FROM v LEFT JOIN n USING (vec_id) LEFT JOIN k USING (vec_id)"""
+
+SESSIONS = """
+WITH RECURSIVE d AS (SELECT click_id, client_id, epoch_us(ts) AS us, epoch_us(arrived_at) AS a, kind, value, row_number() OVER (PARTITION BY click_id ORDER BY arrived_at NULLS FIRST, ts, client_id) AS k FROM clicks WHERE click_id IS NOT NULL AND client_id IS NOT NULL AND ts IS NOT NULL),
+c AS (SELECT client_id, us, click_id, coalesce(a - us > 900000000, false) AS late, coalesce(kind IN ('purchase', 'signup') AND value >= 60, false) AS final, CAST(coalesce(floor(100 * value + 0.5), 0) AS BIGINT) AS cents FROM d WHERE k = 1),
+t AS (SELECT *, lag(us) OVER w AS pus, lag(final) OVER w AS pfinal, row_number() OVER w AS rn FROM c WHERE NOT late WINDOW w AS (PARTITION BY client_id ORDER BY us, click_id)),
+h AS (SELECT *, pus IS NULL OR pfinal OR us - pus >= 900000000 AS hard FROM t),
+i AS (SELECT *, sum(CAST(hard AS INTEGER)) OVER (PARTITION BY client_id ORDER BY rn) AS island FROM h),
+f AS (SELECT client_id, island, us, min(rn) AS rn FROM i GROUP BY ALL),
+n AS (SELECT i.client_id, i.island, i.rn, min(f.rn) AS nxt FROM i LEFT JOIN f ON i.client_id = f.client_id AND i.island = f.island AND f.us > i.us + 3600000000 GROUP BY ALL),
+s(client_id, island, rn) AS (SELECT client_id, island, rn FROM i WHERE hard UNION ALL SELECT s.client_id, s.island, n.nxt FROM s JOIN n USING (client_id, island, rn) WHERE n.nxt IS NOT NULL),
+m AS (SELECT i.*, s.rn IS NOT NULL AS opens FROM i LEFT JOIN s USING (client_id, island, rn)),
+g AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY client_id ORDER BY rn) AS session FROM m),
+x AS (SELECT client_id, session, arg_min(click_id, rn) AS session_id, arg_min(us, rn) AS start_us, arg_max(us, rn) AS end_us, count(*) AS n_clicks, CAST(sum(cents) AS BIGINT) AS value_cents, arg_max(final, rn) AS final, arg_max(rn, rn) AS rn, sha256(string_agg(CAST(click_id AS VARCHAR), ',' ORDER BY rn)) AS path_sha256 FROM g GROUP BY ALL),
+l AS (SELECT x.client_id, x.session FROM c ASOF JOIN (SELECT client_id, start_us, max(session) AS session FROM x GROUP BY ALL) x ON c.client_id = x.client_id AND c.us >= x.start_us WHERE c.late),
+ln AS (SELECT client_id, session, count(*) AS n_late FROM l GROUP BY ALL),
+y AS (SELECT x.*, h.hard AS nhard, h.pfinal AS npfinal, h.us - h.pus >= 900000000 AS ngap FROM x LEFT JOIN h ON h.client_id = x.client_id AND h.rn = x.rn + 1)
+SELECT client_id, session_id, start_us, end_us, n_clicks, coalesce(n_late, 0) AS n_late, value_cents, CASE WHEN nhard IS NULL THEN CASE WHEN final THEN 'end' ELSE 'none' END WHEN npfinal THEN 'end' WHEN ngap THEN 'gap' ELSE 'length' END AS closed_by, path_sha256 FROM y LEFT JOIN ln USING (client_id, session)"""

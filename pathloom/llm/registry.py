@@ -15,12 +15,14 @@ from .neighbours import op1_nearest_neighbours
 from .packing import op7_best_fit_packing
 from .pseudonyms import op8_pii_pseudonyms
 from .scoring import op4_lm_scoring
+from .sessions import op11_gap_sessions
 from .substrings import op2_substring_dedup
 from .toxicity import op10_toxicity
 
 _ALL = (
     op1_nearest_neighbours, op2_substring_dedup, op3_source_mixing, op4_lm_scoring, op5_minhash_near_dedup,
     op6_language_id, op7_best_fit_packing, op8_pii_pseudonyms, op9_embedding_near_dedup, op10_toxicity,
+    op11_gap_sessions,
 )
 
 
@@ -30,4 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others hash, learn or iterate in ways that SQL can't express; see tests/llm."""
-    return {"op2_substring_dedup": oracles.SUBSTRINGS, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op9_embedding_near_dedup": oracles.NEAR_VECTORS}
+    return {
+        "op2_substring_dedup": oracles.SUBSTRINGS, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op9_embedding_near_dedup": oracles.NEAR_VECTORS,
+        "op11_gap_sessions": oracles.SESSIONS,
+    }
