@@ -75,6 +75,23 @@ def with_columns_of(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, on, how).drop(*theirs)
 
 
+def beside_groups(rows: DataFrame, groups: DataFrame, key: str, most: int = 1000, count: str = "n") -> DataFrame:
+    """``rows`` with the values of their group: ``groups`` has a row a key (null is a key too), with its ``count`` of rows.
+
+    The ``most`` largest groups go by broadcast, never more; what is left is shuffled, where no key has more than one part in
+    ``most`` of all rows. Columns of ``groups`` other than the key must not be among those of ``rows``.
+    """
+    hot = cut(groups.orderBy(F.desc(count), F.col(key).asc_nulls_first()).limit(most))
+    theirs, mark = free_names([*rows.columns, *groups.columns], key, "_hot")
+    values = [c for c in groups.columns if c not in (key, count)]
+    named = lambda g: g.select(F.col(key).alias(theirs), *values)
+    same = F.col(key).eqNullSafe(F.col(theirs))
+    first = rows.join(F.broadcast(named(hot)), same).drop(theirs)
+    rest = rows.join(F.broadcast(named(hot).select(theirs)), same, "left_anti")
+    others = named(groups).join(F.broadcast(named(hot).select(F.col(theirs).alias(mark))), F.col(theirs).eqNullSafe(F.col(mark)), "left_anti")
+    return first.unionByName(rest.join(others, same, "left").drop(theirs))
+
+
 def store(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read again; smaller there than ``cut``."""
     path = f"{checkpoint_dir(df.sparkSession)}/pathloom-{uuid.uuid4().hex}"

@@ -45,3 +45,20 @@ l AS (SELECT x.client_id, x.session FROM c ASOF JOIN (SELECT client_id, start_us
 ln AS (SELECT client_id, session, count(*) AS n_late FROM l GROUP BY ALL),
 y AS (SELECT x.*, h.hard AS nhard, h.pfinal AS npfinal, h.us - h.pus >= 900000000 AS ngap FROM x LEFT JOIN h ON h.client_id = x.client_id AND h.rn = x.rn + 1)
 SELECT client_id, session_id, start_us, end_us, n_clicks, coalesce(n_late, 0) AS n_late, value_cents, CASE WHEN nhard IS NULL THEN CASE WHEN final THEN 'end' ELSE 'none' END WHEN npfinal THEN 'end' WHEN ngap THEN 'gap' ELSE 'length' END AS closed_by, path_sha256 FROM y LEFT JOIN ln USING (client_id, session)"""
+
+
+def _vector_codes(rounds: int = 2, parts: int = 16, entries: int = 64, width: int = 4) -> str:
+    """Codebooks of vectors of parts x width components."""
+    near = "+".join(f"(p.v[{i}] - e.v[{i}]) * (p.v[{i}] - e.v[{i}])" for i in range(1, width + 1))
+    mean = ", ".join(f"CAST(floor(sum(p.v[{i}]) / CAST(count(*) AS DOUBLE)) AS BIGINT)" for i in range(1, width + 1))
+    steps = [f"""k AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT r, j AS part, c[j * {width} + 1:(j + 1) * {width}] AS v FROM k, unnest(range({parts})) AS u(j)), e0 AS (SELECT part, r - 1 AS i, v FROM p WHERE r <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS (SELECT p.r, p.part, min(({near}, e.i)) AS m FROM p JOIN e{n} e ON p.part = e.part GROUP BY p.r, p.part)")
+        if n < rounds:
+            steps.append(f"m{n} AS (SELECT a.part, a.m[2] AS i, [{mean}] AS v FROM a{n} a JOIN p USING (r, part) GROUP BY a.part, a.m[2]), e{n + 1} AS (SELECT e.part, e.i, coalesce(m.v, e.v) AS v FROM e{n} e LEFT JOIN m{n} m ON e.part = m.part AND e.i = m.i)")
+    steps.append(f"z AS (SELECT r, string_agg(format('{{:02x}}', m[2]), '' ORDER BY part) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY r), h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, i)) AS codebooks_sha256 FROM e{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN z USING (r), h"
+
+
+VECTOR_CODES = _vector_codes()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .codes import op13_vector_codes
 from .hamming import op9_embedding_near_dedup
 from .language import op6_language_id
 from .mixing import op3_source_mixing
@@ -22,7 +23,7 @@ from .toxicity import op10_toxicity
 _ALL = (
     op1_nearest_neighbours, op2_substring_dedup, op3_source_mixing, op4_lm_scoring, op5_minhash_near_dedup,
     op6_language_id, op7_best_fit_packing, op8_pii_pseudonyms, op9_embedding_near_dedup, op10_toxicity,
-    op11_gap_sessions,
+    op11_gap_sessions, op13_vector_codes,
 )
 
 
@@ -34,5 +35,5 @@ def oracle_sql() -> dict[str, str]:
     """The others hash, learn or iterate in ways that SQL can't express; see tests/llm."""
     return {
         "op2_substring_dedup": oracles.SUBSTRINGS, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op9_embedding_near_dedup": oracles.NEAR_VECTORS,
-        "op11_gap_sessions": oracles.SESSIONS,
+        "op11_gap_sessions": oracles.SESSIONS, "op13_vector_codes": oracles.VECTOR_CODES,
     }
