@@ -19,11 +19,12 @@ from .scoring import op4_lm_scoring
 from .sessions import op11_gap_sessions
 from .substrings import op2_substring_dedup
 from .toxicity import op10_toxicity
+from .warc import op12_warc_archives
 
 _ALL = (
     op1_nearest_neighbours, op2_substring_dedup, op3_source_mixing, op4_lm_scoring, op5_minhash_near_dedup,
     op6_language_id, op7_best_fit_packing, op8_pii_pseudonyms, op9_embedding_near_dedup, op10_toxicity,
-    op11_gap_sessions, op13_vector_codes,
+    op11_gap_sessions, op12_warc_archives, op13_vector_codes,
 )
 
 
@@ -35,5 +36,5 @@ def oracle_sql() -> dict[str, str]:
     """The others hash, learn or iterate in ways that SQL can't express; see tests/llm."""
     return {
         "op2_substring_dedup": oracles.SUBSTRINGS, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op9_embedding_near_dedup": oracles.NEAR_VECTORS,
-        "op11_gap_sessions": oracles.SESSIONS, "op13_vector_codes": oracles.VECTOR_CODES,
+        "op11_gap_sessions": oracles.SESSIONS, "op12_warc_archives": oracles.ARCHIVES, "op13_vector_codes": oracles.VECTOR_CODES,
     }
