@@ -14,7 +14,7 @@ number of stretches), and then all stretches are cut at once.
 
 Defined results: rows without client_id, ts or click_id take no part. Rows that repeat a click_id count once; if they differ,
 the first to arrive counts (ties: the smaller ts, client, value in cents). Without arrived_at, a click is timely. A null or
-non-finite value counts as 0 cents (a non-finite one is final as it compares with ``final_value``). Equal times are
+non-finite value counts as 0 cents (NaN compares above all numbers, as in SQL, so it can be final). Equal times are
 ordered by click_id. A late click belongs to the client's last session that starts at or before it, if any. An empty
 table gives an empty result. Other columns are ignored; texts (``props``) are not read.
 """
@@ -60,40 +60,49 @@ def prepared(clicks: DataFrame, late: int = LATE, kinds: tuple[str, ...] = FINAL
 def islands(clicks: DataFrame, gap: int = GAP, slot: int = SLOT) -> DataFrame:
     """Rows of ``prepared`` with ``reason`` (what ends the session if this timely click is its last), the first click of
     their island (island_us, island_id) and the island's last time (island_end); late clicks before any island go."""
-    rows = clicks.withColumn("slot", F.floor(F.col("us") / slot))
-    here = "PARTITION BY client_id, slot ORDER BY us, late, click_id"
-    rows = rows.withColumns({
+    here, late, timely, us = "PARTITION BY client_id, slot ORDER BY us, late, click_id", F.col("late"), ~F.col("late"), F.col("us")
+    rows = clicks.withColumn("slot", F.floor(us / slot)).withColumns({
         "before": F.expr(f"lag(if(late, NULL, struct(us, final))) IGNORE NULLS OVER ({here})"),
         "next_us": F.expr(f"lead(if(late, NULL, us)) IGNORE NULLS OVER ({here})"),
     })
-    breaks = F.col("before.final") | (F.col("us") - F.col("before.us") >= gap)
-    rows = rows.withColumn("opening", F.when(~F.col("late") & F.col("before").isNotNull() & breaks, F.struct("us", "click_id")))
+    breaks = lambda before, after: before["final"] | (after - before["us"] >= gap)
+    mine = F.struct("us", "final")
+    rows = rows.withColumns({
+        "opening": F.when(timely & F.col("before").isNotNull() & breaks(F.col("before"), us), F.struct("us", "click_id")),
+        "closing": F.when(timely & F.col("next_us").isNotNull() & breaks(mine, F.col("next_us")), us),
+    })
 
     # one row a client and slot: what a slot's clicks need of the client's other slots
-    timely = ~F.col("late")
     slots = rows.groupBy("client_id", "slot").agg(
-        F.min(F.when(timely, F.struct("us", "click_id"))).alias("first"), F.max(F.when(timely, F.struct("us", "click_id", "final"))).alias("last"), F.max("opening").alias("opening"),
+        F.min(F.when(timely, F.struct("us", "click_id"))).alias("first"), F.max(F.when(timely, F.struct("us", "click_id", "final"))).alias("final_click"),
+        F.max("opening").alias("opening"), F.min("closing").alias("closing"),
     )
     along = "PARTITION BY client_id ORDER BY slot"
     slots = slots.withColumns({
-        "last": F.expr(f"lag(last) IGNORE NULLS OVER ({along})"),
+        "last": F.expr(f"lag(final_click) IGNORE NULLS OVER ({along})"),
         "follows": F.expr(f"lead(first.us) IGNORE NULLS OVER ({along})"),
     })
-    opens = F.coalesce(F.col("last.final") | (F.col("first.us") - F.col("last.us") >= gap), F.lit(True))
-    slots = slots.withColumn("entered", F.when(F.col("first").isNotNull() & opens, F.col("first")))
-    slots = slots.withColumn("reached", F.coalesce("opening", "entered"))
-    slots = slots.withColumn("carried", F.expr(f"lag(reached) IGNORE NULLS OVER ({along})"))
-    slots = slots.select(F.col("client_id").alias("c"), F.col("slot").alias("s"), "follows", "carried", F.coalesce("entered", "carried").alias("entered"))
+    opens = F.coalesce(breaks(F.col("last"), F.col("first.us")), F.lit(True))
+    closes = F.coalesce(breaks(F.col("final_click"), F.col("follows")), F.lit(True))
+    slots = slots.withColumns({"entered": F.when(F.col("first").isNotNull() & opens, F.col("first")), "left": F.when(F.col("final_click").isNotNull() & closes, F.col("final_click.us"))})
+    slots = slots.withColumns({"reached": F.coalesce("opening", "entered"), "reaches": F.coalesce("closing", "left")})
+    slots = slots.withColumns({"carried": F.expr(f"lag(reached) IGNORE NULLS OVER ({along})"), "ahead": F.expr(f"lead(reaches) IGNORE NULLS OVER ({along})")})
+    slots = slots.select(
+        F.col("client_id").alias("c"), F.col("slot").alias("s"), "follows", "carried", F.struct("last.us", "last.final").alias("last"),
+        F.coalesce("entered", "carried").alias("entered"), F.coalesce("left", "ahead").alias("left"),
+    )
 
     to_here = W.partitionBy("client_id", "slot").orderBy("us", "late", "click_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("opened", F.last("opening", ignorenulls=True).over(to_here))
+    rows = rows.withColumns({"opened": F.last("opening", ignorenulls=True).over(to_here), "closed": F.coalesce("closing", F.expr(f"lead(closing) IGNORE NULLS OVER ({here})"))})
     rows = rows.join(slots, (F.col("client_id") == F.col("c")) & (F.col("slot") == F.col("s")))
-    ahead = F.col("late") & F.col("before").isNull()  # before the slot's first timely click
-    island, next_us = F.coalesce("opened", F.when(ahead, F.col("carried")).otherwise(F.col("entered"))), F.coalesce("next_us", "follows")
-    reason = F.when(F.col("late"), None).when(F.col("final"), "end").when(next_us.isNull(), "none").when(next_us - F.col("us") >= gap, "gap").otherwise("length")
-    rows = rows.select("client_id", "us", "click_id", "late", "cents", reason.alias("reason"), island.alias("i")).where("i IS NOT NULL")
-    rows = rows.withColumns({"island_us": F.col("i.us"), "island_id": F.col("i.click_id")}).drop("i")
-    return rows.withColumn("island_end", F.max(F.when(~F.col("late"), F.col("us"))).over(W.partitionBy(*ISLAND)))
+    early = late & F.col("before").isNull()  # a late click before the slot's first timely one
+    island, next_us = F.coalesce("opened", F.when(early, F.col("carried")).otherwise(F.col("entered"))), F.coalesce("next_us", "follows")
+    reason = F.when(late, None).when(F.col("final"), "end").when(next_us.isNull(), "none").when(next_us - us >= gap, "gap").otherwise("length")
+    before = F.coalesce("before", "last")
+    over = late & F.coalesce(breaks(before, next_us), F.lit(True))  # a late click behind its island
+    end = F.when(over, before["us"]).otherwise(F.coalesce("closed", "left"))
+    rows = rows.select("client_id", "us", "click_id", "late", "cents", reason.alias("reason"), island.alias("i"), end.alias("island_end")).where("i IS NOT NULL")
+    return rows.withColumns({"island_us": F.col("i.us"), "island_id": F.col("i.click_id")}).drop("i")
 
 
 def _timely(group: pa.Table) -> tuple[np.ndarray, ...]:
