@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.stats import ratio
 
-from . import lineage
+from . import dag, lineage
 from .lineage import counted, cut
 
 # Substrings that mark triggers, usual ends, preferred sources and sinks, and critical nodes.
@@ -63,17 +63,22 @@ def statistics(edges: DataFrame) -> DataFrame:
     return out.withColumns({"connected": F.col("n_components") == 1, "density": ratio(m, n * (n - 1)), "average_degree": ratio(2 * m, n)})
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
-    """The rows that paths from ``seeds`` (node, and columns that travel along) reach, seeds included; a job a level."""
+def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False, most_levels: int = 8) -> DataFrame:
+    """The rows that paths from ``seeds`` (node, and columns that travel along) reach, seeds included.
+
+    A job a level; beyond ``most_levels``, chains are contracted (see ``dag``), so long ones don't cost a job a node.
+    """
     src, dst = ("tail", "head") if backward else ("head", "tail")
     keys = seeds.columns
     e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
     front, n = counted(seeds.distinct())
-    seen = front
-    while n:
+    seen, level = front, 0
+    while n and (level := level + 1) <= most_levels:
         ahead = front.join(e, "node").select(*[F.col("next" if c == "node" else c).alias(c) for c in keys])
         front, n = counted(ahead.distinct().join(seen, keys, "left_anti").select(*keys))
         seen = seen.union(front)
+    if n:
+        seen = seen.union(dag.reached(e.select(F.col("node").alias("head"), F.col("next").alias("tail")), front)).distinct()
     return seen
 
 
@@ -205,19 +210,8 @@ def rank_paths(paths: DataFrame, required: DataFrame, k: int = 5) -> DataFrame:
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """node, level (longest path from a source) by peeling sources; nodes on or behind cycles are left out."""
-    e = cut(edges.select("head", "tail").distinct())
-    left, out, at = cut(nodes_of(e)), None, 0
-    while not left.isEmpty():
-        now = cut(left.join(e.select(F.col("tail").alias("node")).distinct(), "node", "left_anti"))
-        if now.isEmpty():
-            break
-        part = now.withColumn("level", F.lit(at))
-        out = part if out is None else out.union(part)
-        left = cut(left.join(now, "node", "left_anti"))
-        e = cut(e.join(now.select(F.col("node").alias("head")), "head", "left_anti"))
-        at += 1
-    return out if out is not None else edges.sparkSession.createDataFrame([], "node string, level int")
+    """node, level (longest path from a source); nodes on or behind cycles are left out. Jobs as in ``dag``."""
+    return dag.levels(edges)
 
 
 def topological_order(edges: DataFrame) -> DataFrame | None:
@@ -233,28 +227,13 @@ def expand(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
     return nodes.select("node").union(first("tail", "head")).union(first("head", "tail")).distinct().orderBy("node").limit(most)
 
 
-def longest_path(edges: DataFrame, nodes: DataFrame, most_edges: int | None = None) -> DataFrame:
-    """path: the longest simple path within ``nodes`` from a source (else any node); ties by name.
+def longest_path(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """path: the longest simple path within ``nodes`` from a source (else any node) in one row; ties by name.
 
-    Without ``most_edges``, paths may be as long as there are nodes.
+    ``dag.longest_path`` gives it as a row a node.
     """
-    most_edges = nodes.count() if most_edges is None else most_edges
-    inside = induced(edges, nodes).select("head", "tail").where("head <> tail").distinct()
-    sources = nodes.join(inside.select(F.col("tail").alias("node")).distinct(), "node", "left_anti")
-    sources = nodes if sources.isEmpty() else sources
-    walk = edges.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(path, node, n) AS (
-          SELECT array(node), node, 0 FROM {sources}
-          UNION ALL
-          SELECT array_append(w.path, e.tail), e.tail, w.n + 1 FROM walk w JOIN {inside} e ON e.head = w.node
-          WHERE w.n < :most AND NOT array_contains(w.path, e.tail))
-        SELECT path, n FROM walk""",
-        {"most": most_edges},
-        sources=sources.select("node"),
-        inside=inside,
-    )
-    return walk.orderBy(F.desc("n"), F.array_join("path", "\x01")).limit(1).select("path")
+    steps = dag.longest_path(edges, nodes).groupBy().agg(F.array_sort(F.collect_list(F.struct("position", "node"))).alias("p"))
+    return steps.where(F.size("p") > 0).select(F.transform("p", lambda x: x["node"]).alias("path"))
 
 
 CANDIDATES = "trigger string, path array<string>, coverage array<string>, length int, coverage_count int, score double"
@@ -295,15 +274,30 @@ def compose(edges: DataFrame, nodes: DataFrame, most_nodes: int = 40, k: int = 5
     return rows.groupBy("trigger").applyInArrow(run, CANDIDATES)
 
 
-def _all_simple_paths(succ: dict[str, list[str]], start: str, end: str, most_edges: int) -> Iterator[list[str]]:
-    """Simple paths of a small graph, depth first by name."""
+def _all_simple_paths(succ: dict[str, list[str]], start: str, end: str, most_edges: int, most_steps: int = 20_000) -> Iterator[list[str]]:
+    """Simple paths of a small graph, depth first by name.
+
+    A path goes on only to nodes from which the end is within the steps that are left; in cyclic graphs that can still be
+    many, so the search ends after ``most_steps`` prefixes.
+    """
+    pred: dict[str, list[str]] = {}
+    for a, bs in succ.items():
+        for b in bs:
+            pred.setdefault(b, []).append(a)
+    away, queue = {end: 0}, [end]
+    for node in queue:
+        for p in pred.get(node, []):
+            if p not in away:
+                away[p] = away[node] + 1
+                queue.append(p)
     stack = [[start]]
-    while stack:
+    while stack and (most_steps := most_steps - 1) >= 0:
         path = stack.pop()
         if path[-1] == end:
             yield path
-        elif len(path) <= most_edges:
-            stack += [[*path, n] for n in reversed(succ.get(path[-1], [])) if n not in path]
+        else:
+            left = most_edges - len(path)
+            stack += [[*path, n] for n in reversed(succ.get(path[-1], [])) if n not in path and away.get(n, left + 1) <= left]
 
 
 def find_path(edges: DataFrame, nodes: DataFrame, core: DataFrame, most_nodes: int = 50, most_paths: int = 50, most_length: int = 15) -> DataFrame:

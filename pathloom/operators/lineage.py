@@ -25,9 +25,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared checkpoint folder: it survives lost executors."""
+    """``df``, computed once and kept in the shared checkpoint folder: it survives lost executors.
+
+    A checkpoint keeps the planner's estimate of its size, which a join multiplies. In a loop that joins a frame with itself the
+    estimate's digits double each round, until planning takes all the time; a senseless estimate is dropped.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    plan = out._jdf.queryExecution().analyzed()
+    if int(str(plan.stats().sizeInBytes())) >= 1 << 60:
+        session = out.sparkSession
+        out = DataFrame(session._jsparkSession.internalCreateDataFrame(plan.rdd(), out._jdf.schema(), False), session)
+    return out
 
 
 def counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import jsonx, text, vector
-from pathloom.operators import chains, graph, mapping, matching, metrics, normalize, ordering, params, report, search, taxonomy, variants
+from pathloom.operators import chains, dag, graph, mapping, matching, metrics, normalize, ordering, params, report, search, taxonomy, variants
 from pathloom.sources.readers import pending
 
 from . import pipelines, views
@@ -166,6 +166,34 @@ def longest_path(spark: SparkSession, sf: str) -> DataFrame:
     return graph.longest_path(e, graph.nodes_of(e)).select(F.array_join("path", ">").alias("path"))
 
 
+ORDER_LINKS = """o AS (SELECT printf('%09d', o_orderkey) AS node, o_orderkey AS k, o_orderdate AS d, o_custkey AS c, c_nationkey AS n, o_orderpriority = '1-URGENT' AS urgent FROM orders JOIN customer ON o_custkey = c_custkey),
+e AS (SELECT node AS head, lead(node) OVER (PARTITION BY c ORDER BY d, k) AS tail FROM o UNION SELECT node, t FROM (SELECT node, urgent, lead(node) OVER (PARTITION BY n ORDER BY d, k) AS t FROM o) WHERE urgent)"""
+
+
+def _order_links(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """head, tail: from an order to its customer's next one, and from an urgent one to the next in its nation; the nodes."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    o = o.select(F.format_string("%09d", "o_orderkey").alias("node"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"), F.col("o_custkey").alias("c"), F.col("c_nationkey").alias("n"), "o_orderpriority")
+    own = o.select(F.col("node").alias("head"), F.lead("node").over(W.partitionBy("c").orderBy("d", "k")).alias("tail"))
+    # a nation's orders are many: what is next is found within ranges of dates, and across them by a row a range
+    urgent = ordering.following(o.select("n", "d", "k", "node", "o_orderpriority"), ["n"], ["d", "k"], "node", "next").where("o_orderpriority = '1-URGENT'").select(F.col("node").alias("head"), F.col("next").alias("tail"))
+    return own.union(urgent).where("tail IS NOT NULL"), o.select("node")
+
+
+@query(f"""WITH RECURSIVE {ORDER_LINKS}, x AS (SELECT head, tail FROM e WHERE tail IS NOT NULL), l(node, level) AS (SELECT node, 0 FROM o WHERE node NOT IN (SELECT head FROM x) UNION SELECT head, level + 1 FROM x JOIN l ON tail = node),
+m AS (SELECT node, max(level) AS depth FROM l GROUP BY node), s AS (SELECT min_by(node, (-depth, node)) AS node FROM m WHERE node NOT IN (SELECT tail FROM x)),
+p(position, node) AS (SELECT 0, node FROM s UNION ALL SELECT position + 1, (SELECT min(tail) FROM x JOIN m t ON t.node = tail JOIN m h ON h.node = head WHERE head = p.node AND t.depth = h.depth - 1) FROM p WHERE node IN (SELECT head FROM x))
+SELECT CAST(position AS BIGINT) AS position, node FROM p WHERE node IS NOT NULL""")
+def longest_order_path(spark: SparkSession, sf: str) -> DataFrame:
+    return dag.longest_path(*_order_links(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {ORDER_LINKS}, x AS (SELECT head, tail FROM e WHERE tail IS NOT NULL), l(node, level) AS (SELECT node, 0 FROM o WHERE node IN (SELECT head FROM x UNION SELECT tail FROM x) AND node NOT IN (SELECT tail FROM x) UNION SELECT tail, level + 1 FROM x JOIN l ON head = node)
+SELECT level, count(*) AS n FROM (SELECT node, CAST(max(level) AS INTEGER) AS level FROM l GROUP BY node) GROUP BY level""")
+def order_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.levels(_order_links(spark, sf)[0]).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- chains -----------------------------------------------------------------------------------------------
 
 @query(f"WITH {views.MATRIX}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM matrix) SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(least(1.0, 4 * score), 6) AS score FROM r WHERE rank <= 3")
