@@ -52,11 +52,11 @@ def vectors(df: DataFrame, id_name: str = "vec_id") -> tuple[DataFrame, int]:
     return good.where(F.size("embedding") == dim), dim
 
 
-def sample(good: DataFrame, n: int, most: int, seed: int) -> np.ndarray:
-    """About ``most`` of ``n`` vectors (all, if fewer), chosen by a hash of their ids."""
+def sample(rows: DataFrame, n: int, most: int, seed: int) -> np.ndarray:
+    """About ``most`` of ``n`` vectors (all, if fewer), chosen by a hash of the vectors; never more than twice ``most``."""
     share = min(1.0, most / max(1, n))
-    chance = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    got = good.where(chance < share).select("id", F.col("embedding").cast("array<float>").alias("embedding")).orderBy("id").toArrow()
+    chance = F.pmod(F.xxhash64("embedding", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    got = rows.where(chance < share).select(F.col("embedding").cast("array<float>").alias("embedding")).orderBy("embedding").limit(2 * most).toArrow()
     return matrix(got.column("embedding").combine_chunks())
 
 
@@ -217,10 +217,11 @@ def similar_pairs(classes: DataFrame, pairs: DataFrame, cosine: float) -> DataFr
 def near_vectors(df: DataFrame, cosine: float = COSINE, most: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``df``."""
     good, dim = vectors(df)
-    good, n = counted(good)
-    x = sample(good, n, most, 9)
-    classes = cut(good.groupBy("embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    if len(x):
+    # ids may be shared by different vectors, so classes of equal vectors have keys of their own
+    classes = good.groupBy("embedding").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes, n = counted(classes.withColumn("id", F.monotonically_increasing_id()))
+    if n:
+        x = sample(classes, n, most, 9)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         links = cut(similar_pairs(classes, hamming_pairs(classes, Coder(x, n, cosine)), cosine))
     else:
@@ -228,8 +229,10 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, most: int = SAMPLE) -> D
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = classes.select(F.col("id").alias("b"), F.col("copies").alias("weight"))
     degree = both.join(other, "b").groupBy("a").agg(F.sum("weight").alias("links"))
-    found = classes.join(degree, classes.id == degree.a, "left").join(components(links).withColumnRenamed("id", "c"), classes.id == F.col("c"), "left")
-    found = found.select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    member = components(links).select(F.col("id").alias("c"), "component")
+    named = member.join(classes, F.col("c") == F.col("id")).groupBy("component").agg(F.min("least").alias("smallest"))
+    found = classes.join(degree, classes.id == degree.a, "left").join(member.join(named, "component"), classes.id == F.col("c"), "left")
+    found = found.select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     out = df.select("vec_id", F.when(F.col("vec_id").isNotNull() & usable() & (F.size("embedding") == dim), F.col("embedding").cast("array<double>")).alias("e"))
     out = out.join(found, out.e == found.embedding, "left")
     component = F.coalesce("component_id", "vec_id")
