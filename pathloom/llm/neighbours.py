@@ -145,14 +145,17 @@ class Index:
         return (x @ self.centres.T - 0.5 * (self.centres**2).sum(1)).argmax(1)
 
     def lower_bounds(self, ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
-        """Each query's k-th best inner product within the sample, its own id left out."""
+        """Each query's k-th best inner product within the sample, its own id left out and each other id counted once."""
         out = np.full(len(queries), -np.inf)
-        if len(self.ids) > k:
-            x = self.x.astype(np.float64)
+        order = np.argsort(self.ids, kind="stable")
+        names, first = np.unique(self.ids[order], return_index=True)
+        if len(names) > k:
+            x = self.x.astype(np.float64)[order]
             for i in range(0, len(queries), 256):
                 s = queries[i : i + 256] @ x.T
-                s[ids[i : i + 256, None] == self.ids[None]] = -np.inf
-                out[i : i + 256] = np.partition(s, len(self.ids) - k, 1)[:, len(self.ids) - k]
+                s = np.maximum.reduceat(s, first, 1) if len(first) < len(x) else s
+                s[ids[i : i + 256, None] == names[None]] = -np.inf
+                out[i : i + 256] = np.partition(s, len(names) - k, 1)[:, len(names) - k]
         return out - 1e-9 * np.maximum(1, np.abs(out, where=np.isfinite(out), out=np.ones_like(out)))
 
 
@@ -193,8 +196,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, margin: float = MARGI
     asked, n = counted(vectors(queries)[0].where(F.size("embedding") == dim).select("id", "embedding").distinct())
     blocks = max(1, -(-n // ASKS))
     share = min(1.0, SAMPLE / total)
-    chance = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    got = good.where(chance < share).orderBy("id").toArrow()
+    chance = F.pmod(F.xxhash64("id", "embedding", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    got = good.where(chance < share).orderBy("id", "embedding").limit(2 * SAMPLE).toArrow()
+    got = got if got.num_rows else good.orderBy("id", "embedding").limit(SAMPLE).toArrow()  # copies of few vectors
     index = Index(got.column("id").to_numpy(), matrix(got.column("embedding").combine_chunks()), total)
     shared = spark.sparkContext.broadcast(index)
 
