@@ -17,9 +17,8 @@ pseudonyms in all documents, different values of a format different ones, and no
 
 Values that fail their check are left alone. A value is an array of symbols, each with its own radix; the
 array is split in two halves, and eight rounds add to one half, modulo the radices, symbols drawn from
-SHA-512 of key, kind, round and the other half. To leave no value as it is, every symbol is then moved on by one
-and the eight rounds are undone: P^-1 (P(x) + 1) is a permutation too, and has no fixed point. (Only a value
-without any letter or digit of its own, as the local part ``__``, stays.)
+SHA-512 of key, kind, round and the other half. A value may by chance be its own pseudonym, as in any permutation (one
+in as many as its format has values). Repeated passes walk along the permutation's cycles and have no short way back.
 
 The key is the caller's to choose; queries take it from ``spark.pathloom.pii.key`` of the session.
 
@@ -85,12 +84,6 @@ def feistel(symbols: Column, key: Column | str, kind: str, undo: bool = False) -
     return F.aggregate(rounds, start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
-def deranged(symbols: Column, key: Column | str, kind: str) -> Column:
-    """A keyed permutation as ``feistel``, but without fixed points (where any m is above 1)."""
-    moved = lambda x: F.transform(x, lambda s: F.struct(F.pmod(s["v"] + 1, s["m"]).cast("int").alias("v"), s["m"].alias("m")))
-    return _let(moved(feistel(symbols, key, kind)), lambda x: feistel(x, key, kind, undo=True))
-
-
 def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
@@ -107,7 +100,7 @@ def permuted(s: Column, key: Column | str, kind: str, radix_of_letters: Column |
         alphabet = F.when(F.instr(F.lit(_ALPHABETS[0]), c) > 0, _ALPHABETS[0]).when(F.instr(F.lit(_ALPHABETS[1]), c) > 0, _ALPHABETS[1]).when(F.instr(F.lit(_ALPHABETS[2]), c) > 0, _ALPHABETS[2])
         return F.coalesce(F.substring(alphabet, x["v"] + 1, F.lit(1)), c)
 
-    return _let(_chars(s), lambda chars: F.array_join(F.zip_with(chars, deranged(F.transform(chars, symbol), key, kind), back), ""))
+    return _let(_chars(s), lambda chars: F.array_join(F.zip_with(chars, feistel(F.transform(chars, symbol), key, kind), back), ""))
 
 
 def luhn_digit(payload: Column) -> Column:
@@ -173,7 +166,7 @@ def _date(m: Column, key: Column | str) -> Column:
         # 189 x 773 days of the recent years, 4536 x 773 of all others, whose numbers close ranks
         at = F.when(recent, day - _RECENT).when(day < _RECENT, day - _ORIGIN).otherwise(day - _ORIGIN - _CYCLE)
         radix = F.when(recent, 189).otherwise(4536)
-        new = deranged(F.array(_sym(F.floor(at / 773), radix), _sym(at % 773, 773)), key, "date")
+        new = feistel(F.array(_sym(F.floor(at / 773), radix), _sym(at % 773, 773)), key, "date")
         number = _let(new, lambda x: F.get(x, 0)["v"] * 773 + F.get(x, 1)["v"])
         back = _let(number, lambda n: F.when(recent, n + _RECENT).otherwise(F.when(n + _ORIGIN < _RECENT, n + _ORIGIN).otherwise(n + _ORIGIN + _CYCLE)))
         part = lambda x, n: F.lpad(x.cast("string"), n, "0")
@@ -189,7 +182,7 @@ def _pseudonym(kind: str, m: Column, key: str) -> Column:
         local, at = F.substring_index(m, "@", 1), F.concat(F.lit("@"), F.substring_index(m, "@", -1))
         return F.concat(permuted(local, key, kind), at)
     if kind == "ip":
-        new = deranged(F.transform(F.split(m, r"\."), lambda o: _sym(o.cast("int"), 256)), key, kind)
+        new = feistel(F.transform(F.split(m, r"\."), lambda o: _sym(o.cast("int"), 256)), key, kind)
         return F.array_join(F.transform(new, lambda s: s["v"].cast("string")), ".")
     digits = F.regexp_replace(m, r"\D", "")
     if kind == "phone":
@@ -201,7 +194,7 @@ def _pseudonym(kind: str, m: Column, key: str) -> Column:
         return F.when(luhn_digit(payload) == F.right(digits, F.lit(1)), new)
     if kind == "ssn":
         area = F.substring(digits, 1, 3).cast("int")
-        s = deranged(F.array(_sym(F.when(area > 666, area - 2).otherwise(area - 1), 898), _sym(F.substring(digits, 4, 2).cast("int") - 1, 99), _sym(F.substring(digits, 6, 4).cast("int") - 1, 9999)), key, kind)
+        s = feistel(F.array(_sym(F.when(area > 666, area - 2).otherwise(area - 1), 898), _sym(F.substring(digits, 4, 2).cast("int") - 1, 99), _sym(F.substring(digits, 6, 4).cast("int") - 1, 9999)), key, kind)
 
         def number(x: Column) -> Column:
             area, group, serial = (F.get(x, i)["v"] for i in range(3))
