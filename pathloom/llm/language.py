@@ -152,9 +152,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
     if not counts:
         return None
     share = F.create_map(*[x for k, (n, b) in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n, total_bytes / len(counts) / max(1, b))))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
     samples: dict[str, list[bytes]] = {}
-    for r in rows.where(chance < F.element_at(share, F.col("lang"))).select("lang", "text", "doc_id").orderBy("doc_id", "text").collect():  # about total_bytes
+    for r in rows.where(chance < F.element_at(share, F.col("lang"))).select("lang", "text", "doc_id").orderBy("doc_id", "text").limit(2 * sample_docs * len(counts)).collect():  # about total_bytes
         samples.setdefault(r.lang, []).append(r.text.encode())
     return Model(samples) if samples else None
 

@@ -256,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     share = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, sample / n)))])
     chosen = marks.where(F.pmod(F.xxhash64("d", F.lit(10)), F.lit(1 << 20)) / float(1 << 20) < F.element_at(share, F.col("toxic")))
     # at most about two samples of ids: a bounded side
-    rows = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("doc_id", "text", "toxic").orderBy("doc_id", "text").collect()
+    rows = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("doc_id", "text", "toxic").distinct().orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(4 * sample).collect()
     y = np.array([int(r.toxic > 0) for r in rows], np.int64)
     return fit([r.text.encode() for r in rows], y) if 0 < y.sum() < len(y) else None
 
