@@ -175,7 +175,7 @@ def _entries(rows: DataFrame, stretches: int, longest: int, gap: int, stretch: i
     at, steps = [*ISLAND, "stretch", "entry_us", "entry_id"], 1
     while True:
         onward = known.select(*at).join(jump, at).select(*ISLAND, F.col("to").alias("stretch"), F.col("exit_us").alias("entry_us"), F.col("exit_id").alias("entry_id"), "from_us", "from_id")
-        known = cut(known.unionByName(onward))
+        known = cut(known.unionByName(onward).repartition(*ISLAND, "stretch"))
         steps *= 2
         if steps > 2 * stretches:
             return known

@@ -239,3 +239,41 @@ def test_group_values_of_hot_keys(spark):
     got = {(r.k, r.id, r.s) for r in beside_groups(rows, sums, "k", most=2).collect()}
     total = {r.k: r.s for r in sums.collect()}
     assert len(got) == 3000 and all(total[k] == s for k, _, s in got)
+
+
+# --- ids that many rows share -----------------------------------------------------------------------------------
+
+
+def test_one_id_for_all_vectors(spark):
+    """More vectors than the samples hold, all under one id."""
+    from pathloom.llm import hamming, neighbours
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 4)).astype(np.float32)
+    df = spark.createDataFrame([(5, v.tolist(), 1) for v in x], "vec_id long, embedding array<float>, n long")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum() - len(x)
+    got = hamming.near_vectors(df, most=500).collect()
+    assert len(got) == len(x) and all((r.component_id, r.kept) == (5, True) for r in got)
+    assert 0.95 * want <= sum(r.n_links for r in got) <= want
+    both = df.union(spark.createDataFrame([(20, x[0].tolist(), 1)], df.schema))
+    (top,) = neighbours.nearest(both, both.where("vec_id = 20"), k=1).collect()
+    assert (top.vec_id, top.rank) == (5, 1) and abs(top.score - (x.astype(np.float64) @ x[0].astype(np.float64)).max()) < 1e-9
+    same = spark.createDataFrame([(20, [1.0, 2.0]), (20, [1.0, 2.0]), (21, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in neighbours.nearest(same, same.where("vec_id = 20")).collect()] == [21]
+
+
+def test_pseudonyms_have_no_short_cycle(spark):
+    from pathloom.llm import pseudonyms
+
+    values = ["415-555-2671", "4111 1111 1111 1111", "10.20.30.40", "2024-02-29", "someone.else@example.org"]
+    df = spark.createDataFrame([(i, f"x {v} y") for i, v in enumerate(values)], "doc_id long, text string")
+    first = {r.doc_id: r.text for r in df.collect()}
+    for passes in range(1, 11):
+        df = spark.createDataFrame(pseudonyms.pseudonymise(df, "k").collect(), "doc_id long, text string")
+        now = {r.doc_id: r.text for r in df.collect()}
+        assert not any(now[i] == first[i] for i in first), passes
+    octets = spark.range(256).select(F.array(F.struct(F.lit(7).alias("v"), F.lit(256).alias("m")), F.struct(F.col("id").cast("int").alias("v"), F.lit(256).alias("m"))).alias("s"))
+    images = {tuple(x.v for x in r.p) for r in octets.select(pseudonyms.feistel(F.col("s"), "k", "ip").alias("p")).collect()}
+    assert len(images) == 256
