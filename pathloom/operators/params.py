@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 from pathloom.functions.stats import ratio
 from pathloom.functions.vector import cosine
 
-from .lineage import free_names
+from .patterns import containing
 
 KEY_SIMILARITY, VALUE_SIMILARITY = 0.7, 0.8
 
@@ -57,19 +57,6 @@ def parameter_accuracy(compared: DataFrame, key: str) -> DataFrame:
     return compared.groupBy(key).agg(F.avg("match_ratio").alias("parameter_accuracy"))
 
 
-def containing(needles: DataFrame, needle: str, hays: DataFrame, hay: str) -> DataFrame:
-    """Rows of ``needles`` joined to those of ``hays`` whose text contains theirs; names of the two must differ.
-
-    An equi-join on the needle's first three characters (fewer, if it has no more) and the grams of the hays.
-    """
-    gram, grams = free_names([*needles.columns, *hays.columns], "_gram", "_grams")
-    cuts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(hay) - n + 1)), lambda i: F.substring(hay, i, F.lit(n)))
-    of_hay = F.array_distinct(F.concat(F.array(F.lit("")), *[cuts(n) for n in (1, 2, 3)]))
-    a = needles.withColumn(gram, F.substring(needle, 1, 3))
-    b = hays.select("*", F.explode(of_hay).alias(grams))
-    return a.join(b, F.col(gram) == F.col(grams)).where(F.col(hay).contains(F.col(needle))).drop(gram, grams)
-
-
 def required_matches(required: DataFrame, given: DataFrame) -> DataFrame:
     """node, param, value: for each required (node, param), the first given (pos, key, value) whose key
     contains it or is contained in it, case aside; nulls don't match."""

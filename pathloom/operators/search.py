@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.text import without_number
 
+from . import patterns
+from .lineage import free_names
+
 # Weights and thresholds of a leaf's reward, categories that a result should cover and their boost.
 SEMANTIC, CATEGORY, KEYWORD = 0.5, 0.2, 0.3
 LEAST, LEAST_WITH_KEYWORD, BOOST = 0.35, 0.20, 0.40
@@ -42,14 +45,19 @@ def top_leaves(scored: DataFrame, tie: str, k: int = 5) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("reward"), tie)))  # at most k rows
 
 
-def keyword_scan(leaves: DataFrame, keywords: list[str], text: Column, case_scores: Column | None = None) -> DataFrame:
-    """Leaves that hold a keyword (0.5) or match a use case (0.6 + 0.2 of the match), with what was found."""
-    low = F.lower(text)
-    words = F.array(*[F.lit(w) for w in sorted({k.lower() for k in keywords})])
-    found = F.filter(words, lambda w: low.contains(w))
-    score = F.lit(0.0) if case_scores is None else case_scores
-    hits = leaves.withColumns({"keyword_matches": found, "case_score": score}).where((F.size("keyword_matches") > 0) | (F.col("case_score") > 0))
-    return hits.withColumn("reward", F.when(F.col("case_score") > 0, 0.6 + 0.2 * F.col("case_score")).otherwise(0.5))
+def keyword_scan(leaves: DataFrame, keywords: list[str] | DataFrame, text: Column, case_scores: Column | None = None) -> DataFrame:
+    """Leaves that hold a keyword (0.5) or match a use case (0.6 + 0.2 of the match), with what was found.
+
+    Each text is passed over once, however many keywords there are (a list, or a table's first column).
+    """
+    low, score = F.lower(text), F.lit(0.0) if case_scores is None else case_scores
+    hay, found, case = free_names(leaves.columns, "_text", "keyword_matches", "case_score")
+    words = keywords if isinstance(keywords, list) else patterns.known(keywords.select(F.lower(keywords.columns[0]).alias("w")), "w")
+    if words is None:
+        raise ValueError(f"keywords of more than {patterns.MOST_BYTES} bytes: join them by patterns.containing")
+    marked = patterns.with_found(leaves.withColumn(hay, low), hay, sorted({k.lower() for k in words}), found).drop(hay)
+    hits = marked.withColumn(case, score).where((F.size(found) > 0) | (F.col(case) > 0))
+    return hits.withColumn("reward", F.when(F.col(case) > 0, 0.6 + 0.2 * F.col(case)).otherwise(0.5))
 
 
 def cover_categories(results: DataFrame, leaves: DataFrame, categories: list[str], k: int = 5) -> DataFrame:

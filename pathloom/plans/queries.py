@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import jsonx, text, vector
-from pathloom.operators import chains, dag, graph, mapping, matching, metrics, normalize, ordering, params, report, search, taxonomy, variants
+from pathloom.operators import chains, dag, graph, mapping, matching, metrics, normalize, ordering, params, patterns, report, search, taxonomy, variants
 from pathloom.sources.readers import pending
 
 from . import pipelines, views
@@ -295,6 +295,16 @@ def keyword_scan(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("doc_id", F.array_join("keyword_matches", ",").alias("keyword_matches"), "reward")
 
 
+@query("""WITH p AS (SELECT DISTINCT lower(w) AS pattern FROM (SELECT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM benchmark) WHERE length(w) >= 6)
+SELECT pattern, count(doc_id) AS n_documents FROM p LEFT JOIN documents ON contains(lower(text), pattern) GROUP BY pattern""")
+def pattern_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """In how many documents each of the benchmark's longer words stands, as a part of any text."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w")).where(F.length("w") >= 6)
+    words = words.select(F.lower("w").alias("pattern")).distinct()
+    hits = patterns.containing(words, "pattern", table(spark, sf, "documents").select(F.lower("text").alias("text")), "text").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    return words.join(hits, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents"))
+
+
 @query(f"""WITH x AS (SELECT b.label, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id = 0), h AS (SELECT label, max(s) AS m, avg(s) AS a FROM x WHERE s >= 0.1 GROUP BY label)
 SELECT label, round(coalesce(0.7 * m + 0.3 * a, 0.0), 5) AS match_score FROM (SELECT DISTINCT label FROM embeddings) LEFT JOIN h USING (label)""")
 def usecase_match(spark: SparkSession, sf: str) -> DataFrame:
