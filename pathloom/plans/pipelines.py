@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.vector import cosine, use_case_score
-from pathloom.operators import chains, graph, matching, metrics, normalize, params, report, search
+from pathloom.operators import chains, graph, leafsearch, matching, metrics, normalize, params, report, search
 from pathloom.operators.variants import flattened
 from pathloom.sources.readers import pending
 
@@ -54,17 +54,10 @@ def generate_missing(templates: DataFrame, done: DataFrame | None, call: Callabl
 
 
 def score_leaves(requests: DataFrame, leaves: DataFrame, embed=hashed_embedding, k: int = 5) -> DataFrame:
-    """request_id, rank, path_str, description, mapped_nodes, reward: each request against every leaf, then top-k."""
-    from pyspark.sql import Window as W
-
+    """request_id, rank, path_str, description, mapped_nodes, reward: the k best of all leaves for each request."""
     q = embed_distinct(requests, "goal_description", embed).withColumnsRenamed({"text": "goal_description", "embedding": "q"})
     d = embed_distinct(leaves, "combined_text", embed).withColumnsRenamed({"text": "combined_text", "embedding": "d"})
-    both = requests.join(q, "goal_description").crossJoin(leaves.join(d, "combined_text"))  # every leaf is scored by design
-    low = F.lower(F.concat_ws(" ", "combined_text", F.array_join("mapped_nodes", " ")))
-    hits = F.filter("keywords", lambda w: low.contains(F.lower(w)))
-    both = both.withColumns({"semantic_score": cosine(F.col("q"), F.col("d")), "category_score": search.category_reward(F.col("path_str"), F.col("function_categories")), "keyword_score": F.coalesce(F.try_divide(F.size(hits).cast("double"), F.size("keywords")), F.lit(0.0))})
-    both = search.passing(both.withColumn("reward", search.reward(F.col("semantic_score"), F.col("category_score"), F.col("keyword_score"))))
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("reward"), "path_str"))).where(F.col("rank") <= k).select("request_id", "rank", "path_str", "description", "mapped_nodes", "reward")
+    return leafsearch.best_leaves(requests.join(q, "goal_description"), leaves.join(d, "combined_text"), k)
 
 
 def case_scores(leaves: DataFrame, goal: DataFrame, embed=hashed_embedding) -> DataFrame:

@@ -29,6 +29,12 @@ def hashed_embedding(text: Column, n: int = 3) -> Column:
     return _histogram(grams)
 
 
+def letter_counts(text: Column) -> Column:
+    """A plainer offline embedding: how often each of the letters a to z stands in the text, case aside."""
+    low = F.lower(text)
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(chr(c)), F.lit("")))).cast("double") for c in range(97, 123)])
+
+
 def embed_distinct(df: DataFrame, column: str, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
     """text, embedding of the distinct texts of a column: each is embedded once, to be joined back."""
     return df.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("embedding", embed(F.col("text")))

@@ -12,7 +12,7 @@ from pathloom.functions import jsonx, text, vector
 from pathloom.operators import chains, dag, graph, mapping, matching, metrics, normalize, ordering, params, patterns, report, search, taxonomy, variants
 from pathloom.sources.readers import pending
 
-from . import pipelines, views
+from . import pipelines, providers, views
 from .views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +295,25 @@ def keyword_scan(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("doc_id", F.array_join("keyword_matches", ",").alias("keyword_matches"), "reward")
 
 
+_LETTERS = "list_transform(range(97, 123), lambda c: CAST(length(lower(text)) - length(replace(lower(text), chr(CAST(c AS INTEGER)), '')) AS DOUBLE))"
+_WORD8 = "list_distinct(list_filter(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+'), lambda w: length(w) >= 8))"
+
+
+@query(f"""WITH r AS (SELECT conv_id * 1000 + turn AS request_id, 'b' || (conv_id % 7) || ' ' AS category, {_LETTERS} AS q, {_WORD8} AS ws FROM conversations WHERE role = 'user'),
+l AS (SELECT 'B' || (item_id % 7) || ' -> ' || item_id AS path_str, lower(text) AS low, {_LETTERS} AS d FROM benchmark),
+x AS (SELECT request_id, path_str, list_cosine_similarity(q, d) AS s, CAST(contains(lower(path_str), category) AS INTEGER) AS c, coalesce(len(list_filter(ws, lambda w: contains(low, w))) / nullif(CAST(len(ws) AS DOUBLE), 0), 0) AS w FROM r, l WHERE list_max(q) > 0 AND list_max(d) > 0),
+y AS (SELECT *, 0.5 * s + 0.2 * c + 0.3 * w AS reward FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(reward, 9) DESC, path_str) AS rank FROM y WHERE reward > CASE WHEN w > 0 THEN 0.20 ELSE 0.35 END)
+SELECT request_id, CAST(rank AS INTEGER) AS rank, path_str, round(reward, 5) AS reward FROM z WHERE rank <= 5""")
+def leaf_search(spark: SparkSession, sf: str) -> DataFrame:
+    """What users say as requests to the benchmark's items as leaves."""
+    c = table(spark, sf, "conversations").where("role = 'user'")
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.length(w) >= 8))
+    asked = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("text").alias("goal_description"), words.alias("keywords"), F.array(F.concat(F.lit("B"), F.col("conv_id") % 7, F.lit(" "))).alias("function_categories"))
+    none = F.array().cast("array<string>")
+    leaves = table(spark, sf, "benchmark").select(F.concat(F.lit("B"), F.col("item_id") % 7, F.lit(" -> "), F.col("item_id")).alias("path_str"), F.col("text").alias("combined_text"), F.lit("").alias("description"), none.alias("mapped_nodes"))
+    return _rounded(pipelines.score_leaves(asked, leaves, providers.letter_counts), ["reward"], 5).select("request_id", "rank", "path_str", "reward")
+
+
 @query("""WITH p AS (SELECT DISTINCT lower(w) AS pattern FROM (SELECT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM benchmark) WHERE length(w) >= 6)
 SELECT pattern, count(doc_id) AS n_documents FROM p LEFT JOIN documents ON contains(lower(text), pattern) GROUP BY pattern""")
 def pattern_counts(spark: SparkSession, sf: str) -> DataFrame:
