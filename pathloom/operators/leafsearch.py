@@ -23,24 +23,11 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.vector import cosine
 
-from . import patterns, search
+from . import angles, patterns, search
+from .angles import LEADERS, SLACK, matrix, unit
 from .lineage import cut
 
-LEADERS, MARKS, SLACK = 256, 8, 1e-6
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def _leaders(leaves: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` of the leaves' directions, chosen by a hash."""
-    some = leaves.select("d").distinct().orderBy(F.xxhash64("d"), "d").limit(most).toArrow()
-    return _unit(_matrix(some.column("d").combine_chunks())) if some.num_rows else np.zeros((0, 0))
+MARKS = 8
 
 
 def _near(leaves: DataFrame, leaders: np.ndarray) -> DataFrame:
@@ -50,7 +37,7 @@ def _near(leaves: DataFrame, leaders: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                angle = np.arccos(np.clip(_unit(_matrix(batch.column("d"))) @ shared.value.T, -1, 1))
+                angle = np.arccos(np.clip(unit(matrix(batch.column("d"))) @ shared.value.T, -1, 1))
                 by = np.argsort(angle, 1, kind="stable")[:, :MARKS]
                 far = np.take_along_axis(angle, by, 1)
                 yield pa.RecordBatch.from_arrays([batch.column("leaf"), pa.array(by[:, 0].astype(np.int32)), pa.array(far[:, 0]), pa.array(list(by.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(far), pa.list_(pa.float64()))], names=["leaf", "leader", "near", "marks", "fars"])
@@ -65,7 +52,7 @@ def _angles(requests: DataFrame, leaders: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a = np.arccos(np.clip(_unit(_matrix(batch.column("q"))) @ shared.value.T, -1, 1))
+                a = np.arccos(np.clip(unit(matrix(batch.column("q"))) @ shared.value.T, -1, 1))
                 yield pa.RecordBatch.from_arrays([batch.column("req"), pa.array(list(a), pa.list_(pa.float64()))], names=["req", "angles"])
 
     return requests.select("req", "q").mapInArrow(run, "req long, angles array<double>")
@@ -84,14 +71,14 @@ def candidates(requests: DataFrame, leaves: DataFrame, k: int, leaders: int = LE
     ``requests``: req, q, keywords, function_categories; ``leaves``: leaf, d, low (text, lower case), path (lower case). Vectors
     without direction (zero, null) never pass and must not be among them.
     """
-    centres = _leaders(leaves, leaders)
+    centres = angles.leaders(leaves, "d", leaders)
     if not len(centres):
         return requests.select("req", F.lit(None).cast("long").alias("leaf"), F.lit(0.0).alias("category_score"), F.lit(0.0).alias("keyword_score")).limit(0)
-    near, angles = cut(_near(leaves, centres)), cut(_angles(requests, centres))
+    near, seen_from = cut(_near(leaves, centres)), cut(_angles(requests, centres))
     least = float(np.arccos(search.LEAST / search.SEMANTIC))
     reach = near.groupBy("leader").agg(F.max("near").alias("radius"))  # a row a leader
     far = F.posexplode("angles").alias("leader", "angle")
-    met = angles.select("req", far).join(F.broadcast(reach), "leader").where(F.col("angle") - F.col("radius") <= least + SLACK)
+    met = seen_from.select("req", far).join(F.broadcast(reach), "leader").where(F.col("angle") - F.col("radius") <= least + SLACK)
     alike = met.select("req", "leader", "angle").join(near.select("leaf", "leader", "near"), "leader").where(F.abs(F.col("angle") - F.col("near")) <= least + SLACK).select("req", "leaf")
     none = lambda c: F.lit(0).cast("long").alias(c)
     found = alike.select("req", "leaf", none("c"), none("w"))
@@ -102,7 +89,7 @@ def candidates(requests: DataFrame, leaves: DataFrame, k: int, leaders: int = LE
     share = lambda n, of: F.coalesce(F.try_divide(F.col(n).cast("double"), F.col(of)), F.lit(0.0))
     found = found.join(sizes, "req").select("req", "leaf", share("c", "nc").alias("category_score"), share("w", "nk").alias("keyword_score"))
     # bounds of the reward from the leaf's leader
-    bound = found.join(near, "leaf").join(angles, "req")
+    bound = found.join(near, "leaf").join(seen_from, "req")
     seen = F.transform("marks", lambda m: F.get("angles", m))
     bound = bound.withColumns({"apart": F.array_max(F.zip_with(seen, "fars", lambda a, b: F.abs(a - b))), "within": F.array_min(F.zip_with(seen, "fars", lambda a, b: a + b))})
     rest = search.reward(F.lit(0.0), F.col("category_score"), F.col("keyword_score"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.text import without_number
 
-from . import patterns
-from .lineage import free_names
+from . import angles, patterns
+from .lineage import counted, cut, free_names
 
 # Weights and thresholds of a leaf's reward, categories that a result should cover and their boost.
 SEMANTIC, CATEGORY, KEYWORD = 0.5, 0.2, 0.3
@@ -158,23 +158,55 @@ def nearest(vectors: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
 
 
+def dealt_by_angle(vectors: DataFrame, within: str, block: int = 2048) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Rows (w, vec_id, embedding, leader, near, sub), cells (w, leader, sub, n, radius), and the leaders.
+
+    A row belongs to its nearest leader, at angle ``near``; a leader's rows of one ``within`` value are dealt to cells of
+    about ``block``, which lie within ``radius`` of it. There is a leader for each ``block`` rows, at most ``angles.LEADERS``.
+    """
+    v = vectors.select(F.col(within).alias("w"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.exists("embedding", lambda x: x != 0))
+    v, total = counted(v)
+    centres = angles.leaders(v, "embedding", min(angles.LEADERS, max(1, -(-total // block))))
+    rows = cut(angles.with_leader(v, "embedding", centres))
+    sizes = rows.groupBy("w", "leader").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("radius")).withColumn("subs", F.ceil(F.col("n") / block).cast("int"))
+    on = F.col("w").eqNullSafe(F.col("w2")) & (F.col("leader") == F.col("l2"))
+    dealt = rows.join(sizes.select(F.col("w").alias("w2"), F.col("leader").alias("l2"), "subs"), on).withColumn("sub", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("subs")).cast("int"))
+    cells = sizes.select("w", "leader", (F.col("n") / F.col("subs")).alias("n"), "radius", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+    return dealt.select("w", "vec_id", "embedding", "leader", "sub"), cells, centres
+
+
+def cell_pairs(cells: DataFrame, centres: np.ndarray, least: float) -> DataFrame:
+    """w, i and j (leader and sub, i up to j), pairs: the pairs of cells in which a cosine can reach ``least``.
+
+    Two cells whose leaders are further apart than the angle of ``least`` and both radii hold no such pair.
+    """
+    most = float(np.arccos(np.clip(least, -1, 1)))
+    apart = np.arccos(np.clip(centres @ centres.T, -1, 1)) if len(centres) else np.zeros((0, 0))
+    table = cells.sparkSession.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(apart)) for j in range(len(apart))], "l1 int, l2 int, apart double")  # LEADERS squared at most
+    side = lambda k: cells.select(F.col("w").alias(f"w{k}"), F.struct("leader", "sub").alias("ij"[k - 1]), F.col("leader").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("radius").alias(f"r{k}"))
+    both = side(1).join(side(2), F.col("w1").eqNullSafe(F.col("w2")) & (F.col("i") <= F.col("j"))).join(F.broadcast(table), ["l1", "l2"])
+    met = both.where(F.col("apart") - F.col("r1") - F.col("r2") <= most + angles.SLACK)
+    return met.select(F.col("w1").alias("w"), "i", "j", F.when(F.col("i") == F.col("j"), F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2")).alias("pairs"))
+
+
 def pairs_above(vectors: DataFrame, least: float, within: str, block: int = 2048) -> DataFrame:
     """a, b, similarity: pairs a < b of ``vectors`` (vec_id, embedding) of one ``within`` value, from a cosine of ``least`` on.
 
-    A value's rows are dealt to blocks and each pair of blocks is a group, so a frequent value meets in no single task;
-    only pairs that pass leave it.
+    Rows are dealt to cells by direction (``dealt_by_angle``), only pairs of cells that can hold such a pair meet
+    (``cell_pairs``), and each is one bounded group; only pairs that pass leave it. Null and zero vectors have no pairs.
     """
-    sizes = vectors.groupBy(within).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = vectors.select(F.col(within).alias("w"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding")).join(sizes.withColumnRenamed(within, "w"), "w")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("w", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "embedding")
+    rows, cells, centres = dealt_by_angle(vectors, within, block)
+    met = cell_pairs(cells, centres, least)
+    met = cut(met.select(F.col("w").alias("w2"), "i", "j"))
+    at = F.struct("leader", "sub")
+    takes = met.select("w2", "i", "j", F.col("i").alias("at"), F.lit(True).alias("first")).union(met.where("i <> j").select("w2", "i", "j", "j", F.lit(False)))
+    dealt = rows.withColumn("own", at).join(takes, F.col("w").eqNullSafe(F.col("w2")) & (F.col("own") == F.col("at"))).select("w", "i", "j", "first", (F.col("i") == F.col("j")).alias("same"), "vec_id", "embedding")
 
     def run(group: pa.Table) -> pa.Table:
-        ids, own = group.column("vec_id").to_numpy(), group.column("own").to_numpy()
+        ids, first, same = group.column("vec_id").to_numpy(), group.column("first").to_numpy(), group.column("same")[0].as_py()
         x = group.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         norm = np.sqrt((x * x).sum(1))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        q, c = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        q, c = np.flatnonzero(first), np.arange(len(ids)) if same else np.flatnonzero(~first)
         parts = []
         for at in range(0, len(q), 512):
             rows = q[at : at + 512]
@@ -184,7 +216,7 @@ def pairs_above(vectors: DataFrame, least: float, within: str, block: int = 2048
             u, v = rows[u], c[v]
             # once more pair by pair, and each pair once
             exact = (x[u] * x[v]).sum(1) / (norm[u] * norm[v])
-            ok = (exact >= least) & ((ids[u] < ids[v]) if i == j else (ids[u] != ids[v]))
+            ok = (exact >= least) & ((ids[u] < ids[v]) if same else (ids[u] != ids[v]))
             parts.append((np.minimum(ids[u], ids[v])[ok], np.maximum(ids[u], ids[v])[ok], exact[ok]))
         cols = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2])})

@@ -60,3 +60,24 @@ def test_few_pairs_are_scored(tables):
 def test_nothing(tables):
     r, d = tables
     assert pipelines.score_leaves(r.limit(0), d).isEmpty() and pipelines.score_leaves(r, d.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("least", [0.9, 0.35, -0.2])
+def test_pairs_above(spark, least):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16)) * 2
+    x = np.concatenate([centres[rng.integers(0, 12, 900)] + 0.25 * rng.normal(size=(900, 16)), rng.normal(size=(20, 16))])
+    x[50:60] = x[49]
+    group = [None if i % 4 == 3 else i % 4 for i in range(len(x))]
+    rows = [(i, v.tolist(), g) for i, (v, g) in enumerate(zip(x, group, strict=True))] + [(5000, [0.0] * 16, 0), (5001, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    want = {(i, j) for i, j in np.argwhere(np.triu(c >= least, 1)).tolist() if group[i] == group[j]}
+    got = search.pairs_above(df, least, "label", block=40).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    _, cells, leaders = search.dealt_by_angle(df, "label", 40)
+    met, every = (search.cell_pairs(cells, leaders, t).agg(F.sum("pairs")).first()[0] for t in (least, -1.0))
+    assert met <= every and (least < 0.9 or met < 0.4 * every)
