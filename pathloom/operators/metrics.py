@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.stats import f1, ratio
 
+from .lineage import cut
+from .quantiles import quantiles
+
 # Dollars per million prompt and completion tokens.
 PROMPT_PRICE, COMPLETION_PRICE = 2.5, 10.0
 
@@ -57,12 +60,15 @@ def cost_report(costed: DataFrame, prompt: str = "prompt_tokens", completion: st
 def summary(results: DataFrame, metrics: list[str], failed: str | None = None) -> DataFrame:
     """One row: n, n_failed and mean, median, std (population), min, max of every metric; zeros without rows.
 
-    ``failed`` names a column that holds an error; such rows count as failed and have no metrics.
+    ``failed`` names a column that holds an error; such rows count as failed and have no metrics. Medians are exact, and no
+    task gathers values for them (see ``quantiles``).
     """
     bad = F.col(failed).isNotNull() if failed else F.lit(False)
+    results = cut(results.select(bad.alias("bad"), *[F.when(~bad, F.col(m)).cast("double").alias(m) for m in metrics]))
+    bad, medians = F.col("bad"), quantiles(results, metrics)
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("n_failed")]
     for m in metrics:
-        x = F.when(~bad, F.col(m))
-        for name, f in (("mean", F.avg(x)), ("median", F.percentile(x, 0.5)), ("std", F.stddev_pop(x)), ("min", F.min(x)), ("max", F.max(x))):
+        x = F.col(m)
+        for name, f in (("mean", F.avg(x)), ("median", F.lit(medians[m, 0.5]).cast("double")), ("std", F.stddev_pop(x)), ("min", F.min(x)), ("max", F.max(x))):
             aggs.append(F.coalesce(f, F.lit(0.0)).alias(f"{m}_{name}"))
     return results.agg(*aggs).withColumn("error", F.when(F.col("n") == F.col("n_failed"), "no evaluated rows"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pathloom.functions.stats import bucket
 from pathloom.functions.text import display_name
 
+from .lineage import cut
 from .ordering import positions
+from .quantiles import quantiles
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -25,9 +27,11 @@ def cumulative(df: DataFrame, column: str, key: str) -> DataFrame:
 
 
 def overview(df: DataFrame, columns: list[str]) -> DataFrame:
-    """metric, mean, median of every column, in one aggregation."""
-    one = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.avg), ("m", F.median))])
-    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"a{i}").alias("mean"), F.col(f"m{i}").alias("median")) for i, c in enumerate(columns)])
+    """metric, mean, exact median of every column."""
+    df = cut(df.select(*columns))
+    medians = quantiles(df, columns)
+    one = df.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"a{i}").alias("mean"), F.lit(medians[c, 0.5]).cast("double").alias("median")) for i, c in enumerate(columns)])
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 

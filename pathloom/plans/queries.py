@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import jsonx, text, vector
-from pathloom.operators import chains, dag, graph, mapping, matching, metrics, normalize, ordering, params, patterns, report, search, taxonomy, variants
+from pathloom.operators import chains, dag, graph, mapping, matching, metrics, normalize, ordering, params, patterns, quantiles, report, search, taxonomy, variants
 from pathloom.sources.readers import pending
 
 from . import pipelines, providers, views
@@ -295,6 +295,15 @@ def keyword_scan(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("doc_id", F.array_join("keyword_matches", ",").alias("keyword_matches"), "reward")
 
 
+_QUANTILES = [("lineitem", c) for c in ("l_quantity", "l_extendedprice", "l_discount")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({p} AS DOUBLE) AS probability, round(quantile_cont({c}, {p}), 6) AS value FROM {t}" for t, c in _QUANTILES for p in (0.01, 0.5, 0.999)))
+def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    found = quantiles.quantiles(table(spark, sf, "lineitem"), [c for _, c in _QUANTILES], [0.01, 0.5, 0.999])
+    return _rounded(spark.createDataFrame([(c, p, v) for (c, p), v in found.items()], "metric string, probability double, value double"), ["value"])
+
+
 _LETTERS = "list_transform(range(97, 123), lambda c: CAST(length(lower(text)) - length(replace(lower(text), chr(CAST(c AS INTEGER)), '')) AS DOUBLE))"
 _WORD8 = "list_distinct(list_filter(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+'), lambda w: length(w) >= 8))"
 
