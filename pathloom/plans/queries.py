@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import jsonx, text, vector
-from pathloom.operators import chains, dag, graph, mapping, matching, metrics, normalize, ordering, params, patterns, quantiles, report, search, taxonomy, variants
+from pathloom.operators import chains, dag, factors, graph, mapping, matching, metrics, normalize, ordering, params, patterns, quantiles, report, search, taxonomy, variants
 from pathloom.sources.readers import pending
 
 from . import pipelines, providers, views
@@ -230,6 +230,21 @@ def als_transition_model(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(chains.als_scores(views.matrix(spark, sf).select("src", "dst", "n"), rank=4), ["score"], 3)
 
 
+def _supplier_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """src, dst, n: how often a supplier's line is followed by another's in an order."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"))
+    return lines.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def transition_model_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows only: the errors of a factorised model, round by round, over training and held-out pairs."""
+    model = factors.fit(_supplier_steps(spark, sf), rank=4, rounds=6)
+    rows = [(*h, h[0] == model.best) for h in model.history]
+    return _rounded(spark.createDataFrame(rows, factors.ERRORS + ", best boolean"), ["mae", "rmse", "max_error"], 3)
+
+
 # --- taxonomy ----------------------------------------------------------------------------------------------
 
 def _tree(spark: SparkSession, sf: str) -> DataFrame:
