@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import positions
+
 STRATEGIES = ("sum", "product", "average", "geometric_mean", "min")
 
 
@@ -60,7 +62,7 @@ def als_model(counts: DataFrame, rank: int = 20, reg: float = 0.2, iterations: i
     from pyspark.ml.recommendation import ALS
 
     nodes = counts.select(F.col("src").alias("node")).union(counts.select("dst")).distinct()
-    index = nodes.withColumn("idx", (F.row_number().over(W.orderBy("node")) - 1).cast("int"))
+    index = positions(nodes, ["node"], "idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
     rated = counts.join(index.select(F.col("node").alias("src"), F.col("idx").alias("u")), "src").join(index.select(F.col("node").alias("dst"), F.col("idx").alias("v")), "dst")
     model = ALS(rank=rank, regParam=reg, maxIter=iterations, seed=seed, userCol="u", itemCol="v", ratingCol="n", coldStartStrategy="nan").fit(rated.select("u", "v", F.col("n").cast("float").alias("n")))
     return model, index

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from pathloom.functions.text import ascii_only, description_status, fallback_tokens, short_error, technical_terms
+from pathloom.functions.text import ascii_only, description_status, fallback_tokens, short_error, technical_terms, without_number
+from pathloom.operators import intent
 
 DIMENSIONS = 256
 
@@ -41,13 +42,28 @@ def embed_distinct(df: DataFrame, column: str, embed: Callable[[Column], Column]
 
 
 def offline_intent(requests: DataFrame, text: str = "text") -> DataFrame:
-    """``requests`` with goal_description, parameters, function_categories and keywords, without a service."""
+    """``requests`` with goal_description, parameters (as written in the text), function_categories (none) and keywords, without a
+    service; ``fitted_intent`` gives categories too."""
     return requests.withColumns({
-        "goal_description": F.col(text), "parameters": F.create_map().cast("map<string,string>"), "function_categories": F.array().cast("array<string>"),
+        "goal_description": F.col(text), "parameters": intent.parameters(F.col(text)), "function_categories": F.array().cast("array<string>"),
         "keywords": F.array_sort(F.array_union(fallback_tokens(F.col(text)), technical_terms(F.col(text)))),
     })
 
 
+def fitted_intent(leaves: DataFrame, k: int = 2) -> Callable[[DataFrame], DataFrame]:
+    """``offline_intent`` with the k most likely first-level categories of ``leaves`` (path_str, combined_text, mapped_nodes)."""
+    category = without_number(F.element_at(F.split("path_str", " -> "), 1))
+    model = intent.fit(leaves.select(category.alias("category"), F.concat_ws(" ", "combined_text", F.array_join("mapped_nodes", " ")).alias("text")), "category", "text")
+
+    def analyse(requests: DataFrame, text: str = "text") -> DataFrame:
+        out = offline_intent(requests, text).drop("function_categories")
+        found = intent.best(intent.scores(requests, "request_id", text, model), "request_id", k)
+        found = found.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "category"))), lambda x: x["category"]).alias("function_categories"))
+        return out.join(found, "request_id", "left").withColumn("function_categories", F.coalesce("function_categories", F.array().cast("array<string>")))
+
+    return analyse
+
+
 GENERATED = "template_id string, llm_response string, prompt_tokens long, completion_tokens long, error string"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import jsonx, text, vector
-from pathloom.operators import chains, dag, factors, graph, mapping, matching, metrics, normalize, ordering, params, patterns, quantiles, report, search, taxonomy, variants
+from pathloom.operators import chains, dag, factors, graph, intent, mapping, matching, metrics, normalize, ordering, params, patterns, quantiles, report, search, taxonomy, variants
 from pathloom.sources.readers import pending
 
 from . import pipelines, providers, views
@@ -310,6 +310,18 @@ def keyword_scan(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("doc_id", F.array_join("keyword_matches", ",").alias("keyword_matches"), "reward")
 
 
+@query("""WITH d AS (SELECT lang AS category, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM documents WHERE lang IS NOT NULL), own AS (SELECT word, category, count(*) AS n FROM d GROUP BY ALL),
+sh AS (SELECT word, sum(n) AS w FROM own GROUP BY word), cl AS (SELECT category, sum(n) AS size FROM own GROUP BY category), t AS (SELECT count(*) AS v, sum(w) AS t FROM sh),
+f AS (SELECT k, word, count(*) AS f, w FROM (SELECT conv_id * 1000 + turn AS k, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM conversations) JOIN sh USING (word) GROUP BY k, word, w),
+x AS (SELECT k, c.category, sum(-f * ln((w - coalesce(o.n, 0) + 1.0) / (v + t.t - c.size))) AS score, sum(CASE WHEN o.n IS NULL THEN 0 ELSE f END) AS support FROM f CROSS JOIN cl c CROSS JOIN t LEFT JOIN own o ON o.word = f.word AND o.category = c.category GROUP BY k, c.category)
+SELECT k AS request_id, category, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(score, 6) DESC, category) AS r FROM x WHERE support > 0) WHERE r = 1""")
+def intent_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns by a classifier that documents of each language fit."""
+    model = intent.fit(table(spark, sf, "documents"), "lang", "text")
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
+    return _rounded(intent.best(intent.scores(turns, "request_id", "text", model), "request_id", digits=6), ["score"], 4).select("request_id", "category", "score")
+
+
 _QUANTILES = [("lineitem", c) for c in ("l_quantity", "l_extendedprice", "l_discount")]
 
 
@@ -506,7 +518,7 @@ def param_similarity(spark: SparkSession, sf: str) -> DataFrame:
 def required_params(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "part").select("p_name").distinct()
     need = names.select(F.lit("node").alias("node"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("param")).distinct()
-    given = names.select(F.row_number().over(W.orderBy("p_name")).alias("pos"), F.col("p_name").alias("key"), F.col("p_name").alias("value"))
+    given = ordering.positions(names, ["p_name"], "pos").select("pos", F.col("p_name").alias("key"), F.col("p_name").alias("value"))
     return params.required_matches(need, given)
 
 
@@ -515,7 +527,7 @@ def fuzzy_param_match(spark: SparkSession, sf: str) -> DataFrame:
     """Rows only: the matching-blocks ratio isn't in SQL."""
     names = table(spark, sf, "part").select("p_name").distinct()
     wanted = names.select(F.regexp_replace("p_name", " ", "_").alias("param"))
-    return _rounded(params.fuzzy_matches(wanted, names.select(F.row_number().over(W.orderBy("p_name")).alias("pos"), F.col("p_name").alias("key"))), ["score"])
+    return _rounded(params.fuzzy_matches(wanted, ordering.positions(names, ["p_name"], "pos").select("pos", F.col("p_name").alias("key"))), ["score"])
 
 
 @query("WITH k AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS keyword FROM part), o AS (SELECT DISTINCT p_name AS node FROM part), r AS (SELECT keyword, node, row_number() OVER (PARTITION BY keyword ORDER BY node) AS rank FROM k JOIN o ON contains(node, keyword)) SELECT keyword, node, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
@@ -623,6 +635,7 @@ def recommend(spark: SparkSession, sf: str) -> DataFrame:
     t = views.triples(spark, sf).select("head", "tail").distinct()
     edges = t.select(F.concat(F.lit("webhook."), "head").alias("head"), F.concat(F.lit("code."), "tail").alias("tail")).union(t.select(F.concat(F.lit("code."), "head"), F.lit("noOp"))).distinct()
     m = views.matrix(spark, sf).select(F.concat(F.lit("webhook."), "src").alias("src"), F.concat(F.lit("code."), "dst").alias("dst"), "score")
-    need = spark.createDataFrame([("noOp", "done_message")], "node string, param string")
-    out = pipelines.recommend(1, "ECONOMY Brand#1 red widget automation", leaves, edges, m, need)
+    need = spark.createDataFrame([("noOp", "done_message"), ("noOp", "recipient_email")], "node string, param string")
+    text = "ECONOMY Brand#1 red widget automation, done_message='all done', then tell someone@example.org"
+    out = pipelines.recommend(1, text, leaves, edges, m, need, intent=providers.fitted_intent(leaves))
     return out.select("rank", F.array_join("path", ">").alias("path"), F.round("chain_score", 6).alias("chain_score"), "document")
