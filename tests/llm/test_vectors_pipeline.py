@@ -129,18 +129,18 @@ def test_nearest_on_many_leaves(spark, monkeypatch):
 
 
 def test_registry(spark, sf_dir):
-    assert len(registry.queries()) == 10 and {k.split("_")[0] for k in registry.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert len(registry.queries()) == 13 and {k.split("_")[0] for k in registry.queries()} == {f"op{i}" for i in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "clicks"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(registry.oracle_sql()[name])
     columns = [d[0] for d in want.description]
     got = registry.queries()[name](spark, sf_dir).select(*columns).collect()
-    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
 
 
 COLUMNS = {
@@ -154,6 +154,9 @@ COLUMNS = {
     "op8": {"doc_id": "bigint", "text": "string"},
     "op9": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
     "op10": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op11": dict.fromkeys(("client_id", "session_id", "start_us", "end_us", "n_clicks", "n_late", "value_cents"), "bigint") | dict.fromkeys(("closed_by", "path_sha256"), "string"),
+    "op12": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+    "op13": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
 }
 
 
@@ -163,6 +166,8 @@ def test_query(spark, sf_dir, name):
     out = registry.queries()[name](spark, sf_dir)
     types = dict(out.dtypes)
     assert COLUMNS[name.split("_")[0]].items() <= types.items()
+    if name.split("_")[0] in ("op11", "op12", "op13"):  # test_oracle compares their rows
+        return
     rows = out.toPandas()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
     vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").toPandas().vec_id
