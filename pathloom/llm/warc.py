@@ -164,20 +164,20 @@ def _inflated(source) -> Iterator[bytes]:
             yield block
             block = source.read(BLOCK)
         return
-    member = zlib.decompressobj(31)
+    member, begun = zlib.decompressobj(31), False
     while block:
-        out = member.decompress(block, BLOCK)
+        out, begun = member.decompress(block, BLOCK), True
         if out:
             yield out
         if member.eof:
-            block, member = member.unused_data, zlib.decompressobj(31)
+            block, member, begun = member.unused_data, zlib.decompressobj(31), False
             block = block or source.read(BLOCK)
         else:
             block = member.unconsumed_tail or source.read(BLOCK)
-            if not block and not out:
-                break
-    while not member.eof and (out := member.decompress(b"", BLOCK)):
+    while begun and not member.eof and (out := member.decompress(b"", BLOCK)):
         yield out
+    if begun and not member.eof:
+        raise zlib.error("the last gzip member is torn")
 
 
 class _Bytes:

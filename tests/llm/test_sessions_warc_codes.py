@@ -156,7 +156,7 @@ def test_many_copies_of_one_page(spark):
 
 def test_damaged_and_plain_archives(spark, tmp_path):
     manifest = warc.write(spark.createDataFrame(page_rows(), PAGES).coalesce(1))
-    path = manifest.first().path
+    path, n, _ = manifest.orderBy(F.desc("records")).first()
     at, inner = warc.opened(path)
     whole = at.open_input_stream(inner, compression=None).read()
     import gzip
@@ -166,7 +166,7 @@ def test_damaged_and_plain_archives(spark, tmp_path):
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
     rows = {n: list(warc.read_file(str(tmp_path / n), 1000)) for n in files}
-    assert len([r for r in rows["plain"] if r[10]]) == 16
+    assert len([r for r in rows["plain"] if r[10]]) == n + 1  # and the file's own record
     assert rows["none"] == [] and all(rows[n][-1][3] == "damaged" for n in ("cut", "torn", "noise"))
     same = [r[1:] for r in rows["plain"]]
     for n in ("cut", "torn"):
