@@ -1,13 +1,17 @@
 """Operator 5, MinHash near-dedup: an LSH forest.
 
 Every document's set of distinct word shingles (five words, unless said otherwise; the query takes two) gets 64
-minhash bytes. The forest has 16 trees; a tree's
-order is that signature rotated to start at its own four bytes, so documents with a long common prefix stand
-together. Documents of a tree that share those four bytes form a region, and every region is searched whole: the
-rows are dealt by tree and prefix, one of more than ``REGION`` documents in blocks, each pair of blocks a
-group of its own. Inside a group
-the signatures estimate similarity, and a spanning forest of the pairs estimated at ESTIMATE (far below the
-threshold) or more leaves the task, never all pairs.
+minhash bytes. The forest has 16 trees; a tree is the order of all signatures rotated to start at its own four bytes, so
+signatures with a long common prefix stand together. Documents that share at least ``DEPTH`` of a tree's bytes form a
+region. A row's next ``NEIGHBOURS`` in the order have the longest common prefixes with it: those estimated at ESTIMATE (far below
+the threshold) or more are linked first. Rows outside the largest cluster that this makes are then compared with all
+of the region, so every region is searched whole, but a group of near copies costs little more than its neighbours. What
+leaves a task spans the runs that belong together, never all pairs.
+
+The depth adapts to the region: one of more than ``REGION`` documents is cut again at ``DEPTHS`` bytes, as often as it is
+too large; signatures equal throughout are joined without comparing. What the cuts separate is searched exactly afterwards:
+in each region that was cut, the rows outside its largest candidate cluster meet all other rows, in pairs of blocks, each
+pair a group of its own. So a large region's depth decides what work is saved, not which pairs are found.
 
 The candidate clusters (components of those forests) are then checked exactly on full shingle sets, in blocks of
 ``BLOCK`` documents. A cluster of one block is checked pair by pair at once. The blocks of a larger one are first
@@ -36,9 +40,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, counted, cut, free_names, release, shuffle_width, slices, table
+from .common import as_bytes, beside_groups, components, counted, cut, free_names, release, shuffle_width, slices, table
 
 WIDTH, TREES, DEPTH, REGION, ESTIMATE, BLOCK, HUBS, NUMERATOR, PART_ROWS = 5, 16, 4, 4096, 0.6, 128, 8, 80, 400_000
+DEPTHS, NEIGHBOURS = (8, 16, 32), 4
 _NONE = np.iinfo(np.int64).max
 HASHES = TREES * DEPTH
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -130,55 +135,89 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _candidates(ids: np.ndarray, sigs: np.ndarray, other: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Candidate pairs of whole groups, which begin where ``head`` is set.
+def _rooted(n: int, pairs: np.ndarray) -> np.ndarray:
+    """For each of ``n`` numbers the least that ``pairs`` join it with."""
+    root = np.arange(n)
+    while len(pairs):
+        low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
+        before = root.copy()
+        np.minimum.at(root, root[pairs].ravel(), np.repeat(low, 2))
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    return root
 
-    Rows of a pair of blocks have ``other`` set in the second block; only pairs across are searched there.
+
+def _candidates(ids: np.ndarray, sigs: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, int]:
+    """Candidate pairs that span what is alike in whole regions, and how many pairs were compared.
+
+    Rows stand in the order of their (rotated) signatures; a region begins where ``head`` is set.
     """
-    near = np.flatnonzero(~head[1:])
-    near = near[(sigs[near] == sigs[near + 1]).sum(1) >= ESTIMATE * HASHES]
-    out = [np.column_stack([ids[near], ids[near + 1]])]  # neighbours, and so all groups of two
+    region = np.cumsum(head)
+    compared, near = 0, []
+    for apart in range(1, NEIGHBOURS + 1):
+        at = np.flatnonzero(region[apart:] == region[:-apart])
+        compared += len(at)
+        near.append(at[(sigs[at] == sigs[at + apart]).sum(1) >= ESTIMATE * HASHES])
+    first = np.ones(len(ids), bool)
+    first[near[0] + 1] = False
+    run = np.cumsum(first) - 1
+    out = [np.column_stack([ids[at], ids[at + apart]]) for apart, at in enumerate(near, 1)]
+    bridges = np.concatenate([np.column_stack([run[at], run[at + apart]]) for apart, at in enumerate(near[1:], 2)])
+    cluster = _rooted(int(run[-1]) + 1, np.unique(bridges[bridges[:, 0] != bridges[:, 1]], axis=0))[run]
     cuts = np.append(np.flatnonzero(head), len(ids))
-    for k in np.flatnonzero(np.diff(cuts) > 2).tolist():
+    several = (np.add.reduceat((cluster != cluster[cuts[region - 1]]).astype(np.int64), cuts[:-1]) > 0) & (np.diff(cuts) > 2)
+    for k in np.flatnonzero(several).tolist():
         a, b = int(cuts[k]), int(cuts[k + 1])
-        second = other[a:b]
-        if second.any():
-            ok = np.zeros((b - a, b - a), bool)
-            ok[np.ix_(~second, second)] = found = _alike(sigs[a:b][~second], sigs[a:b][second])
-            ok[np.ix_(second, ~second)] = found.T
-        else:
-            ok = _alike(sigs[a:b], sigs[a:b])
-        pairs = _forest(ok)
+        begin = np.flatnonzero(first[a:b])
+        of = cluster[a:b] - cluster[a:b].min()
+        outside = np.flatnonzero(of != np.bincount(of).argmax())
+        ok = _alike(sigs[a:b][outside], sigs[a:b])
+        compared += ok.size
+        of = run[a:b][outside] - run[a]
+        heads = np.flatnonzero(np.diff(of, prepend=-1))
+        between = np.zeros((len(begin), len(begin)), bool)
+        between[of[heads]] = np.logical_or.reduceat(np.logical_or.reduceat(ok, begin, axis=1), heads, axis=0)
+        pairs = _forest(between | between.T)
         if pairs:
-            out.append(ids[a:b][np.array(pairs)])
-    return np.concatenate(out)
+            out.append(ids[a:b][begin[np.array(pairs)]])
+    return np.concatenate(out), compared
 
 
-def candidate_pairs(classes: DataFrame, n: int) -> DataFrame:
-    """Candidate pairs (a, b) of the ``n`` classes (id, sig) from all trees of the forest; repeats are left in."""
+def _as_keys(column: pa.ChunkedArray) -> np.ndarray:
+    """Keys of the orders as rows of bytes: the tree, and the signature from its bytes on."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES + 1)
+
+
+def _orders(classes: DataFrame) -> DataFrame:
+    """Rows (key, id): every class in the orders of all trees."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = classes.select("id", "sig", trees).withColumn("prefix", F.substring("sig", F.col("tree") * DEPTH + 1, F.lit(DEPTH)))
-    large = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGION)
-    blocks = F.coalesce(F.ceil(F.col("n") / REGION), F.lit(1)).cast("int")
-    dealt = rows.join(large, ["tree", "prefix"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    dealt = dealt.select("tree", "prefix", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "sig", "id", (F.col("own") > F.col("o")).alias("other"))
+    start = F.col("tree") * DEPTH
+    rotated = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.substring("sig", start + 1, F.lit(HASHES)), F.substring("sig", F.lit(1), start))
+    return classes.select("id", "sig", trees).select(rotated.alias("key"), "id")
+
+
+def _region(depth: int) -> Column:
+    return F.substring("key", 1, depth + 1)
+
+
+def _searched(rows: DataFrame, depth: int, parts: int) -> DataFrame:
+    """Candidate pairs (a, b) of rows that share so many bytes; no region has more than ``REGION`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(last: bool) -> Iterator[pa.RecordBatch]:
-            """Searches what is complete; a group that may go on stays."""
+            """Searches what is complete; a region that may go on stays."""
             nonlocal held
             t = pa.Table.from_batches(held).combine_chunks()
-            key = np.column_stack([t.column(c).to_numpy() for c in ("tree", "i", "j")] + [np.frombuffer(b"".join(t.column("prefix").to_pylist()), np.int32)])
-            head = np.insert((key[1:] != key[:-1]).any(1), 0, True)
+            keys = _as_keys(t.column("key"))
+            head = np.insert((keys[1:, : depth + 1] != keys[:-1, : depth + 1]).any(1), 0, True)
             stop = t.num_rows if last else int(np.flatnonzero(head)[-1])
             held = t.slice(stop).to_batches()
             if stop > 1:
-                t = t.slice(0, stop)
-                sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-                p = _candidates(t.column("id").to_numpy(), sigs, t.column("other").to_numpy(), head[:stop])
+                p, _ = _candidates(t.column("id").to_numpy()[:stop], keys[:stop, 1:], head[:stop])
                 yield pa.RecordBatch.from_arrays([pa.array(p.min(1)), pa.array(p.max(1))], names=["a", "b"])
 
         for batch in batches:
@@ -189,9 +228,65 @@ def candidate_pairs(classes: DataFrame, n: int) -> DataFrame:
         if held:
             yield from done(True)
 
+    dealt = rows.select("key", "id").withColumn("region", _region(depth)).repartition(parts, "region")
+    return dealt.sortWithinPartitions("key", "id").select("key", "id").mapInArrow(run, "a long, b long")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of every group (region, i, j) of ``rows`` (and own, key, id): all pairs of one block if
+    i = j, else those between the two blocks."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sigs, ids = _as_keys(group.column("key"))[:, 1:], group.column("id").to_numpy()
+        one = group.column("own").to_numpy() == group.column("i")[0].as_py()
+        if group.column("i")[0].as_py() == group.column("j")[0].as_py():
+            ok = _alike(sigs, sigs)
+        else:
+            ok = np.zeros((len(ids), len(ids)), bool)
+            if one.any() and not one.all():
+                ok[np.ix_(one, ~one)] = found = _alike(sigs[one], sigs[~one])
+                ok[np.ix_(~one, one)] = found.T
+        p = ids[np.array(_forest(ok), np.int64).reshape(-1, 2)]
+        return pa.table([pa.array(p.min(1)), pa.array(p.max(1))], names=["a", "b"])
+
+    return rows.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def candidate_pairs(classes: DataFrame, n: int) -> DataFrame:
+    """Candidate pairs (a, b) of the ``n`` classes (id, sig) from all trees of the forest; repeats are left in."""
     parts = max(shuffle_width(classes.sparkSession), -(-n * TREES // PART_ROWS))
-    group = ["tree", "prefix", "i", "j"]
-    return dealt.repartition(parts, *group).sortWithinPartitions(*group, "id").mapInArrow(run, "a long, b long")
+    rest, found, hot = _orders(classes), None, None
+    add = lambda pairs: pairs if found is None else found.union(pairs)
+    for depth in (DEPTH, *DEPTHS):
+        large, any_ = counted(rest.groupBy(_region(depth).alias("region")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGION))
+        if not any_:
+            found = add(_searched(rest, depth, parts))
+            break
+        marked = beside_groups(rest.select("key", "id", _region(depth).alias("region")), large.withColumn("large", F.lit(True)), "region")
+        found = add(_searched(marked.where("large is null"), depth, parts))
+        rest = cut(marked.where("large").select("key", "id"))
+        hot = rest if hot is None else hot
+    else:
+        least = rest.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n"))
+        found = found.union(beside_groups(rest, least, "key").where("a < id").select("a", F.col("id").alias("b")))
+    if hot is None:
+        return found
+    # what the cuts of large regions have separated: all rows outside a region's largest cluster meet all others
+    found = cut(found)
+    named = components(found).withColumnRenamed("id", "c")
+    of = cut(hot.join(named, F.col("id") == F.col("c"), "left").select(_region(DEPTH).alias("region"), "key", "id", F.coalesce("component", "id").alias("cluster")))
+    sizes = of.groupBy("region", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("region").agg(F.max(F.struct("size", "cluster")).alias("most"), F.sum("size").alias("n"))
+    most = most.select("region", F.col("most.cluster").alias("main"), F.col("most.size").alias("inside"), (F.col("n") - F.col("most.size")).alias("outside"), "n")
+    apart, any_ = counted(beside_groups(of, most, "region").where("outside > 0"))
+    if not any_:
+        return found
+    deal = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    outer, inner = (F.ceil(F.col(c) / REGION).cast("int") for c in ("outside", "inside"))
+    is_in = F.col("cluster") == F.col("main")
+    apart = apart.withColumn("own", F.when(is_in, outer + deal(inner)).otherwise(deal(outer)))
+    apart = apart.select("region", "key", "id", "own", F.explode(F.sequence(F.lit(0), F.when(is_in, outer).otherwise(outer + inner) - 1)).alias("o"))
+    return found.union(_across(apart.select("region", "key", "id", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))))
 
 
 def linked(sets: list[np.ndarray], within: int | None = None, numerator: int = NUMERATOR) -> list[tuple[int, int]]:

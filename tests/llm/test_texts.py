@@ -212,6 +212,68 @@ def test_large_region_is_searched_whole(spark):
     assert got == set(pairs)
 
 
+def _clusters(pairs, n):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [find(x) for x in range(n)]
+
+
+def test_forest_of_any_depth(spark, monkeypatch):
+    """Regions far above REGION, also of equal signatures, give the clusters of comparing all pairs that share a prefix."""
+    monkeypatch.setattr(neardups, "REGION", 5)
+    rng = np.random.default_rng(31)
+    base = rng.integers(0, 256, (6, neardups.HASHES), dtype=np.uint8)
+    sigs = base[rng.integers(0, 6, 240)]
+    change = rng.random(sigs.shape) < rng.choice([0.0, 0.1, 0.3, 0.45], 240)[:, None]
+    sigs[change] = rng.integers(0, 256, int(change.sum()), dtype=np.uint8)
+    classes = spark.createDataFrame([(i, sigs[i].tobytes()) for i in range(len(sigs))], "id long, sig binary")
+    got = [(r.a, r.b) for r in neardups.candidate_pairs(classes, len(sigs)).collect()]
+    agree = (sigs[:, None] == sigs[None]).reshape(240, 240, neardups.TREES, neardups.DEPTH)
+    ok = agree.all(3).any(2) & (agree.sum((2, 3)) >= neardups.ESTIMATE * neardups.HASHES)
+    assert _clusters(got, 240) == _clusters(np.argwhere(np.triu(ok, 1)).tolist(), 240)
+
+
+def test_forest_of_a_large_group(spark):
+    """20,000 near copies, a region of all trees, and pairs that only meet in one prefix of that region."""
+    rng = np.random.default_rng(32)
+    n, pairs = 20_000, 60
+    base = rng.integers(0, 256, neardups.HASHES, dtype=np.uint8)
+    sigs = np.tile(base, (n + 2 * pairs, 1))
+    change = rng.random(sigs.shape) < 0.1
+    sigs[change] = rng.integers(0, 256, int(change.sum()), dtype=np.uint8)
+    odd = rng.integers(0, 256, (pairs, neardups.HASHES), dtype=np.uint8)
+    odd[:, :4] = base[:4]
+    sigs[n::2] = odd
+    odd[:, 4::4] += np.uint8(128)
+    sigs[n + 1 :: 2] = odd
+    classes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sigs)], "id long, sig binary")
+    roots = _clusters([(r.a, r.b) for r in neardups.candidate_pairs(classes, len(sigs)).collect()], len(sigs))
+    assert set(roots[:n]) == {0} and roots[n:] == [n + 2 * (i // 2) for i in range(2 * pairs)]
+
+
+def test_neighbours_save_comparisons():
+    """In a region of near copies, neighbours in the order join almost all."""
+    rng = np.random.default_rng(33)
+    n = 3000
+    sigs = np.tile(rng.integers(0, 256, neardups.HASHES, dtype=np.uint8), (n, 1))
+    change = rng.random(sigs.shape) < 0.1
+    change[:, :4] = False
+    change[:20] |= rng.random((20, neardups.HASHES)) < 0.3
+    sigs[change] = rng.integers(0, 256, int(change.sum()), dtype=np.uint8)
+    order = np.lexsort(sigs.T[::-1])
+    pairs, compared = neardups._candidates(np.arange(n), sigs[order], np.arange(n) == 0)
+    ok = neardups._alike(sigs[order], sigs[order])
+    assert _clusters(pairs.tolist(), n) == _clusters(neardups._forest(ok), n) and compared < n * n / 20
+
+
 def test_scoring(spark, docs, rows, none):
     tok = {r[0]: (r[1] or "").encode().translate(FOLD).split() + [None] for r in rows}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tok}
