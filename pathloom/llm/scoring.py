@@ -6,8 +6,9 @@ on. Unigrams are add-one over the vocabulary and one unknown; on top stand
     p(w | h) = max(c(h w) - D, 0) / c(h) + backoff(h) p(w | shorter h),   backoff(h) = D distinct(h) / c(h)
 
 with distinct(h) the number of different words seen after h. That is an automaton with a state for each history
-seen, an arc for each n-gram seen and a failure arc to the shorter history; a state depends on the last two
-tokens only, so the traversal runs as array operations over all positions of many texts.
+seen, an arc for each n-gram seen and a failure arc to the shorter history (``Automaton``). It is never whole in one
+place: a block of texts builds the states and arcs that its own texts can take, with the counts of all training texts,
+and walks them once from left to right, all texts at once, carrying a state a text and adding up log-probabilities.
 
 The n-grams grow with the input and are never gathered. Texts are read once, into blocks of about ``BLOCK_BYTES`` of
 neighbouring documents, kept as packed token codes. Each block asks for its own distinct n-grams (one packed string
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, counted, crc32_of_id, hashed_words, mixed, shuffle_width, slices, store, table
 
-BLOCK_BYTES, DISCOUNT, FOLDS, HELD, SPARE_BITS, LEAST_BITS = 8_000_000, 0.75, 7, 2, 24, 48
+BLOCK_BYTES, DISCOUNT, FOLDS, HELD, SPARE_BITS, LEAST_BITS, PIECE = 8_000_000, 0.75, 7, 2, 24, 48, 512
 END = np.int64(xxhash.xxh64_intdigest(b" ") - (1 << 64) if xxhash.xxh64_intdigest(b" ") >> 63 else xxhash.xxh64_intdigest(b" "))
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _QUESTION = "block long, bucket int, payload binary"
@@ -318,72 +319,81 @@ def _heard(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 class Automaton:
-    """The same as arrays in memory, over n-grams that are given whole: a plain form to test against."""
-
-    def __init__(self, n: int, v: int, words: np.ndarray, counts: np.ndarray, tops: np.ndarray, grams: tuple[np.ndarray, ...], discount: float = DISCOUNT):
-        self.train_tokens, self.floor, self.words, self.tops = n, np.log10(n + v + 1), words, tops
-        bi, bi_c, tri, tri_c = grams
-        w, m = max(1, len(words)), max(1, len(tops))
-        a, b = bi // w, bi % w
-        # history of one word: arcs and what they leave
-        rest = 1 - np.bincount(a, np.maximum(bi_c - discount, 0), len(words)) / np.maximum(counts, 1)
-        self.bi, self.backoff1 = bi, np.log10(np.maximum(rest, 1e-9))
-        p1 = (counts[b] + 1) / (n + v + 1)
-        p2 = np.maximum(bi_c - discount, 0) / counts[a] + np.maximum(rest, 1e-9)[a] * p1
-        self.bi_weight = np.log10(p2)
-        # histories of two top words: states only where the bigram is kept
-        self.tri, pair = tri, tri // m
-        place = np.searchsorted(words, tops)
-        full = place[pair // m] * w + place[pair % m]
-        at = np.minimum(np.searchsorted(bi, full), max(0, len(bi) - 1))
-        fits = bi[at] == full if len(bi) else np.zeros(len(tri), bool)
-        self.tri, pair, tri_c, at = tri[fits], pair[fits], tri_c[fits], at[fits]
-        self.pairs, inverse = np.unique(pair, return_inverse=True)
-        c = bi_c[at]
-        rest2 = np.maximum(1 - np.bincount(inverse, np.maximum(tri_c - discount, 0) / c, len(self.pairs)), 1e-9)
-        self.backoff2 = np.log10(rest2)
-        last = place[pair % m] * w + place[self.tri % m]
-        j = np.minimum(np.searchsorted(bi, last), max(0, len(bi) - 1))
-        lower = np.where(bi[j] == last, p2[j], np.maximum(rest, 1e-9)[place[pair % m]] * (counts[place[self.tri % m]] + 1) / (n + v + 1)) if len(self.tri) else np.zeros(0)
-        self.tri_weight = np.log10(np.maximum(tri_c - discount, 0) / c + rest2[inverse] * lower)
-
-    @staticmethod
-    def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.searchsorted(table, keys)
-        at[at == len(table)] = 0
-        return at, table[at] == keys
-
-    def score(self, distinct: np.ndarray, counts: np.ndarray, inverse: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts' tokens (as places in ``distinct``): base score, score and known tokens of every text."""
-        one = np.log10(counts + 1.0) - self.floor
-        base = one[inverse]
-        word, is_word = self._find(self.words, distinct)
-        top, is_top = self._find(self.tops, distinct)
-        w, m = max(1, len(self.words)), max(1, len(self.tops))
-        starts = np.zeros(len(inverse), bool)
-        starts[np.cumsum(lengths)[:-1]] = True
-        starts[:1] = True
-        end = int(np.searchsorted(distinct, END))
-        h1 = np.where(starts, end, np.concatenate([[end], inverse[:-1]]))
-        out = base.copy()
-        state1 = is_word[h1]  # the history of one word
-        arc, hit = self._find(self.bi, word[h1] * w + word[inverse])
-        hit &= state1 & is_word[inverse]
-        out[state1] += self.backoff1[word[h1[state1]]]
-        out[hit] = self.bi_weight[arc[hit]]
-        # histories of two words, from a text's second token on
-        h2 = np.concatenate([[end], h1[:-1]])
-        state, has = self._find(self.pairs, top[h2] * m + top[h1])
-        has &= is_top[h2] & is_top[h1] & ~starts
-        at = np.flatnonzero(has)
-        arc, hit = self._find(self.tri, (top[h2[at]] * m + top[h1[at]]) * m + top[inverse[at]])
-        hit &= is_top[inverse[at]]
-        out[at] += self.backoff2[state[at]]
-        out[at[hit]] = self.tri_weight[arc[hit]]
-        begin = np.cumsum(lengths) - lengths
-        return np.add.reduceat(base, begin), np.add.reduceat(out, begin), np.add.reduceat((counts > 0)[inverse].astype(np.int64), begin)
+    """The part of the automaton that a block's texts can walk: a state for each history seen in training, an arc for each
+    n-gram seen, and from each state a failure arc to the shorter history. State 0 has no history and an arc for every
+    word; the state of an n-gram is its place among the block's keys and 1.
+
+    ``count`` and ``distinct`` are those of the block's keys over all training texts, ``n`` and ``v`` the training tokens
+    and their vocabulary.
+    """
+
+    def __init__(self, g: _Grams, count: np.ndarray, distinct: np.ndarray, n: int, v: int):
+        size = len(g.keys)
+        history, word, shorter = (np.full(size, -1, np.int32) for _ in range(3))
+        history[g.two], word[g.two], shorter[g.two] = g.before, g.one, g.one
+        history[g.three], word[g.three], shorter[g.three] = g.two[g.inner - 1], g.one[g.inner], g.two[g.inner]
+        two, three = (np.flatnonzero(np.bincount(x, minlength=size).astype(bool) & (count > 0)) for x in (g.two, g.three))
+        share = np.where(count > 0, DISCOUNT * distinct / np.maximum(count, 1), 1)
+        p = (count + 1.0) / (n + v + 1)  # of a word without a history
+        self.words = np.log10(p)
+        for at in (two, three):  # of the last word after the others
+            of = history[at]
+            p[at] = (count[at] - DISCOUNT) / count[of] + share[of] * p[shorter[at]]
+        self.backoff = np.log10(np.insert(np.where(share > 0, share, 1), 0, 1))
+        self.failure = np.zeros(size + 1, np.int32)
+        self.failure[two + 1] = word[two] + 1
+        self.entered = np.where(count > 0, np.arange(1, size + 1, dtype=np.int32), np.int32(0))  # by a word alone
+        at = np.concatenate([two, three])
+        arcs = (history[at].astype(np.int64) + 1) * size + word[at]
+        target = np.concatenate([two, shorter[three]]) + 1
+        by = order_of(arcs.view(np.uint64))
+        self.size, self.arcs, self.weight, self.target = size, arcs[by], np.log10(p[at[by]]), target[by].astype(np.int32)
+        end = g.before[0]  # a text starts after an end
+        self.start = int(self.entered[end])
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of reading a word in a state, failures included, and the states it leads to."""
+        weight, state, to = np.zeros(len(word)), state.copy(), self.entered[word]
+        left = np.arange(len(word))
+        while len(left):
+            none = state[left] == 0
+            weight[left[none]] += self.words[word[left[none]]]
+            left = left[~none]
+            if not len(left):
+                break
+            key = state[left].astype(np.int64) * self.size + word[left]
+            arc = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
+            hit = self.arcs[arc] == key if len(self.arcs) else np.zeros(len(key), bool)
+            weight[left[hit]] += self.weight[arc[hit]]
+            to[left[hit]] = self.target[arc[hit]]
+            left = left[~hit]
+            weight[left] += self.backoff[state[left]]
+            state[left] = self.failure[state[left]]
+        return weight, to
+
+    def walk(self, words: np.ndarray, lengths: np.ndarray, piece: int = PIECE) -> np.ndarray:
+        """The log10 probabilities of texts, all read from left to right at once, a token a step.
+
+        A text of more than ``piece`` tokens is read in pieces. A state hangs on two tokens only, so a later piece starts two
+        tokens early, without a history, and is in the whole text's state where it begins to add up.
+        """
+        pieces = -(-lengths // piece)
+        text = np.repeat(np.arange(len(lengths)), pieces)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        ends = np.cumsum(lengths)
+        low = (ends - lengths)[text] + number * piece
+        high = np.minimum(low + piece, ends[text])
+        at = np.where(number > 0, low - 2, low)
+        order = np.argsort(at - high, kind="stable")  # the longest first, so those still read come first
+        text, low, at, steps = text[order], low[order], at[order], (high - at)[order]
+        state = np.where(number[order] > 0, 0, self.start).astype(np.int32)
+        total = np.zeros(len(text))
+        for k in range(int(steps[0]) if len(steps) else 0):
+            alive = int(np.searchsorted(-steps, -k, "left"))
+            place = at[:alive] + k
+            weight, state[:alive] = self.step(state[:alive], words[place])
+            total[:alive] += np.where(place >= low[:alive], weight, 0)
+        return np.bincount(text, total, len(lengths))
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -414,14 +424,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         count, owned, shared = _heard(answers, 1)
         distinct = g.followed(owned)
         distinct[g.histories() & shared] = _heard(answers, 2)[0]
-        backoff = DISCOUNT * distinct / np.maximum(count, 1)
-        base = (count[g.one] + 1.0) / (train_tokens + vocabulary + 1)
-        p = base.copy()
-        for at, grams, history in ((np.arange(len(p)), g.two, g.before), (g.inner, g.three, g.two[g.inner - 1])):
-            seen = count[history] > 0
-            at, grams, history = at[seen], grams[seen], history[seen]
-            p[at] = np.maximum(count[grams] - DISCOUNT, 0) / count[history] + backoff[history] * p[at]
-        sums = [np.add.reduceat(x, g.begin) for x in ((count[g.one] > 0).astype(np.int64), np.log10(base), np.log10(p))]
+        score = Automaton(g, count, distinct, train_tokens, vocabulary).walk(g.one, g.lengths)
+        base = np.log10((count[g.one] + 1.0) / (train_tokens + vocabulary + 1))
+        sums = [*(np.add.reduceat(x, g.begin) for x in ((count[g.one] > 0).astype(np.int64), base)), score]
         return pa.table([g.ids, pa.array(g.held), pa.array(g.lengths), pa.array(sums[0]), pa.array(np.full(len(g.lengths), train_tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

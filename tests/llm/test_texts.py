@@ -309,30 +309,39 @@ def test_scoring_counts_every_gram(spark, docs, rows):
         assert abs(r.score - want) < 1e-6 * max(1, len(t))
 
 
+def _automaton(texts, held):
+    import pyarrow as pa
+
+    payload, _ = scoring._packed_block(pa.array(range(len(texts)), pa.int64()), np.array(held), [t.encode() for t in texts])
+    g = scoring._Grams(payload, 64)
+    count = g.counts()
+    word = np.unique(g.one[g.trained])
+    return g, count, scoring.Automaton(g, count, g.followed(count > 0), int(g.trained.sum()), len(word))
+
+
 def test_automaton_sums_to_one():
-    """After any history, the probabilities of all words and the unknown one make 1."""
-    rng = np.random.default_rng(5)
-    text = rng.integers(0, 6, 4000)
-    words_, counts = np.unique(text, return_counts=True)
-    keys = np.append(words_, [10**6]).astype(np.int64)  # an end token that never occurs
-    keys[-1] = max(scoring.END, 10**6)
-    counts_all = np.append(counts, 0)
-    n, v = len(text), len(words_)
-    w = len(keys)
-    bi, bi_c = np.unique(text[:-1] * w + text[1:], return_counts=True)
-    m = 4
-    ok = (text[:-2] < m) & (text[1:-1] < m) & (text[2:] < m)
-    tri, tri_c = np.unique((text[:-2][ok] * m + text[1:-1][ok]) * m + text[2:][ok], return_counts=True)
-    a = scoring.Automaton(n, v, keys, counts_all, keys[:m], (bi, bi_c, tri, tri_c))
-    distinct = np.sort(np.append(keys, [77]))
-    c = np.array([dict(zip(keys, counts_all, strict=True)).get(k, 0) for k in distinct])
-    for h in range(m):
-        for g in range(m):
-            # score of "g h x" less that of "g h", for every x
-            p = [10 ** (a.score(distinct, c, np.array([g, h, x]), np.array([3]))[1][0] - a.score(distinct, c, np.array([g, h]), np.array([2]))[1][0]) for x in range(len(distinct))]
-            known = sum(q for q, k in zip(p, distinct, strict=True) if k in set(words_))
-            unseen = p[int(np.searchsorted(distinct, 77))]
-            assert abs(known + unseen - 1) < 2e-2
+    """In any state, the probabilities of all words and the unknown one make 1, failures included."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(40))) for _ in range(60)]
+    g, count, a = _automaton([*texts, "unseen"], [False] * 60 + [True])
+    words_ = np.unique(g.one)
+    states = np.append(np.flatnonzero(g.histories() & (count > 0)) + 1, 0)
+    assert len(states) > 30 and (count[words_] == 0).sum() == 1
+    for s in states.tolist():
+        weight, to = a.step(np.full(len(words_), s, np.int32), words_)
+        assert abs((10**weight).sum() - 1) < 1e-9
+        assert all(t == 0 or count[t - 1] > 0 for t in to.tolist())
+
+
+def test_automaton_walks_pieces():
+    """Long texts in pieces of any length, empty ones and unseen words score as in one go; without training, too."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "b", "c", f"w{rng.randrange(50)}"]) for _ in range(n)) for n in (0, 1, 2, 3, 700, 5000, 40)]
+    for held in ([False, True, False, True, False, True, False], [True] * 7):
+        g, _, a = _automaton(texts, held)
+        whole = a.walk(g.one, g.lengths, 10**6)
+        for piece in (2, 3, 7, scoring.PIECE):
+            assert np.allclose(a.walk(g.one, g.lengths, piece), whole, atol=1e-8)
 
 
 def test_language(spark, docs, none, sf_dir):
