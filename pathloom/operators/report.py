@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.stats import bucket
 from pathloom.functions.text import display_name
 
-from .lineage import cut
+from .lineage import cut, free_names
 from .ordering import positions
 from .quantiles import quantiles
 
@@ -78,15 +78,22 @@ def workflow_json(chains: DataFrame, name: str = "workflow_name", path: str = "p
             F.array(i * step + x, F.lit(y)).alias("position"), params(t).alias("parameters"),
         ),
     )
-    names = F.transform(p, display_name)
-    pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(F.element_at(names, i).alias("s"), F.element_at(names, i + 1).alias("t")))
-    pairs = F.when(F.size(p) > 1, pairs).otherwise(F.array().cast("array<struct<s:string,t:string>>"))
-    sources = F.array_distinct(F.transform(pairs, lambda e: e["s"]))
-    targets = lambda s: F.transform(F.filter(pairs, lambda e: e["s"] == s), lambda e: F.struct(e["t"].alias("node"), F.lit("main").alias("type"), F.lit(0).alias("index")))
-    edges = F.map_from_entries(F.transform(sources, lambda s: F.struct(s.alias("key"), F.struct(F.array(targets(s)).alias("main")).alias("value"))))
+    # each step is kept as a column by an explode, which nothing is moved through: what a lambda holds is computed for every element
+    kept = lambda df, c, value: df.select("*", F.explode(F.array(value)).alias(c))
+    names, sorted_, starts, edges = free_names(chains.columns, "_names", "_sorted", "_starts", "_edges")
+    last = F.greatest(F.size(names) - 1, F.lit(0))
+    ahead = F.zip_with(F.slice(names, 1, last), F.slice(names, 2, last), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
+    found = kept(chains, names, F.transform(p, display_name))
+    found = kept(found, sorted_, F.array_sort(F.transform(ahead, lambda e, i: F.struct(e["s"].alias("s"), i.alias("i"), e["t"].alias("t")))))
+    first = lambda e, i: (i == 0) | (e["s"] != F.get(sorted_, i - 1)["s"])
+    found = kept(found, starts, F.filter(F.transform(sorted_, lambda e, i: F.when(first(e, i), i)), lambda i: i.isNotNull()))
+    until = lambda j: F.coalesce(F.get(starts, j + 1), F.size(sorted_))
+    groups = F.array_sort(F.transform(starts, lambda a, j: F.struct(F.get(sorted_, a)["i"].alias("i"), F.slice(sorted_, a + 1, until(j) - a).alias("es"))))
+    targets = lambda es: F.transform(es, lambda e: F.struct(e["t"].alias("node"), F.lit("main").alias("type"), F.lit(0).alias("index")))
+    found = kept(found, edges, F.map_from_entries(F.transform(groups, lambda g: F.struct(g["es"][0]["s"].alias("key"), F.struct(F.array(targets(g["es"])).alias("main")).alias("value")))))
     empty = F.create_map().cast("map<string,string>")
-    doc = F.to_json(F.struct(F.col(name).alias("name"), nodes.alias("nodes"), edges.alias("connections"), F.lit(False).alias("active"), empty.alias("settings"), empty.alias("pinData")))
-    return chains.withColumn("document", F.when(F.size(p) > 0, doc))
+    doc = F.to_json(F.struct(F.col(name).alias("name"), nodes.alias("nodes"), F.col(edges).alias("connections"), F.lit(False).alias("active"), empty.alias("settings"), empty.alias("pinData")))
+    return found.withColumn("document", F.when(F.size(p) > 0, doc)).drop(names, sorted_, starts, edges)
 
 
 def summary_text(summary: DataFrame, costs: DataFrame) -> DataFrame:
