@@ -17,17 +17,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.functions.vector import cosine
+from pathloom.functions.vector import cosine, dot
 
 from . import angles, patterns, search
 from .angles import LEADERS, SLACK, matrix, unit
 from .lineage import cut
 
-MARKS = 8
+MARKS, DIGITS = 8, 9
+
+
+def _similarity(a: Column, b: Column) -> Column:
+    """``cosine`` with a single root, which is exact where the product of the squared norms is: equal directions of whole numbers
+    are equally similar, however long. Products near the ends of the double range take two roots."""
+    squares = dot(a, a) * dot(b, b)
+    return F.when((squares > 1e-280) & (squares < 1e280), dot(a, b) / F.sqrt(squares)).otherwise(cosine(a, b))
 
 
 def _near(leaves: DataFrame, leaders: np.ndarray) -> DataFrame:
@@ -105,7 +112,8 @@ def candidates(requests: DataFrame, leaves: DataFrame, k: int, leaders: int = LE
 
 
 def best_leaves(requests: DataFrame, leaves: DataFrame, k: int = 5, leaders: int = LEADERS) -> DataFrame:
-    """request_id, rank, path_str, description, mapped_nodes, reward: the k best passing leaves of each request, ties by path.
+    """request_id, rank, path_str, description, mapped_nodes, reward: the k best passing leaves of each request, ties
+    (rewards equal to ``DIGITS`` places) by path.
 
     ``requests``: request_id, q, keywords, function_categories; ``leaves``: path_str, combined_text, description, mapped_nodes, d.
     """
@@ -114,7 +122,7 @@ def best_leaves(requests: DataFrame, leaves: DataFrame, k: int = 5, leaders: int
     low = F.lower(F.concat_ws(" ", "combined_text", F.array_join("mapped_nodes", " ")))
     d = cut(leaves.where(some("d")).select("path_str", "description", "mapped_nodes", "d", low.alias("low"), F.lower("path_str").alias("path")).withColumn("leaf", F.monotonically_increasing_id()))
     pairs = candidates(r, d, k, leaders)
-    both = pairs.join(r.select("req", "request_id", "q"), "req").join(d.drop("low", "path"), "leaf").withColumn("semantic_score", cosine(F.col("q"), F.col("d")))
+    both = pairs.join(r.select("req", "request_id", "q"), "req").join(d.drop("low", "path"), "leaf").withColumn("semantic_score", _similarity(F.col("q"), F.col("d")))
     both = search.passing(both.withColumn("reward", search.reward(F.col("semantic_score"), F.col("category_score"), F.col("keyword_score"))))
-    best = W.partitionBy("req").orderBy(F.desc("reward"), "path_str")
+    best = W.partitionBy("req").orderBy(F.desc(F.floor(F.col("reward") * 10.0**DIGITS + 0.5)), "path_str")
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("request_id", "rank", "path_str", "description", "mapped_nodes", "reward")

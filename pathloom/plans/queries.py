@@ -347,7 +347,9 @@ def leaf_search(spark: SparkSession, sf: str) -> DataFrame:
     asked = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("text").alias("goal_description"), words.alias("keywords"), F.array(F.concat(F.lit("B"), F.col("conv_id") % 7, F.lit(" "))).alias("function_categories"))
     none = F.array().cast("array<string>")
     leaves = table(spark, sf, "benchmark").select(F.concat(F.lit("B"), F.col("item_id") % 7, F.lit(" -> "), F.col("item_id")).alias("path_str"), F.col("text").alias("combined_text"), F.lit("").alias("description"), none.alias("mapped_nodes"))
-    return _rounded(pipelines.score_leaves(asked, leaves, providers.letter_counts), ["reward"], 5).select("request_id", "rank", "path_str", "reward")
+    # as SQL rounds: the product in binary decides on which side of a half it is, not the shortest decimal (0.653125 is 0.65312)
+    out = pipelines.score_leaves(asked, leaves, providers.letter_counts)
+    return out.select("request_id", "rank", "path_str", (F.floor(F.col("reward") * 100000.0 + 0.5) / 100000.0).alias("reward"))
 
 
 @query("""WITH p AS (SELECT DISTINCT lower(w) AS pattern FROM (SELECT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM benchmark) WHERE length(w) >= 6)

@@ -81,3 +81,20 @@ def test_pairs_above(spark, least):
     _, cells, leaders = search.dealt_by_angle(df, "label", 40)
     met, every = (search.cell_pairs(cells, leaders, t).agg(F.sum("pairs")).first()[0] for t in (least, -1.0))
     assert met <= every and (least < 0.9 or met < 0.4 * every)
+
+
+def test_ties_by_path_and_halves(spark):
+    """Equal rewards that doubles tell apart are ties, and a reward half way between two places is met exactly."""
+    letters = lambda *n: "".join("abcdefgh"[i] * k for i, k in enumerate(n))
+    rng = random.Random(8)
+    tied = [[k * x for x in (1, 2, 3, 5, 7)] for k in rng.sample(range(1, 60), 25)]
+    leaves = [(f"L -> {i:02d}", letters(*v), "", []) for i, v in enumerate(tied)]
+    d = spark.createDataFrame(leaves, "path_str string, combined_text string, description string, mapped_nodes array<string>")
+    r = spark.createDataFrame([(1, letters(3, 1, 4, 1, 5), [], []), (2, letters(2, 7, 1, 8), [], [])], "request_id int, goal_description string, keywords array<string>, function_categories array<string>")
+    got = pipelines.score_leaves(r, d, providers.letter_counts).collect()
+    assert [(x.request_id, x.path_str) for x in sorted(got, key=lambda x: x["rank"])] == [(1, f"L -> {j:02d}") for j in range(5)]  # the other has no leaf above the least reward
+    # cosines of 9/16 and the like: 0.5 * n / 32 has its half at the sixth place
+    for u, v, want in (((1,) * 4, (3, 1), None), ((2, 2, 2, 2), (8, 0, 0, 0), 0.25), ((5, 5, 5, 1), (19, 0, 0, 0), None)):
+        s = spark.createDataFrame([([float(x) for x in u], [float(x) for x in (*v, 0, 0)[:4]])], "a array<double>, b array<double>").select(leafsearch._similarity(F.col("a"), F.col("b")).alias("s")).first().s
+        exact = sum(x * y for x, y in zip(u, v)) / (sum(x * x for x in u) * sum(x * x for x in v)) ** 0.5
+        assert s == exact and (want is None or s == 2 * want)
