@@ -119,43 +119,70 @@ def upper_confidence(total: Column, visits: Column, parent_visits: Column, c: fl
     return total / (visits + e) + c * F.sqrt(F.log(parent_visits + 1) / (visits + e))
 
 
+def _best_of(ids: np.ndarray, x: np.ndarray, q: np.ndarray, c: np.ndarray, k: int, floor: np.ndarray | None = None) -> pa.Table:
+    """query_id, vec_id, similarity: the k of the rows ``c`` most like each of the rows ``q``, but for those that are certainly
+    below the row's ``floor``, where given. Single precision chooses, with room for its error; double precision decides."""
+    norm = np.sqrt((x * x).sum(1))
+    plain = bool(np.isfinite(norm).all() and (norm > 1e-150).all())
+    room = 1e-6 + 2.4e-7 * x.shape[1] if plain else 1e-9
+    u = (x / norm[:, None]).astype(np.float32) if plain else x
+    others, parts = u[c].T, []
+    for at in range(0, len(q) if len(c) else 0, 256):
+        rows = q[at : at + 256]
+        s = u[rows] @ others
+        if not plain:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = np.nan_to_num(s / (norm[rows, None] * norm[c]), nan=-2.0)
+        if floor is None:
+            s[ids[rows, None] == ids[c]] = -np.inf
+            least = np.partition(s, max(0, len(c) - k), 1)[:, max(0, len(c) - k)].astype(float)
+        else:
+            least = floor[at : at + 256]
+        a, b = np.nonzero(s >= (least - 2 * room).astype(s.dtype)[:, None])
+        ok = (s[a, b] > -np.inf) & (ids[rows[a]] != ids[c[b]])
+        a, b = a[ok], b[ok]
+        # once more pair by pair, so that equal vectors are equally similar
+        with np.errstate(invalid="ignore", divide="ignore"):
+            exact = np.nan_to_num((x[rows[a]] * x[c[b]]).sum(1) / (norm[rows[a]] * norm[c[b]]), nan=-2.0)
+        by = np.lexsort((ids[c[b]], -exact, a))
+        a, b, exact = a[by], b[by], exact[by]
+        best = np.arange(len(a)) - np.searchsorted(a, a) < k
+        parts.append((ids[rows[a[best]]], ids[c[b[best]]], exact[best]))
+    cols = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2], mask=cols[2] < -1.5)})
+
+
 def nearest(vectors: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, similarity: the k rows of ``vectors`` (vec_id, embedding) most like each row, ties by id.
 
-    Rows are dealt to blocks; each pair of blocks compares all its rows and keeps k for each query.
+    Rows are dealt to blocks. Each block first finds its rows' k nearest within itself; the least of them is a row's floor, below
+    which no other block needs to answer. Each pair of blocks compares all its rows and keeps at most k for each query.
     """
     n = max(1, -(-vectors.count() // block))
-    own, other = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
-    dealt = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), own, other)
-    asking = dealt.select(F.col("own").alias("q"), F.col("other").alias("c"), F.lit(True).alias("asks"), "vec_id", "embedding")
-    asked = dealt.select(F.col("other").alias("q"), F.col("own").alias("c"), F.lit(False).alias("asks"), "vec_id", "embedding")
-
-    def run(group: pa.Table) -> pa.Table:
-        asks, ids = group.column("asks").to_numpy(), group.column("vec_id").to_numpy()
-        x = group.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        norm = np.sqrt((x * x).sum(1))
-        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
-        parts = []
-        for at in range(0, len(q) if len(c) else 0, 256):
-            rows = q[at : at + 256]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = np.nan_to_num((x[rows] @ x[c].T) / (norm[rows, None] * norm[c]), nan=-2.0)
-            s[ids[rows, None] == ids[c]] = -np.inf
-            least = np.partition(s, max(0, len(c) - k), 1)[:, max(0, len(c) - k)]
-            a, b = np.nonzero((s >= least[:, None] - 1e-9) & (s > -np.inf))
-            # once more pair by pair, so that equal vectors are equally similar
-            with np.errstate(invalid="ignore", divide="ignore"):
-                exact = np.nan_to_num((x[rows[a]] * x[c[b]]).sum(1) / (norm[rows[a]] * norm[c[b]]), nan=-2.0)
-            by = np.lexsort((ids[c[b]], -exact, a))
-            a, b, exact = a[by], b[by], exact[by]
-            best = np.arange(len(a)) - np.searchsorted(a, a) < k
-            parts.append((ids[rows[a[best]]], ids[c[b[best]]], exact[best]))
-        cols = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2], mask=cols[2] < -1.5)})
-
-    x = asking.union(asked).groupBy("q", "c").applyInArrow(run, "query_id long, vec_id long, similarity double")
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("own")
+    dealt = vectors.select("vec_id", "embedding", own)
+    result = "query_id long, vec_id long, similarity double"
+
+    def inside(group: pa.Table) -> pa.Table:
+        every = np.arange(group.num_rows)
+        return _best_of(group.column("vec_id").to_numpy(), angles.matrix(group.column("embedding").combine_chunks()), every, every, k)
+
+    found = dealt.groupBy("own").applyInArrow(inside, result)
+    if n > 1:
+        found = cut(found)
+        floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min(F.coalesce("similarity", F.lit(-2.0)))).alias("floor"))
+        other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i != F.col("own")))
+        asking = dealt.join(floors, "vec_id", "left").select(F.col("own").alias("q"), other.alias("c"), F.coalesce("floor", F.lit(-2.0)).alias("floor"), "vec_id", "embedding")
+        asked = dealt.select(other.alias("q"), F.col("own").alias("c"), F.lit(None).cast("double").alias("floor"), "vec_id", "embedding")
+
+        def across(group: pa.Table) -> pa.Table:
+            floor = group.column("floor").to_numpy()
+            q, c = np.flatnonzero(~np.isnan(floor)), np.flatnonzero(np.isnan(floor))
+            return _best_of(group.column("vec_id").to_numpy(), angles.matrix(group.column("embedding").combine_chunks()), q, c, k, floor[q])
+
+        found = found.unionByName(asking.union(asked).groupBy("q", "c").applyInArrow(across, result))
     w = W.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "vec_id")
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
 
 
 def dealt_by_angle(vectors: DataFrame, within: str, block: int = 2048) -> tuple[DataFrame, DataFrame, np.ndarray]:
