@@ -191,7 +191,7 @@ def dealt_by_angle(vectors: DataFrame, within: str, block: int = 2048) -> tuple[
     A row belongs to its nearest leader, at angle ``near``; a leader's rows of one ``within`` value are dealt to cells of
     about ``block``, which lie within ``radius`` of it. There is a leader for each ``block`` rows, at most ``angles.LEADERS``.
     """
-    v = vectors.select(F.col(within).alias("w"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.exists("embedding", lambda x: x != 0))
+    v = vectors.select(F.col(within).alias("w"), "vec_id", "embedding").where(F.exists("embedding", lambda x: x != 0))
     v, total = counted(v)
     centres = angles.leaders(v, "embedding", min(angles.LEADERS, max(1, -(-total // block))))
     rows = cut(angles.with_leader(v, "embedding", centres))
@@ -216,36 +216,61 @@ def cell_pairs(cells: DataFrame, centres: np.ndarray, least: float) -> DataFrame
     return met.select(F.col("w1").alias("w"), "i", "j", F.when(F.col("i") == F.col("j"), F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2")).alias("pairs"))
 
 
-def pairs_above(vectors: DataFrame, least: float, within: str, block: int = 2048) -> DataFrame:
+def bundles(cells: DataFrame, most: int) -> DataFrame:
+    """w, at (leader and sub), bundle: neighbouring cells of one w value, together about ``most`` rows. A row a cell."""
+    before = F.sum("n").over(W.partitionBy("w").orderBy("leader", "sub").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    return cells.select("w", F.struct("leader", "sub").alias("at"), F.floor(before / most).cast("int").alias("bundle"))
+
+
+def pairs_above(vectors: DataFrame, least: float, within: str, block: int = 2048, bundle: int = 8192) -> DataFrame:
     """a, b, similarity: pairs a < b of ``vectors`` (vec_id, embedding) of one ``within`` value, from a cosine of ``least`` on.
 
-    Rows are dealt to cells by direction (``dealt_by_angle``), only pairs of cells that can hold such a pair meet
-    (``cell_pairs``), and each is one bounded group; only pairs that pass leave it. Null and zero vectors have no pairs.
+    Rows are dealt to cells by direction (``dealt_by_angle``), and only pairs of cells that can hold such a pair meet
+    (``cell_pairs``). So that a row isn't sent to each cell that its own meets, cells travel in bundles of about ``bundle`` rows: each
+    pair of bundles with cells that meet is one bounded group, in which those cells are compared. Null and zero vectors have no pairs.
     """
     rows, cells, centres = dealt_by_angle(vectors, within, block)
-    met = cell_pairs(cells, centres, least)
-    met = cut(met.select(F.col("w").alias("w2"), "i", "j"))
-    at = F.struct("leader", "sub")
-    takes = met.select("w2", "i", "j", F.col("i").alias("at"), F.lit(True).alias("first")).union(met.where("i <> j").select("w2", "i", "j", "j", F.lit(False)))
-    dealt = rows.withColumn("own", at).join(takes, F.col("w").eqNullSafe(F.col("w2")) & (F.col("own") == F.col("at"))).select("w", "i", "j", "first", (F.col("i") == F.col("j")).alias("same"), "vec_id", "embedding")
-
-    def run(group: pa.Table) -> pa.Table:
-        ids, first, same = group.column("vec_id").to_numpy(), group.column("first").to_numpy(), group.column("same")[0].as_py()
-        x = group.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    cells = cut(cells)
+    dealt_to = cut(bundles(cells, bundle))
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("w")
+    side = lambda c, name: dealt_to.select(F.col("w").alias(f"w_{c}"), F.col("at").alias(f"at_{c}"), F.col("bundle").alias(name))
+    same = lambda c: F.col("w").eqNullSafe(F.col(f"w_{c}")) & (F.col(c) == F.col(f"at_{c}"))
+    met = cell_pairs(cells, centres, least).join(side("i", "bi"), same("i")).join(side("j", "bj"), same("j"))
+    met = cut(met.select(key("w"), "bi", "bj", "i", "j"))
+    groups = met.select("w", "bi", "bj").distinct()
+    takes = groups.select("w", "bi", "bj", F.col("bi").alias("own")).union(groups.where("bi <> bj").select("w", "bi", "bj", "bj"))
+    placed = rows.withColumn("cell", F.struct("leader", "sub")).join(side("cell", "own"), same("cell")).select(key("w"), "own", "cell", "vec_id", "embedding")
+    dealt = placed.join(takes, ["w", "own"]).select("w", "bi", "bj", F.col("cell.leader").alias("leader"), F.col("cell.sub").alias("sub"), "vec_id", "embedding")
+    pairs = met.select(*[F.col(c).alias(c) for c in ("w", "bi", "bj")], F.col("i.leader").alias("l1"), F.col("i.sub").alias("s1"), F.col("j.leader").alias("l2"), F.col("j.sub").alias("s2"))
+
+    def run(group: pa.Table, pairs: pa.Table) -> pa.Table:
+        ids, x = group.column("vec_id").to_numpy(), angles.matrix(group.column("embedding").combine_chunks())
         norm = np.sqrt((x * x).sum(1))
-        q, c = np.flatnonzero(first), np.arange(len(ids)) if same else np.flatnonzero(~first)
-        parts = []
-        for at in range(0, len(q), 512):
-            rows = q[at : at + 512]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = (x[rows] @ x[c].T) / (norm[rows, None] * norm[c])
-            u, v = np.nonzero(s >= least - 1e-9)
-            u, v = rows[u], c[v]
-            # once more pair by pair, and each pair once
-            exact = (x[u] * x[v]).sum(1) / (norm[u] * norm[v])
-            ok = (exact >= least) & ((ids[u] < ids[v]) if same else (ids[u] != ids[v]))
-            parts.append((np.minimum(ids[u], ids[v])[ok], np.maximum(ids[u], ids[v])[ok], exact[ok]))
-        cols = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        of = lambda t, a, b: (t.column(a).to_numpy().astype(np.int64) << 32) | t.column(b).to_numpy()
+        cell = of(group, "leader", "sub")
+        order = np.argsort(cell, kind="stable")
+        names, starts = np.unique(cell[order], return_index=True)
+        members = dict(zip(names.tolist(), np.split(order, starts[1:]), strict=True))
+        partners: dict[int, list[int]] = {}
+        for i, j in zip(of(pairs, "l1", "s1").tolist(), of(pairs, "l2", "s2").tolist(), strict=True):
+            partners.setdefault(i, []).append(j)
+        none, parts = np.zeros(0, np.int64), []
+        for i, js in partners.items():
+            q = members.get(i, none)
+            c = np.concatenate([members.get(j, none) for j in js])
+            own = np.concatenate([np.full(len(members.get(j, none)), i == j) for j in js])
+            for at in range(0, len(q), 512):
+                rows = q[at : at + 512]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (x[rows] @ x[c].T) / (norm[rows, None] * norm[c])
+                u, v = np.nonzero(s >= least - 1e-9)
+                inner = own[v]
+                u, v = rows[u], c[v]
+                # once more pair by pair, and each pair once
+                exact = (x[u] * x[v]).sum(1) / (norm[u] * norm[v])
+                ok = (exact >= least) & np.where(inner, ids[u] < ids[v], ids[u] != ids[v])
+                parts.append((np.minimum(ids[u], ids[v])[ok], np.maximum(ids[u], ids[v])[ok], exact[ok]))
+        cols = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [none, none, np.zeros(0)]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2])})
 
-    return dealt.groupBy("w", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+    return dealt.groupBy("w", "bi", "bj").cogroup(pairs.groupBy("w", "bi", "bj")).applyInArrow(run, "a long, b long, similarity double")
