@@ -50,3 +50,22 @@ def test_early_stop_and_nothing(spark):
     assert rounds < 30 and rounds == model.best + 2
     none = factors.fit(noise.limit(0), rank=2)
     assert none.history == [] and none.source.isEmpty() and none.best == 0
+
+
+def test_many_blocks_give_the_same_factors(spark, monkeypatch):
+    """Blocks of 20 pairs: a round sends each node's factors at most once a block, and no row a pair."""
+    counts = made(spark, np.random.default_rng(3)).union(spark.createDataFrame([("s0", "once", 2.0), ("one", "t0", 1.0), ("far", "off", 3.0)], "src string, dst string, n double"))
+    one = factors.fit(counts, rank=3, rounds=3)
+    monkeypatch.setattr(factors, "BLOCK", 20)
+    monkeypatch.setattr(factors, "SLICE", 50)
+    many = factors.fit(counts, rank=3, rounds=3)
+    assert [h[:3] for h in one.history] == [h[:3] for h in many.history] and np.allclose([h[3:] for h in one.history], [h[3:] for h in many.history])
+    for a, b in ((one.source, many.source), (one.target, many.target)):
+        a, b = ({r.node: r.f for r in x.collect()} for x in (a, b))
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+    rated = factors.split(counts)
+    cells = factors._packed(rated, "src", "dst", 7)
+    came = cells.select(cells.block.alias("to"), cells.others.alias("nodes"), factors.F.flatten(factors.F.transform("others", lambda x: factors._drawn(x, 3, 0))).alias("f"))
+    out = factors._solved(cells, came, 3, 0.2).where("to IS NOT NULL")
+    sent = out.select("to", factors.F.explode("nodes").alias("node"))
+    assert sent.count() == sent.distinct().count() < rated.count() and out.count() <= 7 * 7
