@@ -1,8 +1,10 @@
 """Depths, levels, strong components and longest paths of large directed graphs.
 
 Graphs are edge tables (head, tail); loops, repeats and null ends don't count. Chains of nodes with one edge in and one out are
-contracted first, by pointer doubling: as many jobs as the logarithm of the longest chain. What is left is peeled from its sinks,
-a job a level. Nodes that no peeling reaches lie on cycles or between them; strong components are found there by
+contracted first, by pointer doubling: as many jobs as the logarithm of the longest chain. What is left is peeled from its sinks in blocks
+of about ``BLOCK`` links: a block peels as far as its own nodes allow and tells other blocks how deep the heads of its links lie, so
+there is at most a round a level. Links are packed once and stay where they are; a round moves what was found in it and two numbers a
+node. Nodes that no peeling reaches lie on cycles or between them; strong components are found there by
 colours: the greatest name that reaches a node goes forward, and from the nodes of that name backward. No step holds more than
 one row a node or edge, and nothing but counts comes to the driver.
 
@@ -14,13 +16,17 @@ task a component; what remains is acyclic. That search is exponential in the wor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import counted, cut, release
 
-MOST_NODES, MOST_STEPS, MERGE = 1000, 2_000_000, 12
+MOST_NODES, MOST_STEPS, MERGE, BLOCK = 1000, 2_000_000, 12, 1 << 21
 _END = "\x00end "
 
 
@@ -42,63 +48,153 @@ def ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("head").alias("node")).union(edges.select(F.col("tail").alias("node"))).distinct()
 
 
-def contracted(edges: DataFrame, fixed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def contracted(edges: DataFrame, fixed: DataFrame | None = None, firsts: bool = True) -> tuple[DataFrame, DataFrame]:
     """Links between nodes that are not inside a chain (those of ``fixed`` never are), and the inner nodes.
 
     ``edges``: head, tail, step, at most one for a head and tail, lengths being those of the steps. Links: head, tail,
     weight, hop and step (first edge of the longest chain, ties by step). Inner nodes: node, to (the chain's end), away (how far),
-    hop, step, ring (the smallest name of a ring that consists of inner nodes only, else null).
+    ring (the smallest name of a ring that consists of inner nodes only, else null) and, with ``firsts``, hop and step.
     """
     sides = edges.select(F.col("head").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("tail", F.lit(0), F.lit(1)))
     inner = sides.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 AND i = 1").select("node")
     inner = cut(inner if fixed is None else inner.join(fixed.select("node"), "node", "left_anti"))
     out = edges.join(inner, F.col("head") == F.col("node"), "left")
     is_inner = inner.select(F.col("node").alias("n2"))
-    first = out.where("node IS NOT NULL").select("node", F.col("tail").alias("to"), F.size("step").cast("long").alias("away"), F.col("tail").alias("hop"), "step", F.col("node").alias("low"))
+    first = out.where("node IS NOT NULL").select("node", F.col("tail").alias("to"), F.size("step").cast("long").alias("away"), F.col("node").alias("low"))
     chain, n = counted(first.join(is_inner, F.col("to") == F.col("n2"), "left").withColumn("open", F.col("n2").isNotNull()).drop("n2"), F.col("open"))
     total, moved = (chain.count() if n else 0), 1
     while n and moved < total:
         ahead = chain.select(F.col("node").alias("n2"), F.col("to").alias("to2"), F.col("away").alias("away2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
         both = chain.join(ahead, F.col("open") & (F.col("to") == F.col("n2")), "left")
-        step = both.select("node", F.coalesce("to2", "to").alias("to"), (F.col("away") + F.coalesce("away2", F.lit(0))).alias("away"), "hop", "step", F.least("low", "low2").alias("low"), F.coalesce("open2", F.lit(False)).alias("open"))
+        step = both.select("node", F.coalesce("to2", "to").alias("to"), (F.col("away") + F.coalesce("away2", F.lit(0))).alias("away"), F.least("low", "low2").alias("low"), F.coalesce("open2", F.lit(False)).alias("open"))
         old, (chain, n) = chain, counted(step, F.col("open"))
         release(old)
         moved *= 2
-    chain = chain.select("node", "to", "away", "hop", "step", F.when(F.col("open"), F.col("low")).alias("ring"))
+    chain = chain.select("node", "to", "away", F.when(F.col("open"), F.col("low")).alias("ring"))
     onward = chain.select(F.col("node").alias("n2"), "to", "away")
     links = out.where("node IS NULL").select("head", "tail", "step").join(onward, F.col("tail") == F.col("n2"), "left")
     length = F.size("step") + F.coalesce("away", F.lit(0))
     links = links.select("head", F.coalesce("to", "tail").alias("end"), F.struct((-length).alias("less"), "step", F.col("tail").alias("hop")).alias("best"))
     links = links.groupBy("head", "end").agg(F.min("best").alias("best"))
-    return cut(links.select("head", F.col("end").alias("tail"), (-F.col("best.less")).alias("weight"), "best.hop", "best.step")), chain
+    return cut(links.select("head", F.col("end").alias("tail"), (-F.col("best.less")).alias("weight"), "best.hop", "best.step")), chain.join(out.where("node IS NOT NULL").select("node", F.col("tail").alias("hop"), "step"), "node") if firsts else chain
+
 
+def _cells(links: DataFrame, nodes: DataFrame, blocks: int, salt: int) -> tuple[DataFrame, int]:
+    """A row a block of nodes, and whether two names have one key (a 64-bit hash).
 
-def peeled(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, depth, hop, step for nodes (among ``nodes``) from which no cycle can be reached: the longest way on and its first edge."""
-    none = F.struct(F.lit(0).cast("long").alias("less"), F.lit(None).cast("array<string>").alias("step"), F.lit(None).cast("string").alias("hop"))
-    waiting = links.groupBy("head").agg(F.count(F.lit(1)).alias("waiting"))
-    state = nodes.select("node").join(waiting, F.col("node") == F.col("head"), "left").select("node", F.coalesce("waiting", F.lit(0)).alias("waiting"), none.alias("best"))
-    state, n = counted(state, F.col("waiting") == 0)
-    left, fronts, states, cuts, turn = links, [], [state], [], 0
+    keys, sorted; waiting: how many links a node has; the links to each node (up to ``ends``): key, block and, within the block, place
+    of their heads (-1 elsewhere), and weight.
+    """
+    key = lambda c: F.xxhash64(c, F.lit(salt))
+    dealt = lambda c: F.pmod(c, F.lit(blocks)).cast("int")
+    none = F.lit(None).cast("long")
+    rows = nodes.select(key("node").alias("key"), none.alias("head"), none.alias("weight"))
+    rows = rows.union(links.select(key("tail"), key("head"), F.col("weight").cast("long")))
+    rows = rows.union(links.groupBy(key("head").alias("key")).agg(F.count(F.lit(1)).alias("weight")).select("key", none, "weight"))
+    # a node has neither head nor weight, a number of links no head
+
+    def pack(group: pa.Table) -> pa.Table:
+        key, head, weight = (group.column(c).fill_null(0).to_numpy() for c in ("key", "head", "weight"))
+        is_link, is_count = group.column("head").is_valid().to_numpy(), group.column("weight").is_valid().to_numpy()
+        keys = np.sort(key[~is_count])
+        once = np.unique(keys)
+
+        def place(k: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(once, k)
+            return np.where((at < len(once)) & (once[np.minimum(at, len(once) - 1)] == k), at, -1) if len(once) else np.full(len(k), -1)
+
+        number = is_count & ~is_link
+        at, n = place(key[number]), weight[number]
+        waiting = np.zeros(len(once), np.int32)
+        waiting[at[at >= 0]] = n[at >= 0]
+        at, head, weight = place(key[is_link]), head[is_link], weight[is_link]
+        order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :]
+        head, weight = head[order], weight[order]
+        inside = place(head)
+        ends = np.cumsum(np.bincount(at[order], minlength=len(once)))
+        here = group.column("block")[0].as_py()
+        keep = (inside >= 0) | (np.mod(head, blocks) != here)  # heads that are no nodes don't count
+        if not keep.all():
+            ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        parts = (once, waiting, ends.astype(np.int64), head[keep], inside[keep].astype(np.int32), weight[keep])
+        return pa.table([pa.array([here], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts), pa.array([len(once) < len(keys)])], names=["block", "keys", "waiting", "ends", "head", "inside", "weight", "clash"])
+
+    out = rows.withColumn("block", dealt(F.col("key"))).groupBy("block").applyInArrow(pack, "block int, keys binary, waiting binary, ends binary, head binary, inside binary, weight binary, clash boolean")
+    return counted(out.repartition(blocks, "block"), F.col("clash"))  # kept by block
+
+
+def _round(cells: DataFrame, moving: DataFrame, blocks: int) -> tuple[DataFrame, int]:
+    """``moving`` after a round, and whether there is more to do: block, keys, waiting, depth, each block's state (waiting, -1
+    when done, and depth of its nodes) and what it is told (keys of nodes and a depth of each, a link each)."""
+
+    def run(cell: pa.Table, came: pa.Table) -> pa.Table:
+        raw = lambda row, c, kind: np.frombuffer(row.column(c)[0].as_buffer(), kind)
+        out: list[tuple] = []
+        if cell.num_rows:
+            keys, ends, head, inside, weight = (raw(cell, c, kind) for c, kind in (("keys", np.int64), ("ends", np.int64), ("head", np.int64), ("inside", np.int32), ("weight", np.int64)))
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            told = came.column("keys").is_valid()
+            state, told = came.filter(pc.invert(told)), came.filter(told)
+            waiting = raw(state, "waiting", np.int32).copy()
+            depth = raw(state, "depth", np.int64).copy() if state.column("depth").null_count == 0 else np.zeros(len(keys), np.int64)
+            for k in range(told.num_rows):
+                row = told.slice(k, 1)
+                to, d = raw(row, "keys", np.int64), raw(row, "depth", np.int64)
+                at = np.minimum(np.searchsorted(keys, to), max(0, len(keys) - 1))
+                known = keys[at] == to if len(keys) else np.zeros(len(to), bool)
+                np.maximum.at(depth, at[known], d[known])
+                np.subtract.at(waiting, at[known], 1)
+            front, sent = np.flatnonzero(waiting == 0), []
+            while len(front):
+                waiting[front] = -1
+                n = ends[front] - starts[front]
+                link = np.repeat(starts[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                d, at = np.repeat(depth[front], n) + weight[link], inside[link]
+                own = at >= 0
+                sent.append((head[link[~own]], d[~own]))
+                at = at[own]
+                np.maximum.at(depth, at, d[own])
+                np.subtract.at(waiting, at, 1)
+                front = np.unique(at[waiting[at] == 0])
+            here = cell.column("block")[0].as_py()
+            out = [(here, None, waiting.tobytes(), depth.tobytes())]
+            if sent:
+                to, d = (np.concatenate(x) for x in zip(*sent, strict=True))
+                target = np.mod(to, blocks)
+                order = np.argsort(target, kind="stable")
+                at = np.flatnonzero(np.diff(target[order], prepend=-1))
+                out += [(int(target[o[0]]), to[o].tobytes(), None, d[o].tobytes()) for o in np.split(order, at[1:]) if len(o)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "keys", "waiting", "depth"])
+
+    both = cells.select("block", "keys", "ends", "head", "inside", "weight").groupBy("block").cogroup(moving.groupBy("block"))
+    return counted(both.applyInArrow(run, "block int, keys binary, waiting binary, depth binary"), F.col("keys").isNotNull())
+
+
+def peeled(links: DataFrame, nodes: DataFrame, firsts: bool = True) -> DataFrame:
+    """node, depth for nodes (among ``nodes``, each once) from which no cycle can be reached: the longest way on; with ``firsts``, its first edge (hop, step)."""
+    blocks, salt, clash = max(1, -(-links.count() // BLOCK), -(-nodes.count() // BLOCK)), 0, 1
+    while clash:
+        cells, clash = _cells(links, nodes, blocks, salt := salt + 1)
+    none = F.lit(None).cast("binary")
+    moving, n = _round(cells, cells.select("block", none.alias("keys"), "waiting", none.alias("depth")), blocks)
     while n:
-        front, turn = state.where("waiting = 0").select("node", "best"), turn + 1
-        fronts.append(front)
-        at = front.select(F.col("node").alias("n2"), (-F.col("best.less")).alias("depth"))
-        news = left.join(at, F.col("tail") == F.col("n2")).select("head", F.struct((-(F.col("weight") + F.col("depth"))).alias("less"), "step", "hop").alias("b"))
-        news = news.groupBy("head").agg(F.count(F.lit(1)).alias("came"), F.min("b").alias("b"))
-        after = state.where("waiting > 0").join(news, F.col("node") == F.col("head"), "left")
-        after = after.select("node", (F.col("waiting") - F.coalesce("came", F.lit(0))).alias("waiting"), F.least("best", "b").alias("best"))
-        state, n = counted(after, F.col("waiting") == 0)
-        states.append(state)
-        if turn % MERGE == 0:  # keeps the union short, and drops edges that are done with
-            fronts = [cut(_union(fronts).repartition("node"))]
-            cuts.append(left := cut(left.join(state.where("waiting > 0").select("node"), F.col("head") == F.col("node"), "left_semi")))
-            release(*states[:-1])
-            states = [state]
-    done = _union(fronts) if fronts else nodes.select("node", none.alias("best")).limit(0)
-    done = cut(done.select("node", (-F.col("best.less")).alias("depth"), "best.hop", "best.step"))
-    release(*states, *cuts)
-    return done
+        old, (moving, n) = moving, _round(cells, moving, blocks)
+        release(old)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, waiting, depth in zip(*(batch.column(c) for c in ("keys", "waiting", "depth")), strict=True):
+                done = np.frombuffer(waiting.as_buffer(), np.int32) < 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)[done]) for x in (keys, depth)], names=["key", "depth"])
+
+    found = cells.select("block", "keys").join(moving.where("keys IS NULL").select("block", "waiting", "depth"), "block").select("keys", "waiting", "depth").mapInArrow(rows, "key long, depth long")
+    done = cut(nodes.select("node", F.xxhash64("node", F.lit(salt)).alias("key")).join(found, "key").select("node", "depth"))
+    release(moving, cells)
+    if not firsts:
+        return done
+    behind = links.join(done.select(F.col("node").alias("tail"), F.col("depth").alias("far")), "tail").join(done.select(F.col("node").alias("head"), "depth"), "head")
+    best = behind.where("weight + far = depth").groupBy("head").agg(F.min(F.struct("step", "hop")).alias("best"))
+    return cut(done.join(best, F.col("node") == F.col("head"), "left").select("node", "depth", "best.hop", "best.step"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -108,13 +204,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, depth, hop, step: the longest way on from each node that reaches no cycle. ``edges``: head, tail, step."""
-    links, inner = contracted(edges)
+def depths(edges: DataFrame, nodes: DataFrame, firsts: bool = True) -> DataFrame:
+    """node, depth (with ``firsts``, hop and step): the longest way on from each node that reaches no cycle. ``edges``: head, tail, step."""
+    links, inner = contracted(edges, firsts=firsts)
     outer = nodes.select("node").join(inner, "node", "left_anti")
-    found = peeled(links, outer)
+    found = peeled(links, outer, firsts)
     behind = inner.where("ring IS NULL").join(found.select(F.col("node").alias("n2"), "depth"), F.col("to") == F.col("n2"))
-    return found.unionByName(behind.select("node", (F.col("away") + F.col("depth")).alias("depth"), "hop", "step"))
+    return found.unionByName(behind.select("node", (F.col("away") + F.col("depth")).alias("depth"), *(["hop", "step"] if firsts else [])))
 
 
 def levels(edges: DataFrame) -> DataFrame:
@@ -122,7 +218,7 @@ def levels(edges: DataFrame) -> DataFrame:
     e = edges.select("head", "tail").where("head IS NOT NULL AND tail IS NOT NULL").distinct()
     loop = e.where("head = tail").select("head", F.concat(F.lit(_END), "head").alias("tail"))  # a loop becomes a cycle of two
     e = cut(plain(e).union(loop).union(turned(loop)))
-    out = depths(weighted(turned(e)), ends(e))
+    out = depths(weighted(turned(e)), ends(e), firsts=False)
     return out.where(~F.col("node").startswith(_END)).select("node", F.col("depth").cast("int").alias("level"))
 
 
@@ -130,8 +226,8 @@ def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """What paths from ``seeds`` (node, and columns that travel along) reach, seeds included; a chain is one step."""
     keys = seeds.columns
     e, fixed = cut(plain(edges)), seeds.select("node").distinct()
-    links = contracted(weighted(e), fixed)[0].select(F.col("head").alias("h"), "tail")
-    inner = contracted(weighted(turned(e)), fixed)[1].select(F.col("node").alias("inside"), "to")
+    links = contracted(weighted(e), fixed, False)[0].select(F.col("head").alias("h"), "tail")
+    inner = contracted(weighted(turned(e)), fixed, False)[1].select(F.col("node").alias("inside"), "to")
     front, n = counted(seeds.distinct())
     seen, kept = front, []
     while n:
@@ -150,13 +246,13 @@ def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node), for every node of an edge."""
     e = cut(plain(edges))
-    links, inner = contracted(weighted(e))
-    back = contracted(weighted(turned(e)))[1]
+    links, inner = contracted(weighted(e), firsts=False)
+    back = contracted(weighted(turned(e)), firsts=False)[1]
     names = cut(ends(e))
     outer = cut(names.join(inner, "node", "left_anti"))
-    forward = peeled(links, outer)
+    forward = peeled(links, outer, False)
     swapped = links.select(F.col("tail").alias("head"), F.col("head").alias("tail"), "weight", "hop", "step")
-    backward = peeled(swapped, outer)
+    backward = peeled(swapped, outer, False)
     left = cut(outer.join(forward, "node", "left_anti").join(backward, "node", "left_anti"))
     pairs = links.select("head", "tail")
     found, n = [], left.count()

@@ -158,3 +158,28 @@ def test_find_path_is_bounded(spark):
     names = sorted({n for e in full for n in e}) + ["noOp", "webhook"]
     got = graph.find_path(frame(spark, [*full, ("webhook", "m00")]), nodes(spark, names), nodes(spark, ["m03"])).collect()
     assert len(got) == 1 and len(got[0].path) <= 15
+
+
+def test_peeling_in_many_blocks(spark, monkeypatch):
+    """Blocks of 30 links: the same depths and first edges, with cycles left out; one block takes one round."""
+    rng = random.Random(7)
+    names = [f"n{i:03d}" for i in range(120)]
+    edges = {(a, b) for a in names for b in names if a < b and rng.random() < 0.03} | {("n050", "n049"), ("n049", "n050")}
+    e = frame(spark, edges).cache()
+    links = dag.weighted(e).selectExpr("head", "tail", "1L AS weight", "tail AS hop", "step")
+    whole = {r.node: (r.depth, r.hop, r.step) for r in dag.peeled(links, nodes(spark, names)).collect()}
+    rounds, real = [], dag._round
+    monkeypatch.setattr(dag, "_round", lambda *a: rounds.append(1) or real(*a))
+    monkeypatch.setattr(dag, "BLOCK", 30)
+    assert {r.node: (r.depth, r.hop, r.step) for r in dag.peeled(links, nodes(spark, names)).collect()} == whole
+    succ = {n: sorted(b for a, b in edges if a == n) for n in names}
+    want, left = {}, set(names)
+    while now := {n for n in left if all(b in want for b in succ[n])}:
+        for n in now:
+            best = min(((-want[b][0] - 1, b) for b in succ[n]), default=(0, None))
+            want[n] = (-best[0], best[1], [best[1]] if succ[n] else None)
+        left -= now
+    assert whole == want and len(want) < 120 and 1 < len(rounds) <= 2 + max(d for d, _, _ in want.values())
+    monkeypatch.setattr(dag, "BLOCK", 1 << 21)
+    rounds.clear()
+    assert dag.peeled(links, nodes(spark, names), False).count() == len(want) and len(rounds) == 1
